@@ -1 +1,168 @@
-"""placeholder"""
+"""Query-log family on the synthetic log QL: tokens (T*), scoring (E*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skein.operators import score as sc
+from skein.operators import tokens as tk
+from skein.plans.querylog import query_log, with_ql
+from skein.plans.registry import register
+from skein.session import Tables
+from skein.sources.catalog import star_catalog
+
+KEYS = ["query_id", "side"]
+
+
+def _ql(spark, d):
+    return query_log(spark, Tables(spark, d).events)
+
+
+def _sides(ql):
+    return ql.select("query_id", F.lit("gold").alias("side"), F.col("gold").alias("sql")).unionByName(
+        ql.select("query_id", F.lit("pred").alias("side"), F.col("pred").alias("sql")))
+
+
+# ---- SQL fragments of the oracle (tokenizer and token table) ----
+_SQL_TOKS = r"""sides AS (
+  SELECT query_id, 'gold' AS side, gold AS sql FROM ql UNION ALL SELECT query_id, 'pred', pred FROM ql),
+norm AS (
+  SELECT query_id, side, regexp_replace(replace(sql, '''', '"'), '([!<>])\s+=', '\1=', 'g') AS s FROM sides),
+toks AS (
+  SELECT query_id, side,
+    CASE WHEN (length(s) - length(replace(s, '"', ''))) % 2 = 0 THEN
+      list_transform(regexp_extract_all(s, '"[^"]*"|[!<>]=|[A-Za-z0-9_.#$]+|[^\s]', 0),
+                     lambda t: CASE WHEN t LIKE '"%' THEN t ELSE lower(t) END) END AS toks
+  FROM norm)"""
+
+_CLAUSES = ", ".join(f"'{w}'" for w in tk.CLAUSE_WORDS)
+_SQL_TT = f"""tt0 AS (
+  SELECT query_id, side, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos FROM toks WHERE toks IS NOT NULL),
+tt1 AS (
+  SELECT *, lag(token) OVER w AS prev_tok, lead(token) OVER w AS next_tok,
+    sum(CASE WHEN token = '(' THEN 1 WHEN token = ')' THEN -1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      - CASE WHEN token = '(' THEN 1 ELSE 0 END AS depth
+  FROM tt0 WINDOW w AS (PARTITION BY query_id, side ORDER BY pos)),
+tt2 AS (
+  SELECT *, (token = '(' AND coalesce(next_tok = 'select', false)) AS sub_open, token IN ('(', ')') AS is_paren FROM tt1),
+tt3 AS (
+  SELECT *, (token = ')' AND coalesce(lag(sub_open) OVER (PARTITION BY query_id, side, depth, is_paren ORDER BY pos), false)) AS sub_close
+  FROM tt2),
+tt4 AS (
+  SELECT *, sum(CASE WHEN sub_open THEN 1 WHEN sub_close THEN -1 ELSE 0 END)
+      OVER (PARTITION BY query_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      - CASE WHEN sub_open THEN 1 ELSE 0 END AS sdepth
+  FROM tt3),
+tt5 AS (
+  SELECT *, coalesce(last_value(CASE WHEN token = 'select' THEN pos END IGNORE NULLS)
+      OVER (PARTITION BY query_id, side, sdepth ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS block
+  FROM tt4),
+tt AS (
+  SELECT *, last_value(CASE WHEN token IN ({_CLAUSES}) THEN CASE WHEN token = 'join' THEN 'from' ELSE token END END IGNORE NULLS)
+      OVER (PARTITION BY query_id, side, block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS clause
+  FROM tt5)"""
+
+
+@register("ql_query_log", with_ql("SELECT query_id, shape, gold, pred FROM ql"))
+def ql_query_log(spark, d):
+    return _ql(spark, d)
+
+
+@register("t01_tokenize", with_ql(
+    "SELECT query_id, side, CAST(len(toks) AS BIGINT) AS n_tok, array_to_string(toks, ' ') AS toks, "
+    "toks IS NULL AS tok_error FROM toks", _SQL_TOKS))
+def t01(spark, d):
+    x = tk.tokenize(_sides(_ql(spark, d)), "sql")
+    return x.select(*KEYS, F.size("toks").cast("long").alias("n_tok"), F.array_join("toks", " ").alias("toks"),
+                    F.col("toks").isNull().alias("tok_error")).withColumn(
+        "n_tok", F.when(F.col("tok_error"), F.lit(None).cast("long")).otherwise(F.col("n_tok")))
+
+
+@register("t11_segment", with_ql(
+    "SELECT query_id, side, CAST(pos AS BIGINT) AS pos, token, CAST(depth AS BIGINT) AS depth, "
+    "CAST(sdepth AS BIGINT) AS sdepth, CAST(block AS BIGINT) AS block, clause FROM tt", _SQL_TOKS, _SQL_TT))
+def t11(spark, d):
+    x = tk.tokenize(_sides(_ql(spark, d)).repartition("query_id"), "sql").filter(F.col("toks").isNotNull())
+    tt = tk.token_table(x, KEYS)
+    return tt.select(*KEYS, F.col("pos").cast("long"), "token", F.col("depth").cast("long"),
+                     F.col("sdepth").cast("long"), F.col("block").cast("long"), "clause")
+
+
+def _analysis(spark, d):
+    cat = star_catalog(spark, d)
+    return sc.analyse(_ql(spark, d), "query_id", cat.columns)
+
+
+@register("t12_units")
+def t12(spark, d):
+    _, u, _, _, _ = _analysis(spark, d)
+    return u.select(*KEYS, "block", "clause", "unit", "sig", "sig_left", "op", "conj")
+
+
+@register("e03_hardness")
+def e03(spark, d):
+    _, _, f, _, _ = _analysis(spark, d)
+    top = f.filter((F.col("side") == "gold") & (F.col("sdepth") == 0) & (F.col("set_path") == ""))
+    return top.select("query_id", sc.hardness_expr().alias("hardness"))
+
+
+@register("e04_keywords")
+def e04(spark, d):
+    _, _, f, _, _ = _analysis(spark, d)
+    top = f.filter((F.col("sdepth") == 0) & (F.col("set_path") == ""))
+    return top.select(*KEYS, F.array_join(sc.keyword_set(), " ").alias("keywords"))
+
+
+def _components(spark, d):
+    cat = star_catalog(spark, d)
+    per_key, per_cat = sc.score_pairs(_ql(spark, d), "query_id", cat.columns)
+    return per_key, per_cat
+
+
+def _category(name):
+    def fn(spark, d):
+        _, pc = _components(spark, d)
+        return pc.filter(F.col("category") == name).select("query_id", "label_total", "pred_total", "cnt", "f1")
+    return fn
+
+
+for _key, _cat in [("e05_match_select", "select"), ("e06_match_select_noagg", "select(no AGG)"),
+                   ("e07_match_where", "where"), ("e08_match_where_noop", "where(no OP)"),
+                   ("e09_match_group", "group(no Having)"), ("e10_match_group_having", "group"),
+                   ("e11_match_order", "order"), ("e12_match_andor", "and/or"), ("e13_match_nested", "IUEN"),
+                   ("e14_match_keywords", "keywords")]:
+    register(_key)(_category(_cat))
+
+
+@register("e15_all_or_nothing")
+def e15(spark, d):
+    _, pc = _components(spark, d)
+    return pc.select("query_id", "category", "label_total", "pred_total", "cnt", "acc", "rec", "f1")
+
+
+@register("e16_exact_match")
+def e16(spark, d):
+    pk, _ = _components(spark, d)
+    return pk.select("query_id", "hardness", "exact")
+
+
+@register("e17_score_report")
+def e17(spark, d):
+    cat = star_catalog(spark, d)
+    return sc.score_report_dedup(_ql(spark, d), cat.columns)
+
+
+@register("e18_empty_on_error")
+def e18(spark, d):
+    _, _, _, valid, _ = _analysis(spark, d)
+    return valid.groupBy("query_id").agg(
+        F.max(F.when(F.col("side") == "gold", F.col("valid"))).alias("gold_valid"),
+        F.max(F.when(F.col("side") == "pred", F.col("valid"))).alias("pred_valid"))
+
+
+@register("e24_string_em", with_ql(
+    "SELECT query_id, CASE WHEN coalesce(g.toks = p.toks, false) THEN 1 ELSE 0 END AS string_em "
+    "FROM (SELECT query_id, toks FROM toks WHERE side = 'gold') g JOIN (SELECT query_id, toks FROM toks WHERE side = 'pred') p "
+    "USING (query_id)", _SQL_TOKS))
+def e24(spark, d):
+    return sc.string_em(_ql(spark, d))
