@@ -1,0 +1,14 @@
+"""Size-checked broadcast: a side is broadcast only when its row count is under a bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Broadcast hint when ``df`` has at most ``max_rows`` rows, else leave the join to the planner."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

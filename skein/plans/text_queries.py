@@ -130,3 +130,87 @@ def e32(spark, d):
 @register("e33_corpus_bleu_report", "SELECT round(bleu_m3 * 100, 4) AS bleu FROM (" + _corpus_query([3]) + ")")
 def e33(spark, d):
     return bleu.corpus_bleu(*bleu_inputs(spark, d), methods=(3,)).select(F.round(F.col("bleu_m3") * 100, 4).alias("bleu"))
+
+
+# ------------------------------------------------------------- value linking
+
+from skein.operators import link as lk  # noqa: E402
+
+LINK_TABLES = ["region", "nation", "customer", "supplier", "part", "orders"]
+_TEXT_COLS = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"],
+              "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
+              "orders": ["o_orderstatus", "o_orderpriority"]}
+
+
+def _picklist(spark, d):
+    t = Tables(spark, d)
+    return lk.picklist({n: getattr(t, n) for n in LINK_TABLES})
+
+
+_PICK_SQL = " UNION ".join(f"SELECT DISTINCT '{t}' AS table_name, '{c}' AS column_name, {c} AS value FROM {t} "
+                           f"WHERE {c} IS NOT NULL" for t, cs in _TEXT_COLS.items() for c in cs)
+_STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in lk.STOPWORDS)
+_LINK_SQL = f"""WITH pl AS ({_PICK_SQL}),
+vals AS (SELECT *, trim(lower(value)) AS v FROM pl),
+cv AS (SELECT * FROM vals WHERE length(v) > 1 AND NOT regexp_matches(replace(v, ',', ''), '{lk.NUMBER_RE}')
+       AND v NOT IN ('id') AND v NOT IN ({_STOP_SQL})),
+mx AS (SELECT max(len(string_split_regex(trim(value), ' +'))) AS mn FROM pl),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{lk.SEP_SPLIT.replace(chr(39), chr(39) * 2)}'), lambda x: x <> '') AS w FROM documents),
+sp AS (SELECT doc_id, s - 1 AS start, n, array_to_string(w[s:s + n - 1], ' ') AS span
+       FROM w, mx, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS s), LATERAL (SELECT unnest(range(1, mn + 1)) AS n)
+       WHERE s - 1 + n <= len(w)),
+ex AS (SELECT sp.doc_id, cv.table_name, cv.column_name, cv.value, sp.span, 1.0 AS score, length(sp.span) AS match_len
+       FROM sp JOIN cv ON sp.span = cv.v WHERE sp.span NOT IN ({_STOP_SQL})),
+lohi AS (SELECT min(length(v)) - 1 AS lo, max(length(v)) + 1 AS hi FROM cv),
+sk AS (SELECT DISTINCT doc_id, start, n, span, unnest(list_distinct(list_concat([span], list_transform(range(1, length(span) + 1),
+          lambda i: substr(span, 1, i - 1) || substr(span, i + 1))))) AS k
+       FROM sp, lohi WHERE length(span) BETWEEN lo AND hi AND span NOT IN ({_STOP_SQL})),
+vk AS (SELECT DISTINCT table_name, column_name, value, v, unnest(list_distinct(list_concat([v], list_transform(range(1, length(v) + 1),
+          lambda i: substr(v, 1, i - 1) || substr(v, i + 1))))) AS k FROM cv),
+cand AS (SELECT DISTINCT sk.doc_id, sk.start, sk.n, sk.span, vk.table_name, vk.column_name, vk.value, vk.v
+         FROM sk JOIN vk USING (k)),
+sc AS (SELECT *, 1.0 - (CASE WHEN span = v THEN 0 WHEN abs(length(span) - length(v)) = 1 THEN 1 ELSE 2 END)
+                 / (length(span) + length(v)) AS score FROM cand),
+fz0 AS (SELECT * FROM sc WHERE substr(ltrim(span), 1, 1) = substr(ltrim(v), 1, 1) AND score >= 0.85
+        AND (NOT (v IN ('many', 'no', 'yes') OR upper(value) = value) OR score >= 1.0)),
+fz AS (SELECT doc_id, table_name, column_name, value, span, score, length(span) AS match_len FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id, table_name, column_name, value
+                                     ORDER BY score DESC, length(span) DESC, start) AS r FROM fz0) WHERE r = 1)
+"""
+
+
+def _spans(spark, d):
+    pl = _picklist(spark, d)
+    return lk.spans(Tables(spark, d).documents, "doc_id", "text", lk.max_value_words(pl)), pl
+
+
+@register("k01_picklist", _PICK_SQL)
+def k01(spark, d):
+    return _picklist(spark, d)
+
+
+@register("k02_spans", _LINK_SQL + "SELECT doc_id, count(*) AS n_spans, count(DISTINCT span) AS n_distinct FROM sp GROUP BY doc_id")
+def k02(spark, d):
+    sp, _ = _spans(spark, d)
+    return sp.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.count_distinct("span").alias("n_distinct"))
+
+
+@register("k03_link_exact", _LINK_SQL + "SELECT * FROM ex")
+def k03(spark, d):
+    sp, pl = _spans(spark, d)
+    return lk.link_exact(sp, pl, "doc_id")
+
+
+@register("k04_link_fuzzy", _LINK_SQL + "SELECT doc_id, table_name, column_name, value, span, round(score, 6) AS score, match_len FROM fz")
+def k04(spark, d):
+    sp, pl = _spans(spark, d)
+    return lk.link_fuzzy(sp, pl, "doc_id").withColumn("score", F.round("score", 6))
+
+
+@register("k06_link_top_k", _LINK_SQL + "SELECT doc_id, table_name, column_name, value, CAST(rank AS INTEGER) AS rank FROM ("
+          "SELECT *, row_number() OVER (PARTITION BY doc_id, table_name, column_name ORDER BY score DESC, match_len DESC, value) AS rank "
+          "FROM (SELECT * FROM ex UNION ALL SELECT * FROM fz)) WHERE rank <= 2")
+def k06(spark, d):
+    sp, pl = _spans(spark, d)
+    links = lk.link_exact(sp, pl, "doc_id").unionByName(lk.link_fuzzy(sp, pl, "doc_id"))
+    return lk.link_top_k(links, "doc_id").select("doc_id", "table_name", "column_name", "value", "rank")
