@@ -27,6 +27,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     import skein.plans.catalog_queries  # noqa: F401
     import skein.plans.dialog_queries  # noqa: F401
+    import skein.plans.generate_queries  # noqa: F401
     import skein.plans.querylog_queries  # noqa: F401
     import skein.plans.relational_queries  # noqa: F401
     import skein.plans.text_queries  # noqa: F401
