@@ -28,7 +28,7 @@ def no_from_tokens(rt: DataFrame, keys: list[str]) -> DataFrame:
     """
     tok = F.col("token")
     x = rt.filter(~F.col("clause").isin("from", "on") | F.col("clause").isNull())
-    star = F.concat(F.element_at("block_tables", 1), F.lit(".*"))
+    star = F.concat(F.try_element_at("block_tables", F.lit(1)), F.lit(".*"))
     out = (F.when(F.col("col_id") == "*", star)
            .when(F.col("col_id").isNotNull(), F.col("col_id"))
            .when(tk.is_literal(tok) & (F.col("clause") == "limit"), F.lit("limit_value"))

@@ -149,10 +149,11 @@ def resolve(tt: DataFrame, keys: Sequence[str], cat_columns: DataFrame) -> DataF
     names = F.broadcast(name_lookup(cat_columns))
     x = tt.withColumn("lookup_key", lookup_key).join(names, F.col("lookup_key") == F.col("lookup"), "left")
     # table tokens in FROM (not the alias after AS)
-    x = x.withColumn("cand_table", (F.col("kind") == "table") & (F.col("clause") == "from")
-                     & (F.coalesce(F.col("prev_tok"), F.lit("")) != "as") & ~qualified)
+    x = x.withColumn("cand_table", F.coalesce((F.col("kind") == "table") & (F.col("clause") == "from")
+                                              & (F.coalesce(F.col("prev_tok"), F.lit("")) != "as") & ~qualified,
+                                              F.lit(False)))
     wtok = Window.partitionBy(*keys, "pos")
-    x = x.withColumn("is_table", F.max(F.col("cand_table")).over(wtok))
+    x = x.withColumn("is_table", F.coalesce(F.max(F.col("cand_table")).over(wtok), F.lit(False)))
     wblk = Window.partitionBy(*keys, "block").rowsBetween(_UNB, _UNF)
     x = x.withColumn("block_tables", F.array_sort(F.collect_set(
         F.when(F.col("cand_table"), F.struct(F.col("pos").alias("p"), F.col("l_table").alias("t")))).over(wblk)))
@@ -164,7 +165,7 @@ def resolve(tt: DataFrame, keys: Sequence[str], cat_columns: DataFrame) -> DataF
     x = x.withColumn("aliases", F.array_sort(F.collect_set(alias_entry).over(wq)))
     qual = F.substring_index(tok, ".", 1)
     alias_hits = F.filter("aliases", lambda e: e["a"] == qual)
-    qual_table = F.coalesce(F.element_at(alias_hits, -1)["t"], qual)
+    qual_table = F.coalesce(F.try_element_at(alias_hits, F.lit(-1))["t"], qual)
     x = x.withColumn("want_table", F.when(qualified, qual_table))
     is_ident = tok.rlike(r"^[a-z_][a-z0-9_#$]*$") & ~tok.isin(*KEYWORDS)
     ok = (F.col("kind") == "column") & F.when(
@@ -172,7 +173,9 @@ def resolve(tt: DataFrame, keys: Sequence[str], cat_columns: DataFrame) -> DataF
     ).otherwise(is_ident & F.array_contains("block_tables", F.col("l_table")) & ~F.col("is_table")
                 & (F.coalesce(F.col("prev_tok"), F.lit("")) != "as"))
     rank = F.when(ok, F.array_position("block_tables", F.col("l_table"))).otherwise(F.lit(10 ** 6))
-    x = x.withColumn("rk", F.row_number().over(Window.partitionBy(*keys, "pos").orderBy(rank, "l_table")))
+    wpos = Window.partitionBy(*keys, "pos")
+    x = x.withColumn("n_cands", F.sum(F.when(ok, 1).otherwise(0)).over(wpos))
+    x = x.withColumn("rk", F.row_number().over(wpos.orderBy(rank, "l_table")))
     x = x.filter(F.col("rk") == 1)
     star = tok == "*"
     star_col = star & (F.coalesce(F.col("prev_tok"), F.lit("")).isin("(", ",", "select", "distinct"))
@@ -181,7 +184,7 @@ def resolve(tt: DataFrame, keys: Sequence[str], cat_columns: DataFrame) -> DataF
               .when(ok, F.concat(F.col("l_table"), F.lit("."), F.col("l_column"))))
     alias_def = (F.coalesce(F.col("prev_tok"), F.lit("")) == "as") & (F.col("clause") == "from")
     needs_col = (qualified | (is_ident & ~F.col("is_table") & ~alias_def)) & F.col("clause").isNotNull()
-    x = x.select(*tt.columns, "is_table", "block_tables",
+    x = x.select(*tt.columns, "is_table", "block_tables", "aliases", "want_table", "n_cands",
                  F.when(alias_def, F.col("prev_tok")).alias("alias_def_of"),
                  col_id.alias("col_id"),
                  F.when(star_col, F.lit("*")).when(ok, F.col("l_type")).alias("col_type"),
