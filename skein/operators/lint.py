@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.operators import tokens as tk
+from skein.session import cut_lineage
 
 RULES = ["unknown_table", "column_not_in_table", "alias_not_in_scope", "column_not_in_alias", "ambiguous_column",
          "unresolved_column", "duplicate_alias", "duplicate_table", "bad_aggregate_type", "bad_arithmetic_type",
@@ -42,6 +43,8 @@ def lint(rt: DataFrame, keys: list[str]) -> DataFrame:
     is_alias = F.array_contains(alias_names, qual)
     qual_is_table = F.col("want_table").isNotNull() & (F.array_contains("block_tables", F.col("want_table")))
     w = Window.partitionBy(*keys).orderBy("pos")
+    # every rule below reads the same resolved tokens: cut lineage once
+    rt = cut_lineage(rt)
     x = rt.withColumn("next_ctype", F.lead("col_type").over(w)).withColumn("prev_ctype", F.lag("col_type").over(w)) \
         .withColumn("next2_tok", F.lead("token", 2).over(w)).withColumn("next2_ctype", F.lead("col_type", 2).over(w))
     out = []

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.operators import tokens as tk
-from skein.session import cut_lineage
+from skein.session import by_key, cut_lineage
 
 CATEGORIES = ["select", "select(no AGG)", "where", "where(no OP)", "group(no Having)", "group", "order",
               "and/or", "IUEN", "keywords"]
@@ -41,7 +41,7 @@ def query_tokens(qs: DataFrame, key: str, cat_columns: DataFrame, sides=("gold",
     for s in sides:
         part = qs.select(F.col(key), F.lit(s).alias("side"), F.col(s).alias("sql"))
         stacked = part if stacked is None else stacked.unionByName(part)
-    stacked = tk.tokenize(stacked.repartition(key), "sql")
+    stacked = tk.tokenize(by_key(stacked, key), "sql")
     keys = [key, "side"]
     tt = tk.token_table(stacked.filter(F.col("toks").isNotNull()), keys)
     rt = tk.resolve(tt, keys, cat_columns)

@@ -174,7 +174,9 @@ def resolve(tt: DataFrame, keys: Sequence[str], cat_columns: DataFrame) -> DataF
                 & (F.coalesce(F.col("prev_tok"), F.lit("")) != "as"))
     rank = F.when(ok, F.array_position("block_tables", F.col("l_table"))).otherwise(F.lit(10 ** 6))
     wpos = Window.partitionBy(*keys, "pos")
-    x = x.withColumn("n_cands", F.sum(F.when(ok, 1).otherwise(0)).over(wpos))
+    # a table joined twice (two aliases) offers the column twice: ambiguous
+    hits = F.size(F.filter("block_tables", lambda t: t == F.col("l_table")))
+    x = x.withColumn("n_cands", F.sum(F.when(ok & ~qualified, hits).otherwise(0)).over(wpos))
     x = x.withColumn("rk", F.row_number().over(wpos.orderBy(rank, "l_table")))
     x = x.filter(F.col("rk") == 1)
     star = tok == "*"

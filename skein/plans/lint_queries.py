@@ -8,7 +8,7 @@ from skein.operators import lint as ln
 from skein.operators import tokens as tk
 from skein.plans.querylog import query_log
 from skein.plans.registry import register
-from skein.session import Tables, cut_lineage
+from skein.session import by_key, Tables, cut_lineage
 from skein.sources.catalog import star_catalog
 
 KEYS = ["query_id", "side"]
@@ -17,7 +17,7 @@ KEYS = ["query_id", "side"]
 def findings(spark, d):
     t = Tables(spark, d)
     log = ln.inject_faults(query_log(spark, t.events))
-    x = tk.tokenize(log.repartition("query_id"), "sql").filter(F.col("toks").isNotNull()).withColumn("side", F.lit("q"))
+    x = tk.tokenize(by_key(log, "query_id"), "sql").filter(F.col("toks").isNotNull()).withColumn("side", F.lit("q"))
     rt = tk.resolve(tk.token_table(x, KEYS), KEYS, star_catalog(spark, d).columns)
     return cut_lineage(ln.lint(rt, KEYS).drop("side"))
 

@@ -8,7 +8,7 @@ from skein.operators import score as sc
 from skein.operators import tokens as tk
 from skein.plans.querylog import query_log, with_ql
 from skein.plans.registry import register
-from skein.session import Tables
+from skein.session import by_key, Tables
 from skein.sources.catalog import star_catalog
 
 KEYS = ["query_id", "side"]
@@ -82,7 +82,7 @@ def t01(spark, d):
     "SELECT query_id, side, CAST(pos AS BIGINT) AS pos, token, CAST(depth AS BIGINT) AS depth, "
     "CAST(sdepth AS BIGINT) AS sdepth, CAST(block AS BIGINT) AS block, clause FROM tt", _SQL_TOKS, _SQL_TT))
 def t11(spark, d):
-    x = tk.tokenize(_sides(_ql(spark, d)).repartition("query_id"), "sql").filter(F.col("toks").isNotNull())
+    x = tk.tokenize(by_key(_sides(_ql(spark, d)), "query_id"), "sql").filter(F.col("toks").isNotNull())
     tt = tk.token_table(x, KEYS)
     return tt.select(*KEYS, F.col("pos").cast("long"), "token", F.col("depth").cast("long"),
                      F.col("sdepth").cast("long"), F.col("block").cast("long"), "clause")

@@ -77,3 +77,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def by_key(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by ``cols`` into the session's shuffle-partition count.
+
+    An explicit count keeps AQE from coalescing the exchange into a few tasks
+    (the per-key window work after it is CPU-bound); on a cluster the count is
+    whatever ``spark.sql.shuffle.partitions`` says.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, *cols)
