@@ -30,5 +30,6 @@ def load_all() -> None:
     import skein.plans.generate_queries  # noqa: F401
     import skein.plans.lint_queries  # noqa: F401
     import skein.plans.querylog_queries  # noqa: F401
+    import skein.plans.querytext_queries  # noqa: F401
     import skein.plans.relational_queries  # noqa: F401
     import skein.plans.text_queries  # noqa: F401
