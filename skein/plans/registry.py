@@ -33,4 +33,5 @@ def load_all() -> None:
     import skein.plans.querytext_queries  # noqa: F401
     import skein.plans.relational_queries  # noqa: F401
     import skein.plans.report_queries  # noqa: F401
+    import skein.plans.source_queries  # noqa: F401
     import skein.plans.text_queries  # noqa: F401
