@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from skein.functions.hashing import bucket
 from skein.functions.sizing import broadcast_if_small
 from skein.operators import tokens as tk
+from skein.session import cut_lineage
 
 N_BUCKETS = 1024
 
@@ -181,3 +182,23 @@ def fill_template(draws: DataFrame, mapping: DataFrame, salt: str = "g13") -> Da
            .when(F.col("t") == "limit_value", F.lit("1")).otherwise(F.col("t")))
     g = x.groupBy("seed", "db_id").agg(F.array_sort(F.collect_list(F.struct("pos", out.alias("o")))).alias("os"))
     return g.select(F.col("seed").alias("goal_id"), "db_id", F.array_join(F.transform("os", lambda s: s["o"]), " ").alias("sql"))
+
+
+def error_weights(scored: DataFrame, template: str, score: str, example: str, order: str,
+                  min_n: int = 2, max_acc: float = 0.98, temperature: float = 20.0) -> DataFrame:
+    """Templates seen more than ``min_n`` times with mean score below ``max_acc``;
+    weight = n * (1 - acc), probability = softmax(weight / temperature); last example kept.
+
+    The per-template aggregate combines map-side; the softmax normaliser is a
+    scalar subquery over the (template-sized) result, not a one-partition window.
+    """
+    ts = scored.groupBy(template).agg(F.count("*").alias("n"), F.avg(score).alias("acc"),
+                                      F.max_by(example, order).alias("example"))
+    kept = ts.filter((F.col("n") > min_n) & (F.col("acc") < max_acc)).withColumn("w", F.col("n") * (1 - F.col("acc")))
+    # template-sized: written once so the two scalar subqueries and the result do not recompute the scoring
+    kept = cut_lineage(kept)
+    top = kept.select(F.max("w")).scalar()
+    total = kept.select(F.sum(F.exp((F.col("w") - top) / temperature))).scalar()
+    p = F.exp((F.col("w") - top) / temperature) / total
+    return kept.select(template, "n", F.round("acc", 6).alias("acc"), F.round("w", 6).alias("weight"),
+                       F.round(p, 9).alias("p"), "example")

@@ -190,3 +190,22 @@ def g17(spark, d):
     draws = _draws(spark, d)
     mapping = gen.assign_columns(draws, co.typed_columns(star_catalogs(spark, d)))
     return gen.fill_template(draws, mapping)
+
+
+# --------------------------------------------------------------------- G5
+# score of a gold query = string exact match of its pair (E24); softmax shifted by the largest weight
+# (same probabilities, no overflow when counts grow)
+
+@register("g05_error_weights", gw("""SELECT template, n, round(acc, 6) AS acc, round(w, 6) AS weight,
+  round(e / sum(e) OVER (), 9) AS p, example
+FROM (SELECT *, exp((w - max(w) OVER ()) / 20.0) AS e FROM (SELECT *, n * (1 - acc) AS w FROM ts WHERE acc < 0.98))""", """em AS (
+  SELECT query_id, CASE WHEN coalesce(g.toks = p.toks, false) THEN 1 ELSE 0 END AS string_em
+  FROM (SELECT query_id, toks FROM toks WHERE side = 'gold') g JOIN (SELECT query_id, toks FROM toks WHERE side = 'pred') p
+  USING (query_id)),
+ts AS (
+  SELECT t.template, count(*) AS n, avg(em.string_em) AS acc, arg_max(ql.gold, t.query_id) AS example
+  FROM tpl t JOIN em USING (query_id) JOIN ql USING (query_id) GROUP BY t.template HAVING count(*) > 2)"""))
+def g05(spark, d):
+    ql = query_log(spark, Tables(spark, d).events)
+    x = gold_templates(spark, d).join(sc.string_em(ql), "query_id").join(ql.select("query_id", "gold"), "query_id")
+    return gen.error_weights(x, "template", "string_em", "gold", "query_id")

@@ -188,3 +188,56 @@ def d33(spark, d):
     vsum = F.coalesce(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, b: a + b), F.lit(0.0))
     return x.select("token", "idx", F.col("vec_id").isNotNull().alias("found"), F.round(vsum, 4).alias("vsum"),
                     F.size("vec").alias("dim"))
+
+
+# -------------------------------------------------------------------- D32
+# question words of user turns -> first star column whose natural name (prefix stripped) equals the word
+# up to a trailing s (the stemmer is dropped). The candidate keys are schema-sized and broadcast.
+
+_D32_SQL = f"""WITH RECURSIVE {CAT_SQL},
+cand AS (SELECT column_id, regexp_replace(lower(column_name), '^[a-z]+_', '') AS c FROM lcat WHERE db_id = 'star'),
+keys AS (SELECT k, min(column_id) AS pointer FROM (
+  SELECT c AS k, column_id FROM cand UNION ALL SELECT c || 's', column_id FROM cand
+  UNION ALL SELECT substr(c, 1, length(c) - 1), column_id FROM cand WHERE suffix(c, 's')) GROUP BY k),
+w AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos
+      FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z_]+', 0) AS ws FROM conversations WHERE role = 'user'))
+SELECT w.conv_id, w.turn, CAST(w.pos AS INTEGER) AS pos, w.word, CAST(k.pointer AS INTEGER) AS pointer
+FROM w LEFT JOIN keys k ON k.k = w.word"""
+
+
+@register("d32_fuzzy_pointer", _D32_SQL)
+def d32(spark, d):
+    cols = star_catalog(spark, d).columns.filter(F.col("column_name") != "*")
+    c = cols.select("column_id", F.regexp_replace(F.lower("column_name"), "^[a-z]+_", "").alias("c"))
+    keys = c.select(F.col("c").alias("k"), "column_id").unionByName(
+        c.select(F.concat("c", F.lit("s")).alias("k"), "column_id")).unionByName(
+        c.filter(F.col("c").endswith("s")).select(F.expr("substring(c, 1, length(c) - 1)").alias("k"), "column_id"))
+    keys = keys.groupBy("k").agg(F.min("column_id").cast("int").alias("pointer"))
+    u = Tables(spark, d).conversations.filter(F.col("role") == "user")
+    w = u.select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z_]+"), 0))
+                 .alias("pos", "word"))
+    x = w.join(F.broadcast(keys), w["word"] == keys["k"], "left")
+    return x.select("conv_id", "turn", F.col("pos").cast("int"), "word", "pointer")
+
+
+# -------------------------------------------------------------------- D42
+# split by dialogue bucket; a turn is valid when its linked prediction tokenizes; gold previous turn attached
+
+@register("d42_training_pairs", tw(f"""SELECT * FROM (
+  SELECT t.conv_id, t.turn_idx, CASE WHEN {sql_bucket('sp', 't.conv_id', 4)} = 0 THEN 'dev' ELSE 'train' END AS split,
+         coalesce(lag(t.query) OVER (PARTITION BY t.conv_id ORDER BY t.turn_idx), 'none') AS prev_query, t.query,
+         (length(replace(ql.pred, '''', '"')) - length(replace(replace(ql.pred, '''', '"'), '"', ''))) % 2 = 0 AS valid
+  FROM turns t JOIN cq ON cq.conv_id = t.conv_id AND cq.turn = t.turn JOIN ql ON ql.query_id = cq.query_id)
+WHERE split <> 'train' OR valid"""))
+def d42(spark, d):
+    from skein.operators import tokens as tk
+    t = Tables(spark, d)
+    cq = conversation_queries(t.conversations, t.events)
+    ql = query_log(spark, t.events).select("query_id", "pred")
+    x = turns(spark, d).join(cq, ["conv_id", "turn"]).join(ql, "query_id")
+    w = Window.partitionBy("conv_id").orderBy("turn_idx")
+    x = x.select("conv_id", "turn_idx",
+                 F.when(bucket("sp", "conv_id", 4) == 0, F.lit("dev")).otherwise(F.lit("train")).alias("split"),
+                 F.coalesce(F.lag("query").over(w), F.lit("none")).alias("prev_query"), "query",
+                 tk.tokenize_expr("pred").isNotNull().alias("valid"))
+    return x.filter((F.col("split") != "train") | F.col("valid"))
