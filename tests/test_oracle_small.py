@@ -7,7 +7,7 @@ import pytest
 from tests.conftest import SF_SMALL
 from tools.oracle_check import duck, value_hash
 
-FAST = re.compile(r"^(r\d|c0|c1|s07|d0|d1|d2|t0|t1|t2|e2[4-9]|e3|k01|g01|g03|ql_)")
+FAST = re.compile(r"^(r\d|c0|c1|s0|s1|st|d0|d1|d2|d3|d4|e19|e20|t0|t1|t2|e2[4-9]|e3|k01|g01|g03|ql_)")
 
 
 def _keys():
