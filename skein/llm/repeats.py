@@ -166,18 +166,18 @@ def removed_ranges(rows: DataFrame, cfg: Repeats) -> DataFrame:
     """
     spark = rows.sparkSession
     small_batches(spark)
-    rows = rows.where(F.col("doc_id").isNotNull())
-    digests = rows.select("rid", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
+    named = rows.where(F.col("doc_id").isNotNull())
+    digests = named.select("rid", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
     first = digests.groupBy("sha").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
     copies = digests.join(first, "sha").where("doc_id > first_doc").select("rid", "doc_id").distinct().withColumn("copy", F.lit(True))
 
-    keys = rows.select("rid", "text").mapInArrow(_key_rows(cfg), "key long, rid long, times int")
+    keys = named.select("rid", "text").mapInArrow(_key_rows(cfg), "key long, rid long, times int")
     twice = keys.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key")
     # repeated rows share a rid: their keys are a set, so a key of one rid alone still counts as seen twice, which is harmless
     flagged = keys.join(twice, "key").groupBy("rid").agg(F.collect_set("key").alias("keys"))
     flagged = flagged.join(copies.select("rid"), "rid", "left_anti")
 
-    touched = rows.join(flagged, "rid")
+    touched = rows.join(flagged, "rid")  # ``rows`` as in join_ranges, so one exchange of the texts serves all three uses
     merged = touched.mapInArrow(_contents(cfg, True), "key long, cid long, doc_id long, place long, content binary")
     dealt = merged.repartitionByRange("key") if cfg.ranged else merged.repartition("key")
     ordered = dealt.sortWithinPartitions("key", "cid", "doc_id", "place")
