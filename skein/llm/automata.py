@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from skein.llm import textnum as T
 from skein.llm.common import texts
-from skein.llm.repeats import Repeats, covered, join_ranges, removed_ranges
+from skein.llm.repeats import Repeats, covered, join_ranges, packed, removed_ranges
 
 WINDOW = 13
 _NONE = (1 << 63) - 1
@@ -106,12 +106,12 @@ def _engine(contents, docs, places):
     return found
 
 
-CONFIG = Repeats(unit="word", window=WINDOW, gram=5, within=False, block=60_000, engine=_engine)
+CONFIG = Repeats(unit="word", window=WINDOW, gram=4, within=False, block=60_000, engine=_engine)
 
 
 def _strip(batches):
     for batch in batches:
-        data, offs = T.buffers(batch.column("text"))
+        data, offs = T.unpack(batch.column("z"))
         copy, ranges = batch.column("copy"), batch.column("ranges")
         total, removed, kept = [], [], []
         for i, j in T.chunks(offs):
@@ -139,4 +139,5 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keep everything. An empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col)
-    return join_ranges(rows, removed_ranges(rows, CONFIG)).mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string")
+    bodies = packed(rows)
+    return join_ranges(bodies, removed_ranges(rows, bodies, CONFIG)).mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string")

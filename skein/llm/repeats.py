@@ -86,7 +86,7 @@ def _contents(cfg: Repeats, merge: bool) -> Callable[[Iterator[pa.RecordBatch]],
     """Segments with repeated keys: one row a place (merge False), or one a content of the chunk with its first place."""
     def run(batches):
         for batch in batches:
-            data, offs = T.buffers(batch.column("text"))
+            data, offs = T.unpack(batch.column("z"))
             rid, doc = np.asarray(batch.column("rid")), np.asarray(batch.column("doc_id"))
             keys = batch.column("keys")
             koff, kval = np.asarray(keys.offsets), np.asarray(keys.values).view(T.U)
@@ -157,9 +157,16 @@ def _first_places(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def removed_ranges(rows: DataFrame, cfg: Repeats) -> DataFrame:
+def packed(rows: DataFrame) -> DataFrame:
+    """``texts()`` rows with compressed text, for the shuffle that brings texts and their repeated keys together."""
+    return rows.mapInArrow(T.pack, "rid long, doc_id long, z binary")
+
+
+def removed_ranges(rows: DataFrame, bodies: DataFrame, cfg: Repeats) -> DataFrame:
     """(rid, doc_id, copy, ranges): what to remove from each row of ``texts()`` that repeats something earlier.
 
+    bodies: the same rows, ``packed``.
+
     copy: the text also stands under a smaller doc_id, so every window of it goes. ranges: first and last window
     to remove, as structs (a, b) in symbols from the document's start. Rows without either are left out.
     Rows with a null doc_id neither remove nor are compared.
@@ -177,7 +184,7 @@ def removed_ranges(rows: DataFrame, cfg: Repeats) -> DataFrame:
     flagged = keys.join(twice, "key").groupBy("rid").agg(F.collect_set("key").alias("keys"))
     flagged = flagged.join(copies.select("rid"), "rid", "left_anti")
 
-    touched = rows.join(flagged, "rid")  # ``rows`` as in join_ranges, so one exchange of the texts serves all three uses
+    touched = bodies.join(flagged, "rid")  # ``bodies`` as in join_ranges, so one exchange of the texts serves all three uses
     merged = touched.mapInArrow(_contents(cfg, True), "key long, cid long, doc_id long, place long, content binary")
     dealt = merged.repartitionByRange("key") if cfg.ranged else merged.repartition("key")
     ordered = dealt.sortWithinPartitions("key", "cid", "doc_id", "place")
@@ -190,10 +197,10 @@ def removed_ranges(rows: DataFrame, cfg: Repeats) -> DataFrame:
     return ranges.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("ranges", F.lit(None).cast("array<struct<a:long,b:long>>"))).select("rid", "doc_id", "copy", "ranges")
 
 
-def join_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+def join_ranges(bodies: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every row with its ``copy`` and ``ranges`` (null and null where nothing repeats)."""
     r = ranges.withColumnRenamed("doc_id", "own_id")
-    return rows.join(r, "rid", "left").select("doc_id", "text", "copy", "ranges", "own_id").where("own_id is null or own_id = doc_id").drop("own_id")
+    return bodies.join(r, "rid", "left").select("doc_id", "z", "copy", "ranges", "own_id").where("own_id is null or own_id = doc_id").drop("own_id")
 
 
 def covered(n: int, window: int, copy, ranges) -> np.ndarray:

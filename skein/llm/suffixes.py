@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from skein.llm import textnum as T
 from skein.llm.common import texts
-from skein.llm.repeats import Repeats, covered, join_ranges, removed_ranges
+from skein.llm.repeats import Repeats, covered, join_ranges, packed, removed_ranges
 
 WINDOW = 100
 
@@ -76,12 +76,12 @@ def _engine(contents, docs, places):
     return found
 
 
-CONFIG = Repeats(unit="byte", window=WINDOW, gram=16, within=True, block=1_000_000, engine=_engine, ranged=True)
+CONFIG = Repeats(unit="byte", window=WINDOW, gram=12, within=True, block=1_000_000, engine=_engine, ranged=True)
 
 
 def _strip(batches):
     for batch in batches:
-        data, offs = T.buffers(batch.column("text"))
+        data, offs = T.unpack(batch.column("z"))
         copy, ranges = batch.column("copy"), batch.column("ranges")
         total, removed, spans, kept = [], [], [], []
         for i in range(batch.num_rows):
@@ -103,4 +103,5 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     equal results. Rows with a null doc_id keep everything. An empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col)
-    return join_ranges(rows, removed_ranges(rows, CONFIG)).mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    bodies = packed(rows)
+    return join_ranges(bodies, removed_ranges(rows, bodies, CONFIG)).mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -164,5 +165,22 @@ def segments(symbols_offs: np.ndarray, gram: np.ndarray, gram_len: int, window:
     return starts[f], starts[last], at[f], row[f]
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, doc_id, text) -> (rid, doc_id, z): texts compressed, so that their one shuffle is smaller."""
+    zip_ = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        z = [zip_.compress(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(z, pa.binary())], ["rid", "doc_id", "z"])
+
+
+def unpack(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all rows, row offsets) of a column made by ``pack``."""
+    unzip = zstandard.ZstdDecompressor()
+    parts = [unzip.decompress(x) for x in col.to_pylist()]
+    offs = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(x) for x in parts], out=offs[1:])
+    return np.frombuffer(b"".join(parts), np.uint8), offs
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
