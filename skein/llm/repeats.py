@@ -4,9 +4,10 @@ Every window of ``window`` consecutive symbols (words or bytes) has one minimise
 equal windows have equal minimisers at equal places. Runs of windows with one minimiser form a segment whose key
 is the gram's hash. So:
 
-1. keys of all documents are counted (map-side partial sums) and only keys seen twice go on;
-2. the kept keys return to their documents, and the segments with such keys become (key, content) pairs, where
-   repeated contents of a batch are merged before the shuffle and carry their first place;
+1. segments of all documents meet by key, as numbers only (key, content id, document, place): one shuffle. A key
+   of one document says nothing; a key with one content is answered by the first place of that content;
+2. only keys with several contents need the symbols: they return to their documents and come back as (key, content)
+   rows, where equal contents of a chunk are merged before the shuffle and carry their first place;
 3. rows with one key meet in one partition, sorted, and an engine finds for each window its first place among
    all of them, in blocks of whole keys;
 4. the runs found return to every occurrence by (key, content id), a join that adaptive execution may split, and
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import textnum as T
@@ -63,56 +64,50 @@ class Repeats:
         return a, b, g[at] if len(at) else np.zeros(0, T.U), row, (s, e), own
 
 
-def _key_rows(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _content_ids(cfg: Repeats, d, a, b, spans):
+    """Byte range and 64-bit digest of each segment's symbols."""
+    if spans is None:
+        return a, b + cfg.window, T.spans_hash(T.prefix(d), a, b + cfg.window)
+    wh = T.spans_hash(T.prefix(d), *spans)
+    up, down = T.powers(len(wh) + 1)
+    pre = np.concatenate([np.zeros(1, T.U), np.cumsum(wh * up[:len(wh)])])
+    return spans[0][a], spans[1][b + cfg.window - 1], T.mix((pre[b + cfg.window] - pre[a]) * down[a] + (b - a).astype(T.U))
+
+
+def _places(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row for each segment of each document: key, content id, document, first window, windows after it."""
     def run(batches):
         for batch in batches:
-            data, offs = T.buffers(batch.column("text"))
-            rid = np.asarray(batch.column("rid"))
+            data, offs = T.unpack(batch.column("z"))
+            rid, doc = np.asarray(batch.column("rid")), np.asarray(batch.column("doc_id"))
             for i, j in T.chunks(offs):
-                a, _, key, row, _, _ = cfg.symbols(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
-                if not len(a):
-                    continue
-                order = np.lexsort((key, row))
-                key, row = key[order], row[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                f = np.flatnonzero(new)
-                times = np.diff(np.append(f, len(key))) if cfg.within else np.ones(len(f), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(key[f])), pa.array(rid[i:j][row[f]]), pa.array(times.astype(np.int32))], ["key", "rid", "times"])
+                d = data[offs[i]:offs[j]]
+                a, b, key, row, spans, own = cfg.symbols(d, offs[i:j + 1] - offs[i])
+                if len(a):
+                    cid = _content_ids(cfg, d, a, b, spans)[2]
+                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(T.signed(cid)), pa.array(rid[i:j][row]), pa.array(doc[i:j][row]), pa.array((a - own[row]).astype(np.int32)), pa.array((b - a).astype(np.int32))], ["key", "cid", "rid", "doc_id", "place", "span"])
     return run
 
 
-def _contents(cfg: Repeats, merge: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Segments with repeated keys: one row a place (merge False), or one a content of the chunk with its first place."""
+def _contents(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Segments with the given keys: one row for each content of a chunk, with its first place."""
     def run(batches):
         for batch in batches:
             data, offs = T.unpack(batch.column("z"))
-            rid, doc = np.asarray(batch.column("rid")), np.asarray(batch.column("doc_id"))
-            keys = batch.column("keys")
+            doc, keys = np.asarray(batch.column("doc_id")), batch.column("keys")
             koff, kval = np.asarray(keys.offsets), np.asarray(keys.values).view(T.U)
             for i, j in T.chunks(offs):
                 d = data[offs[i]:offs[j]]
                 a, b, key, row, spans, own = cfg.symbols(d, offs[i:j + 1] - offs[i])
-                if not len(a):
-                    continue
                 wanted = np.unique(kval[koff[i]:koff[j]])
-                hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key if len(wanted) else np.zeros(len(key), bool)
+                if not len(a) or not len(wanted):
+                    continue
+                hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
                 a, b, key, row = a[hit], b[hit], key[hit], row[hit]
                 if not len(a):
                     continue
-                if spans is None:
-                    lo, hi = a, b + cfg.window
-                    cid = T.spans_hash(T.prefix(d), lo, hi)
-                else:
-                    lo, hi = spans[0][a], spans[1][b + cfg.window - 1]
-                    wh = T.spans_hash(T.prefix(d), *spans)
-                    up, down = T.powers(len(wh) + 1)
-                    pre = np.concatenate([np.zeros(1, T.U), np.cumsum(wh * up[:len(wh)])])
-                    cid = T.mix((pre[b + cfg.window] - pre[a]) * down[a] + (b - a).astype(T.U))
+                lo, hi, cid = _content_ids(cfg, d, a, b, spans)
                 place, ids = a - own[row], doc[i:j][row]
-                if not merge:
-                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(T.signed(cid)), pa.array(rid[i:j][row]), pa.array(ids), pa.array(place)], ["key", "cid", "rid", "doc_id", "place"])
-                    continue
                 order = np.lexsort((place, ids, cid, key))
                 k, c = key[order], cid[order]
                 new = np.ones(len(k), bool)
@@ -171,29 +166,34 @@ def removed_ranges(rows: DataFrame, bodies: DataFrame, cfg: Repeats) -> DataFram
     to remove, as structs (a, b) in symbols from the document's start. Rows without either are left out.
     Rows with a null doc_id neither remove nor are compared.
     """
-    spark = rows.sparkSession
-    small_batches(spark)
-    named = rows.where(F.col("doc_id").isNotNull())
-    digests = named.select("rid", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
+    small_batches(rows.sparkSession)
+    digests = rows.where(F.col("doc_id").isNotNull()).select("rid", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
     first = digests.groupBy("sha").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
     copies = digests.join(first, "sha").where("doc_id > first_doc").select("rid", "doc_id").distinct().withColumn("copy", F.lit(True))
 
-    keys = named.select("rid", "text").mapInArrow(_key_rows(cfg), "key long, rid long, times int")
-    twice = keys.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key")
-    # repeated rows share a rid: their keys are a set, so a key of one rid alone still counts as seen twice, which is harmless
-    flagged = keys.join(twice, "key").groupBy("rid").agg(F.collect_set("key").alias("keys"))
-    flagged = flagged.join(copies.select("rid"), "rid", "left_anti")
-
-    touched = bodies.join(flagged, "rid")  # ``bodies`` as in join_ranges, so one exchange of the texts serves all three uses
-    merged = touched.mapInArrow(_contents(cfg, True), "key long, cid long, doc_id long, place long, content binary")
-    dealt = merged.repartitionByRange("key") if cfg.ranged else merged.repartition("key")
-    ordered = dealt.sortWithinPartitions("key", "cid", "doc_id", "place")
-    runs = ordered.mapInArrow(_first_places(cfg), "key long, cid long, runs array<struct<a:int,b:int,doc:long,at:long>>")
-
-    places = touched.mapInArrow(_contents(cfg, False), "key long, cid long, rid long, doc_id long, place long")
+    # Uses of ``bodies`` share one exchange of the texts, uses of ``seen`` share one of the segments: every use of
+    # ``seen`` needs all its columns (see the filter), so that none is pruned from one exchange and not another.
+    live = bodies.join(copies.select("rid", "copy"), "rid", "left").where("copy is null and doc_id is not null")
+    seen = live.select("rid", "doc_id", "z").mapInArrow(_places(cfg), "key long, cid long, rid long, doc_id long, place int, span int").repartition("key")
+    w = Window.partitionBy("key")
+    again = F.col("n") > 1 if cfg.within else F.col("hi_doc") > F.col("lo_doc")
+    seen = seen.select("*", F.min("cid").over(w).alias("lo"), F.max("cid").over(w).alias("hi"), F.count("*").over(w).alias("n"), F.min("doc_id").over(w).alias("lo_doc"), F.max("doc_id").over(w).alias("hi_doc"), F.min(F.struct("doc_id", "place")).over(w).alias("f"))
+    seen = seen.where(again & F.col("rid").isNotNull() & (F.col("place") >= 0) & (F.col("span") >= 0) & F.col("lo_doc").isNotNull() & F.col("cid").isNotNull())
+
+    # One content under a key: its first place answers for all its windows.
+    before = (F.col("f.doc_id") < F.col("doc_id")) | ((F.col("f.doc_id") == F.col("doc_id")) & (F.col("f.place") < F.col("place")) if cfg.within else F.lit(False))
+    whole = lambda a, b: F.array(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")))
+    plain = seen.where((F.col("lo") == F.col("hi")) & before).select("rid", "doc_id", whole(F.col("place"), F.col("place") + F.col("span")).alias("own"))
+
+    # Several contents: they meet in one place and an engine compares their windows.
+    mixed = seen.where(F.col("lo") != F.col("hi")).select("key", "cid", "rid", "doc_id", F.col("place").cast("long").alias("place"))
+    wanted = mixed.groupBy("rid").agg(F.collect_set("key").alias("keys"))
+    contents = bodies.join(wanted, "rid").select("rid", "doc_id", "z", "keys").mapInArrow(_contents(cfg), "key long, cid long, doc_id long, place long, content binary")
+    dealt = contents.repartitionByRange("key") if cfg.ranged else contents.repartition("key")
+    runs = dealt.sortWithinPartitions("key", "cid", "doc_id", "place").mapInArrow(_first_places(cfg), "key long, cid long, runs array<struct<a:int,b:int,doc:long,at:long>>")
     earlier = lambda r: (r.doc < F.col("doc_id")) | ((r.doc == F.col("doc_id")) & (r["at"] < F.col("place") + r["a"]) if cfg.within else F.lit(False))
-    hits = places.join(runs, ["key", "cid"]).select("rid", "doc_id", F.transform(F.filter("runs", earlier), lambda r: F.struct((F.col("place") + r["a"]).alias("a"), (F.col("place") + r["b"]).alias("b"))).alias("own")).where(F.size("own") > 0)
-    ranges = hits.groupBy("rid", "doc_id").agg(F.flatten(F.collect_list("own")).alias("ranges"))
+    hits = mixed.join(runs, ["key", "cid"]).select("rid", "doc_id", F.transform(F.filter("runs", earlier), lambda r: F.struct((F.col("place") + r["a"]).alias("a"), (F.col("place") + r["b"]).alias("b"))).alias("own")).where(F.size("own") > 0)
+    ranges = plain.unionByName(hits).groupBy("rid", "doc_id").agg(F.flatten(F.collect_list("own")).alias("ranges"))
     return ranges.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("ranges", F.lit(None).cast("array<struct<a:long,b:long>>"))).select("rid", "doc_id", "copy", "ranges")
 
 
