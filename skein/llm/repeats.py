@@ -5,7 +5,8 @@ equal windows have equal minimisers at equal places. Runs of windows with one mi
 is the gram's hash. So:
 
 1. segments of all documents meet by key, as numbers only (key, content id, document, place): one shuffle. A key
-   of one document says nothing; a key with one content is answered by the first place of that content;
+   of one document says nothing; a key with one content is answered by the first place of that content (unless a window stands
+   twice in that content and places inside a document count);
 2. only keys with several contents need the symbols: they return to their documents and come back as (key, content)
    rows, where equal contents of a chunk are merged before the shuffle and carry their first place;
 3. rows with one key meet in one partition, sorted, and an engine finds for each window its first place among
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,16 +54,16 @@ class Repeats:
     ranged: bool = False
 
     def symbols(self, data: np.ndarray, offs: np.ndarray):
-        """Segments of a chunk: (first window, last window, key, row), word spans and row offsets in symbols."""
+        """Segments of a chunk: (first window, last window, key, row, loop), word spans and row offsets in symbols."""
         if self.unit == "byte":
             g = T.byte_grams(data, self.gram)
-            a, b, at, row = T.segments(offs, g, self.gram, self.window)
-            return a, b, g[at], row, None, offs
+            a, b, at, row, loop = T.segments(offs, g, self.gram, self.window)
+            return a, b, g[at] if len(at) else np.zeros(0, T.U), row, loop, None, offs
         s, e, r = T.words(data, offs)
         g = T.grams(T.spans_hash(T.prefix(data), s, e), self.gram)
         own = np.searchsorted(r, np.arange(len(offs)))
-        a, b, at, row = T.segments(own, g, self.gram, self.window)
-        return a, b, g[at] if len(at) else np.zeros(0, T.U), row, (s, e), own
+        a, b, at, row, loop = T.segments(own, g, self.gram, self.window)
+        return a, b, g[at] if len(at) else np.zeros(0, T.U), row, loop, (s, e), own
 
 
 def _content_ids(cfg: Repeats, d, a, b, spans):
@@ -75,17 +77,21 @@ def _content_ids(cfg: Repeats, d, a, b, spans):
 
 
 def _places(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row for each segment of each document: key, content id, document, first window, windows after it."""
+    """One row for each segment of each document: key, content id, document, first window,
+    and twice the windows after it, plus one where a window may stand twice in it."""
     def run(batches):
         for batch in batches:
             data, offs = T.unpack(batch.column("z"))
-            rid, doc = np.asarray(batch.column("rid")), np.asarray(batch.column("doc_id"))
+            rid, ids = np.asarray(batch.column("rid")), batch.column("doc_id")
+            doc, named = np.asarray(pc.fill_null(ids, 0)), np.asarray(pc.is_valid(ids))
             for i, j in T.chunks(offs):
                 d = data[offs[i]:offs[j]]
-                a, b, key, row, spans, own = cfg.symbols(d, offs[i:j + 1] - offs[i])
+                a, b, key, row, loop, spans, own = cfg.symbols(d, offs[i:j + 1] - offs[i])
+                ok = named[i:j][row]
+                a, b, key, row, loop = a[ok], b[ok], key[ok], row[ok], loop[ok]
                 if len(a):
                     cid = _content_ids(cfg, d, a, b, spans)[2]
-                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(T.signed(cid)), pa.array(rid[i:j][row]), pa.array(doc[i:j][row]), pa.array((a - own[row]).astype(np.int32)), pa.array((b - a).astype(np.int32))], ["key", "cid", "rid", "doc_id", "place", "span"])
+                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(T.signed(cid)), pa.array(rid[i:j][row]), pa.array(doc[i:j][row]), pa.array((a - own[row]).astype(np.int32)), pa.array((2 * (b - a) + loop).astype(np.int32))], ["key", "cid", "rid", "doc_id", "place", "span"])
     return run
 
 
@@ -98,7 +104,7 @@ def _contents(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             koff, kval = np.asarray(keys.offsets), np.asarray(keys.values).view(T.U)
             for i, j in T.chunks(offs):
                 d = data[offs[i]:offs[j]]
-                a, b, key, row, spans, own = cfg.symbols(d, offs[i:j + 1] - offs[i])
+                a, b, key, row, _, spans, own = cfg.symbols(d, offs[i:j + 1] - offs[i])
                 wanted = np.unique(kval[koff[i]:koff[j]])
                 if not len(a) or not len(wanted):
                     continue
@@ -154,7 +160,7 @@ def _first_places(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def packed(rows: DataFrame) -> DataFrame:
     """``texts()`` rows with compressed text, for the shuffle that brings texts and their repeated keys together."""
-    return rows.mapInArrow(T.pack, "rid long, doc_id long, z binary")
+    return rows.mapInArrow(T.pack, "rid long, doc_id long, z binary").where("rid is not null")
 
 
 def removed_ranges(rows: DataFrame, bodies: DataFrame, cfg: Repeats) -> DataFrame:
@@ -171,22 +177,24 @@ def removed_ranges(rows: DataFrame, bodies: DataFrame, cfg: Repeats) -> DataFram
     first = digests.groupBy("sha").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
     copies = digests.join(first, "sha").where("doc_id > first_doc").select("rid", "doc_id").distinct().withColumn("copy", F.lit(True))
 
-    # Uses of ``bodies`` share one exchange of the texts, uses of ``seen`` share one of the segments: every use of
-    # ``seen`` needs all its columns (see the filter), so that none is pruned from one exchange and not another.
-    live = bodies.join(copies.select("rid", "copy"), "rid", "left").where("copy is null and doc_id is not null")
-    seen = live.select("rid", "doc_id", "z").mapInArrow(_places(cfg), "key long, cid long, rid long, doc_id long, place int, span int").repartition("key")
+    # Uses of ``bodies`` share one exchange of the texts, uses of ``seen`` share one of the segments: the null filters
+    # that joins would add stand below the exchanges already, and every use of ``seen`` needs all its columns (see
+    # the filter), so that none is pruned from one exchange and not another.
+    live = bodies.join(copies.select("rid", "copy"), "rid", "left").where("copy is null")
+    seen = live.select("rid", "doc_id", "z").mapInArrow(_places(cfg), "key long, cid long, rid long, doc_id long, place int, span int").where("key is not null").repartition("key")
     w = Window.partitionBy("key")
-    again = F.col("n") > 1 if cfg.within else F.col("hi_doc") > F.col("lo_doc")
+    again = (F.col("n") > 1) | (F.col("span") % 2 == 1) if cfg.within else F.col("hi_doc") > F.col("lo_doc")
+    several = (F.col("lo") != F.col("hi")) | (F.col("span") % 2 == 1 if cfg.within else F.lit(False))
     seen = seen.select("*", F.min("cid").over(w).alias("lo"), F.max("cid").over(w).alias("hi"), F.count("*").over(w).alias("n"), F.min("doc_id").over(w).alias("lo_doc"), F.max("doc_id").over(w).alias("hi_doc"), F.min(F.struct("doc_id", "place")).over(w).alias("f"))
     seen = seen.where(again & F.col("rid").isNotNull() & (F.col("place") >= 0) & (F.col("span") >= 0) & F.col("lo_doc").isNotNull() & F.col("cid").isNotNull())
 
     # One content under a key: its first place answers for all its windows.
     before = (F.col("f.doc_id") < F.col("doc_id")) | ((F.col("f.doc_id") == F.col("doc_id")) & (F.col("f.place") < F.col("place")) if cfg.within else F.lit(False))
     whole = lambda a, b: F.array(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")))
-    plain = seen.where((F.col("lo") == F.col("hi")) & before).select("rid", "doc_id", whole(F.col("place"), F.col("place") + F.col("span")).alias("own"))
+    plain = seen.where(~several & before).select("rid", "doc_id", whole(F.col("place"), F.col("place") + F.floor(F.col("span") / 2)).alias("own"))
 
     # Several contents: they meet in one place and an engine compares their windows.
-    mixed = seen.where(F.col("lo") != F.col("hi")).select("key", "cid", "rid", "doc_id", F.col("place").cast("long").alias("place"))
+    mixed = seen.where(several).select("key", "cid", "rid", "doc_id", F.col("place").cast("long").alias("place"))
     wanted = mixed.groupBy("rid").agg(F.collect_set("key").alias("keys"))
     contents = bodies.join(wanted, "rid").select("rid", "doc_id", "z", "keys").mapInArrow(_contents(cfg), "key long, cid long, doc_id long, place long, content binary")
     dealt = contents.repartitionByRange("key") if cfg.ranged else contents.repartition("key")

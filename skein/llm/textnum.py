@@ -143,26 +143,27 @@ def leftmost_minimum(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(symbols_offs: np.ndarray, gram: np.ndarray, gram_len: int, window: int):
-    """Windows of ``window`` symbols inside one row, joined into runs that share their minimiser.
+    """Windows of ``window`` symbols inside one row, joined into runs with the same least gram.
 
-    symbols_offs: offsets of rows in the symbol array. Returns (first window, last window, minimiser
-    position, row) of each run; equal windows have the minimiser at the same place, hence the same key.
+    symbols_offs: offsets of rows in the symbol array. Returns (first window, last window, place of that
+    gram, row, whether the place moves, as it does where a run holds one window twice) of each run. Equal windows have equal least grams, hence the same key; runs are told apart
+    by the gram, not its place, so a word or byte repeated without end is one run.
     """
     z = np.zeros(0, np.int64)
     at = leftmost_minimum(gram, window - gram_len + 1)
     if len(at) == 0:
-        return z, z, z, z
+        return z, z, z, z, z.astype(bool)
     starts = np.arange(len(at))
     row = np.searchsorted(symbols_offs, starts, side="right") - 1
     ok = starts + window <= symbols_offs[row + 1]
     starts, row, at = starts[ok], row[ok], at[ok]
     if len(starts) == 0:
-        return z, z, z, z
+        return z, z, z, z, z.astype(bool)
     new = np.ones(len(starts), bool)
-    new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
+    new[1:] = (gram[at[1:]] != gram[at[:-1]]) | (row[1:] != row[:-1])
     f = np.flatnonzero(new)
     last = np.append(f[1:], len(starts)) - 1
-    return starts[f], starts[last], at[f], row[f]
+    return starts[f], starts[last], at[f], row[f], at[f] != at[last]
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
