@@ -5,20 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import automata, suffixes
+from skein.llm import automata, packing, suffixes, templates, tokencount, toxicity
 from skein.llm.common import table
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_finite_state_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokencount.count_tokens(table(spark, sf_dir, "documents"))
+    return out.select("*", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op6_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.scores(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = automata.remove_repeated_words(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op7_suffix_automata, op9_suffix_array)}
+QUERIES = {f.__name__: f for f in (op4_template_decontamination, op5_finite_state_tokens, op6_positive_unlabelled, op7_suffix_automata, op8_mixture_packing, op9_suffix_array)}
 
 ORACLES: dict[str, str] = {}
