@@ -39,3 +39,33 @@ def repeated_bytes(docs):
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out[d] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def shingle_set(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = WORD.findall(low)
+    return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+
+
+def near_components(docs):
+    """{doc_id: (n_shingles, component_id)} for distinct ids."""
+    s = {d: shingle_set(t) for d, t in docs}
+    by = {}
+    for d, x in s.items():
+        for g in x:
+            by.setdefault(g, []).append(d)
+    root = {d: d for d in s}
+
+    def find(d):
+        while root[d] != d:
+            root[d] = root[root[d]]
+            d = root[d]
+        return d
+
+    for d, x in s.items():
+        for e in {e for g in x for e in by[g] if e > d}:
+            both = len(x & s[e])
+            if 100 * both >= 80 * (len(x) + len(s[e]) - both):
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+    return {d: (len(s[d]), find(d)) for d in s}
