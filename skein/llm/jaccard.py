@@ -223,10 +223,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns as they are, that stand for their component: the one of the smallest doc_id.
 
-    Rows without shingles are linked with nothing and stay. Of repeated rows of the smallest doc_id one stays.
+    Rows without shingles are linked with nothing and stay, and so do rows of components without any doc_id. Of
+    several rows with the smallest doc_id one text stays, once.
     """
-    found = near_duplicates(docs, id_col, text_col).where("n_shingles > 0 and component_id is not null and (doc_id is null or doc_id > component_id)").select(F.col("rid").alias("_rid")).distinct()
+    found = cut(near_duplicates(docs, id_col, text_col).where("n_shingles > 0 and component_id is not null"), "groups")
+    best = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("rid").alias("best"), F.count("*").alias("rows"))
+    state = found.select("rid", "component_id").distinct().join(best, "component_id").select(F.col("rid").alias("_rid"), F.when(F.col("rid") != F.col("best"), "drop").when(F.col("rows") > 1, "once").alias("_state")).where("_state is not null")
     key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    kept = docs.join(found, key == F.col("_rid"), "left_anti")
-    blank = F.trim(F.translate(F.coalesce(kept[text_col].cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    return kept.where(blank).unionByName(kept.where(~blank).dropDuplicates([id_col]))
+    out = docs.join(state, key == F.col("_rid"), "left")
+    once = out.where("_state = 'once'").dropDuplicates(["_rid"])
+    return out.where("_state is null").unionByName(once).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import automata, iblt, jaccard, packing, secrets, suffixes, templates, tokencount, toxicity
+from skein.llm import automata, blocks, iblt, jaccard, packing, secrets, suffixes, templates, tokencount, toxicity
 from skein.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_recurrent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,6 @@ def op10_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_blob_ledger_secrets, op2_heavy_light_jaccard, op4_template_decontamination, op5_finite_state_tokens, op6_positive_unlabelled, op7_suffix_automata, op8_mixture_packing, op9_suffix_array, op10_lookup_sketch)}
+QUERIES = {f.__name__: f for f in (op1_blob_ledger_secrets, op2_heavy_light_jaccard, op3_recurrent_blocks, op4_template_decontamination, op5_finite_state_tokens, op6_positive_unlabelled, op7_suffix_automata, op8_mixture_packing, op9_suffix_array, op10_lookup_sketch)}
 
 ORACLES: dict[str, str] = {"op1_blob_ledger_secrets": secrets.ORACLE}

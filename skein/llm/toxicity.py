@@ -156,8 +156,18 @@ def scores(docs: DataFrame, model) -> DataFrame:
     return texts(docs).mapInArrow(_score(model), "rid long, doc_id long, score double")
 
 
+def _accept(model):
+    """Batches of any columns, without the rows whose text scores 0.5 or more."""
+    def run(batches):
+        score = _score(model)
+        for batch in batches:
+            only = pa.RecordBatch.from_arrays([batch.column("text")], ["text"])
+            keep = np.asarray(next(score(iter([only]))).column("score")) < 0.5
+            yield batch.filter(pa.array(keep))
+    return run
+
+
 def keep_clean(docs: DataFrame, model) -> DataFrame:
-    """Rows of ``docs`` with a score under 0.5, all columns as they are."""
-    rid = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
-    bad = scores(docs, model).where("score >= 0.5").select(F.col("rid").alias("_bad_rid")).distinct()
-    return docs.join(bad, rid == F.col("_bad_rid"), "left_anti")
+    """Rows of ``docs`` with a score under 0.5, all columns as they are; no shuffle."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_accept(model), docs.schema)
