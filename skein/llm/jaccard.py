@@ -30,7 +30,7 @@ from skein.llm.components import components
 
 SHINGLE, SIMILAR = 5, 80
 #: Shingles counted together when looking for frequent ones, the count that makes one frequent, and how many are listed.
-BLOCK, OFTEN, LISTED = 1 << 20, 4, 1 << 16
+BLOCK, OFTEN, LISTED = 1 << 22, 4, 1 << 20
 #: Largest set that may count as small, and the cost of a comparison in postings.
 MAX_SMALL, COMPARE = 64, 8.0
 
@@ -66,7 +66,7 @@ def _needed(n):
 
 def _statistics(batches):
     """Histogram rows (kind 0: size, sets) and frequent shingles of each block (kind 1: shingle, count); kind 2: repeats."""
-    held, load = [], 0
+    held, load, seen = [], 0, np.zeros(0, T.U)
 
     def flush():
         h, n = np.unique(np.concatenate(held), return_counts=True)
@@ -79,15 +79,27 @@ def _statistics(batches):
             h, own = sets(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
             size, n = np.unique(np.minimum(np.diff(own), 2 * MAX_SMALL), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(size.astype(np.int64)), pa.array(n)], ["kind", "what", "n"])
+            total = np.concatenate([np.zeros(1, T.U), np.cumsum(T.mix(h))])
+            sid = total[own[1:]] - total[own[:-1]]
+            fresh = np.zeros(len(sid), bool)  # copies count once in a block
+            fresh[np.unique(sid, return_index=True)[1]] = True
+            fresh &= ~np.isin(sid, seen)
+            seen = np.union1d(seen, sid[fresh])
+            h = h[np.repeat(fresh, np.diff(own))]
             held.append(h)
             load += len(h)
             if load >= BLOCK:
                 yield flush()
-                held, load = [], 0
+                held, load, seen = [], 0, np.zeros(0, T.U)
     if load:
         yield flush()
 
 
+def _bundle(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column("what")).tobytes()], pa.binary())], ["hashes"])
+
+
 def choose_boundary(histogram: dict[int, int], repeats: float) -> int:
     """Largest size that counts as small: least sum of subset keys, postings and expected comparisons."""
     first = lambda n: n - _needed(n) + 1
@@ -186,8 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stats = cut(stats, "shingles")
     histogram = {r.what: r.n for r in stats.where("kind = 0").collect()}  # at most 2 * MAX_SMALL + 1 rows
     again, total = (stats.where(F.col("kind") == k).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for k in (2, 3))
-    often = stats.where("kind = 1").orderBy(F.desc("n"), "what").limit(LISTED).select("what").collect()
-    frequent = np.sort(np.array([r.what for r in often], np.int64).view(T.U))
+    often = stats.where("kind = 1").orderBy(F.desc("n"), "what").limit(LISTED).select("what").mapInArrow(_bundle, "hashes binary").collect()
+    frequent = np.sort(np.frombuffer(b"".join(r.hashes for r in often), T.U))  # at most 8 bytes x LISTED
     boundary = choose_boundary(histogram, again / max(1, total))
 
     bodies = rows.mapInArrow(T.pack, "rid long, doc_id long, z binary").where("rid is not null").dropDuplicates(["rid"])
