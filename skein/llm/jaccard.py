@@ -176,11 +176,15 @@ def _similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def _bound(na, nb, ata=None, atb=None):
-    """Length bound, and for a shingle at known ranks the position bound, of a pair."""
+    """Length bound, and for a shingle at known ranks the position bound, of a pair.
+
+    The position bound takes the shingle for the first one in common: a pair also meets on its first one, and
+    there the bound holds, so no similar pair is lost.
+    """
     ok = (F.least(na, nb) * 100 >= F.greatest(na, nb) * SIMILAR)
     if ata is None:
         return ok
-    most = F.least(ata, atb) + 1 + F.least(na - ata, nb - atb) - 1
+    most = F.least(na - ata, nb - atb)
     return ok & ((ata < 0) | (most * (100 + SIMILAR) >= (na + nb) * SIMILAR))
 
 
