@@ -15,18 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BROADCAST_ROWS = 2_000_000
-
 
 def _chunk_table(df: DataFrame, chunk: Column, aggs: dict[str, Column]) -> DataFrame:
     return df.groupBy(chunk.alias("_chunk")).agg(*[v.alias(k) for k, v in aggs.items()])
 
 
 def _attach(df: DataFrame, chunks: DataFrame) -> DataFrame:
-    # the chunk table has one row per chunk of the key range; broadcast only under a row bound
-    n = chunks.count()
-    side = F.broadcast(chunks) if n <= BROADCAST_ROWS else chunks
-    return df.join(side, "_chunk")
+    # one row per chunk of the key range: the planner broadcasts it under its own byte threshold
+    return df.join(chunks, "_chunk")
 
 
 def global_ordinal(df: DataFrame, chunk: Column, order: Sequence[Column], name: str = "ordinal") -> DataFrame:

@@ -8,6 +8,8 @@ round.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,17 +60,17 @@ def slot_support(cat: Catalog, coarse: bool = False) -> DataFrame:
     return x.select("db_id", F.concat("slot_type", F.lit("_col_"), F.col("i").cast("string")).alias("slot"))
 
 
-def fk_canonical(cat: Catalog, max_rounds: int = 32) -> DataFrame:
+def fk_canonical(cat: Catalog) -> DataFrame:
     """C4: foreign-key equivalence classes; each column maps to the smallest id of its class.
 
     Connected components by iterated min-label propagation over undirected FK
     edges: each round joins labels along edges and keeps the minimum; stops at
-    a fixpoint (bounded by the graph diameter, capped at ``max_rounds``).
+    the fixpoint.
     """
     e = cat.fks.select("db_id", F.col("column_id").alias("a"), F.col("other_column_id").alias("b"))
     edges = e.unionByName(e.select("db_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = edges.select("db_id", F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(max_rounds):
+    while True:
         prop = edges.join(labels.withColumnRenamed("node", "b"), ["db_id", "b"]).select(
             "db_id", F.col("a").alias("node"), F.col("label").alias("cand"))
         new = labels.join(prop, ["db_id", "node"], "left").groupBy("db_id", "node").agg(
@@ -92,7 +94,7 @@ def table_edges(cat: Catalog) -> DataFrame:
         .filter(F.col("src") != F.col("dst")).distinct()
 
 
-def join_path(cat: Catalog, max_hops: int = 8) -> DataFrame:
+def join_path(cat: Catalog) -> DataFrame:
     """Shortest FK path between every pair of tables (BFS by frontier joins).
 
     Ties go to the lexicographically smallest path text; pairs without a path
@@ -102,7 +104,7 @@ def join_path(cat: Catalog, max_hops: int = 8) -> DataFrame:
     frontier = edges.select("db_id", "src", "dst", F.lit(1).alias("hops"),
                             F.concat_ws(" ", "src", "dst").alias("path"))
     best = frontier
-    for hops in range(2, max_hops + 1):
+    for hops in count(2):
         nxt_edges = edges.select("db_id", F.col("src").alias("dst"), F.col("dst").alias("nxt"))
         step = frontier.join(nxt_edges, ["db_id", "dst"]) \
             .filter(~F.array_contains(F.split("path", " "), F.col("nxt"))) \
@@ -119,20 +121,20 @@ def join_path(cat: Catalog, max_hops: int = 8) -> DataFrame:
     return best.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
-def serialize_schema(cat: Catalog, style: str = "peteshaw", with_db_id: bool = True,
+def serialize_schema(cat: Catalog, style: str = "pipe", with_db_id: bool = True,
                      randomized_seed: str | None = None) -> DataFrame:
     """One schema string per database.
 
-    peteshaw: `` | db | table : col , col | table : ...``; verbose:
+    pipe: `` | db | table : col , col | table : ...``; verbose:
     ``Database: db. Table: t. Columns: a, b``. With a seed the table order is
     md5(seed || table) instead of table id (deterministic shuffle).
     """
     cols = cat.columns.filter(F.col("column_id") > 0)
     per_table = cols.groupBy("db_id", "table_id", "table_name").agg(
         F.array_sort(F.collect_list(F.struct("column_id", F.lower("column_name").alias("c")))).alias("cs"))
-    sep = " , " if style == "peteshaw" else ", "
+    sep = " , " if style == "pipe" else ", "
     col_text = F.array_join(F.transform("cs", lambda s: s["c"]), sep)
-    if style == "peteshaw":
+    if style == "pipe":
         ttext = F.concat(F.lit(" | "), F.lower("table_name"), F.lit(" : "), col_text)
     else:
         ttext = F.concat(F.lit("Table: "), F.lower("table_name"), F.lit(". Columns: "), col_text)
@@ -140,10 +142,10 @@ def serialize_schema(cat: Catalog, style: str = "peteshaw", with_db_id: bool = T
     per_table = per_table.select("db_id", order.alias("o"), F.col("table_id"), ttext.alias("t"))
     per_db = per_table.groupBy("db_id").agg(
         F.array_sort(F.collect_list(F.struct("o", "table_id", "t"))).alias("ts"))
-    tsep = "" if style == "peteshaw" else ". "
+    tsep = "" if style == "pipe" else ". "
     body = F.array_join(F.transform("ts", lambda s: s["t"]), tsep)
     if with_db_id:
-        head = F.concat(F.lit(" | "), F.col("db_id")) if style == "peteshaw" else \
+        head = F.concat(F.lit(" | "), F.col("db_id")) if style == "pipe" else \
             F.concat(F.lit("Database: "), F.col("db_id"), F.lit(". "))
         body = F.concat(head, body)
     return per_db.select("db_id", body.alias("schema"))

@@ -66,7 +66,7 @@ def contexts(turns: DataFrame, schema: DataFrame) -> DataFrame:
     before = w.rowsBetween(_UNB, -1)
     x = x.withColumn("prev_q", F.reverse(F.collect_list("target").over(before))) \
         .withColumn("prev_s", F.reverse(F.collect_list("query").over(before)))
-    sch = F.broadcast(schema.select("db_id", F.regexp_replace("schema", r"^[ |]+", "").alias("schema")))
+    sch = schema.select("db_id", F.regexp_replace("schema", r"^[ |]+", "").alias("schema"))
     return x.join(sch, "db_id", "left").select(
         "conv_id", "turn_idx", "goal", F.array_join("prev_q", " / ").alias("question"),
         F.array_join("prev_s", " / ").alias("query"), "target", "schema")
@@ -74,7 +74,7 @@ def contexts(turns: DataFrame, schema: DataFrame) -> DataFrame:
 
 def model_input(hist: DataFrame, schema: DataFrame, prefix: str = "") -> DataFrame:
     """Prefix + last utterance + schema + `` || `` + older utterances newest first."""
-    sch = F.broadcast(schema.select("db_id", F.trim("schema").alias("schema")))
+    sch = schema.select("db_id", F.trim("schema").alias("schema"))
     x = hist.join(sch, "db_id", "left")
     older = F.reverse(F.slice("utterances", 1, F.size("utterances") - 1))
     tail = F.when(F.size("utterances") > 1, F.concat(F.lit(" || "), F.array_join(F.transform(older, F.trim), " | "))) \
@@ -138,7 +138,7 @@ def sessionize(rows: DataFrame, order_key: str, turn_col: str, chunk_size: int =
         .withColumn("_chunk", F.floor(F.col(order_key) / chunk_size))
     last = x.groupBy("_chunk").agg(F.max_by("_t", order_key).alias("_last"))
     last = last.withColumn("_prev_last", F.lag("_last").over(Window.orderBy("_chunk")))
-    x = x.join(F.broadcast(last.select("_chunk", "_prev_last")), "_chunk")
+    x = x.join(last.select("_chunk", "_prev_last"), "_chunk")
     prev = F.coalesce(F.lag("_t").over(Window.partitionBy("_chunk").orderBy(order_key)), F.col("_prev_last"))
     x = x.withColumn("_reset", F.when(prev.isNull() | (F.col("_t") <= prev), 1).otherwise(0))
     x = ordered.running_sum(x.drop("_prev_last"), F.col("_chunk"), [F.col(order_key)], F.col("_reset"), "session")

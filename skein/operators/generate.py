@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.hashing import bucket
-from skein.functions.sizing import broadcast_if_small
 from skein.operators import tokens as tk
 from skein.session import cut_lineage
 
@@ -44,7 +43,7 @@ def templatize(nf: DataFrame, keys: list[str], typed: DataFrame) -> DataFrame:
     ``typed`` = C2 typed columns (metadata, broadcast after a size check).
     Output: keys + template.
     """
-    tmap = broadcast_if_small(typed.select(F.lower(F.concat_ws(".", "table_name", "column_name")).alias("ntok"),
+    tmap = (typed.select(F.lower(F.concat_ws(".", "table_name", "column_name")).alias("ntok"),
                                            F.col("slot_type").alias("ctype")))
     x = nf.join(tmap, "ntok", "left")
     wc = Window.partitionBy(*keys, "ntok")
@@ -136,11 +135,11 @@ def sample_template_first(seeds: DataFrame, stats: DataFrame, supp: DataFrame, s
     """Template drawn by p, then a supporting database uniformly (sorted list, md5 index)."""
     s = seeds.select("seed", _hash32(salt, "seed").alias("h"))
     s = s.withColumn("bkt", F.shiftright("h", 22).cast("int"))  # 2^32 / N_BUCKETS
-    cum = broadcast_if_small(cumulative(stats))
+    cum = cumulative(stats)
     pos = F.col("h") * F.col("total")
     x = s.join(cum, "bkt").filter((pos >= F.col("lo_n") * F.lit(1 << 32)) & (pos < F.col("hi_n") * F.lit(1 << 32)))
     dbs = supp.groupBy("template").agg(F.array_sort(F.collect_list("db_id")).alias("dbs"))
-    x = x.join(broadcast_if_small(dbs), "template")
+    x = x.join(dbs, "template")
     pick = F.element_at("dbs", (bucket(salt + "db", "seed", F.size("dbs")) + 1).cast("int"))
     return x.select("seed", "template", pick.alias("db_id"), F.size("dbs").alias("n_supported"))
 
@@ -149,7 +148,7 @@ def assign_columns(draws: DataFrame, typed: DataFrame, salt: str = "g10") -> Dat
     """Random one-to-one placeholder -> column within type: rank columns by md5(seed || column)."""
     cols = typed.select("db_id", F.lower(F.concat_ws(".", "table_name", "column_name")).alias("col"),
                         F.col("slot_type").alias("ctype"), "table_name", "column_name")
-    x = draws.select("seed", "db_id").join(broadcast_if_small(cols), "db_id")
+    x = draws.select("seed", "db_id").join(cols, "db_id")
     r = F.row_number().over(Window.partitionBy("seed", "ctype").orderBy(
         F.md5(F.concat(F.lit(salt + ":"), F.col("seed").cast("string"), F.lit("|"), F.col("col"))), F.col("col")))
     x = x.withColumn("slot", F.concat("ctype", F.lit("_col_"), (r - 1).cast("string")))

@@ -120,7 +120,7 @@ def alias_map(df: DataFrame, keys: list[str], toks: str, table_names: DataFrame)
     x = df.select(*keys, F.explode(_alias_entries(toks)).alias("e"))
     x = x.select(*keys, "e.alias", "e.table_name")
     names = table_names.select(F.lower("table_name").alias("alias")).distinct().withColumn("alias_is_table", F.lit(True))
-    return (x.join(F.broadcast(names), "alias", "left")
+    return (x.join(names, "alias", "left")
             .select(*keys, "alias", "table_name", F.coalesce("alias_is_table", F.lit(False)).alias("alias_is_table")))
 
 
@@ -139,7 +139,7 @@ def resolve_aliases(toks) -> Column:
         hit = F.filter(ent, lambda e: e["alias"] == pre)
         return F.when(t.contains(".") & (F.size(hit) > 0),
                       F.concat(F.element_at(hit, 1)["table_name"], F.lit("."),
-                               F.substring(t, F.length(pre) + 2, 1 << 20))).otherwise(t)
+                               F.substring(t, F.length(pre) + 2, F.length(t)))).otherwise(t)
     return respace(F.array_join(F.transform(keep, rewrite), " "))
 
 
@@ -199,7 +199,7 @@ def fill_values(post, values) -> Column:
         m = F.regexp_extract(acc, PLACEHOLDER_PATTERN, 0)
         at = F.regexp_instr(acc, F.lit(PLACEHOLDER_PATTERN))
         put = F.concat(F.substring(acc, 1, at - 1), F.replace(m, F.lit("1"), v),
-                       F.substring(acc, at + F.length(m), 1 << 30))
+                       F.substring(acc, at + F.length(m), F.length(acc)))
         return F.when(at > 0, F.replace(put, F.lit("  "), F.lit(" "))).otherwise(acc)
     return F.aggregate(vals, _c(post), step)
 
@@ -235,5 +235,5 @@ def oov_tokens(df: DataFrame, keys: list[str], toks: str, known: DataFrame) -> D
     tokens reach the shuffle of the per-row aggregate.
     """
     x = df.select(*keys, F.posexplode(toks).alias("pos", "token"))
-    x = x.join(F.broadcast(known.select("token").distinct()), "token", "left_anti")
+    x = x.join(known.select("token").distinct(), "token", "left_anti")
     return x.groupBy(*keys).agg(F.min_by("token", "pos").alias("first_oov"), F.count("*").alias("n_oov"))

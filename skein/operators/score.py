@@ -328,40 +328,37 @@ def _with_f(df: DataFrame) -> DataFrame:
     return df.withColumn("acc", v).withColumn("rec", v).withColumn("f1", v)
 
 
-def _iuen(ok: DataFrame, key: str, max_depth: int = 3) -> DataFrame:
+def _iuen(ok: DataFrame, key: str) -> DataFrame:
     """IUEN of the top block and exact match of the whole query, per key.
 
-    The set-operation chain of one query is gathered into a map path ->
-    (ok_base, presence flags); the recursion "an operand matches when its
-    own components and operands match" is unrolled to ``max_depth`` levels
-    as one expression (no per-level joins).
+    The set-operation blocks of one query are gathered as entries (path, ok,
+    presence flags) and folded from the deepest to the top: an operand matches
+    when its own components and operands match. A child's path is longer than
+    its parent's, so its result is known before the parent needs it, whatever
+    the depth.
     """
-    flag = lambda s, k: F.coalesce(F.col(f"{s}_has_{k}"), F.lit(0))
-    entry = F.struct(F.col("ok_base").alias("ok"),
-                     *[flag(s, k).alias(f"{s}_{k}") for s in ("gold", "pred") for k in tk.SET_WORDS])
-    m = ok.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("path", entry))).alias("m"))
-
-    def get(path: str, field: str):
-        return F.coalesce(F.col("m")[F.lit(path)][field], F.lit(0 if field != "ok" else False))
-
-    def counts(path: str, depth: int):
-        lt = sum((get(path, f"gold_{k}") for k in tk.SET_WORDS), F.lit(0))
-        pt = sum((get(path, f"pred_{k}") for k in tk.SET_WORDS), F.lit(0))
-        cnt = F.lit(0)
-        for k in tk.SET_WORDS:
-            both = (get(path, f"gold_{k}") > 0) & (get(path, f"pred_{k}") > 0)
-            cnt = cnt + F.when(both & exact(path + k[0], depth + 1), 1).otherwise(0)
-        return lt, pt, cnt
-
-    def exact(path: str, depth: int):
-        if depth >= max_depth:
-            return get(path, "ok")
-        lt, pt, cnt = counts(path, depth)
-        return get(path, "ok") & (lt == pt) & (cnt == pt)
-
-    lt, pt, cnt = counts("", 0)
-    return m.select(key, lt.cast("long").alias("label_total"), pt.cast("long").alias("pred_total"),
-                    cnt.cast("long").alias("cnt"), exact("", 0).alias("exact_full"))
+    flags = [F.coalesce(F.col(f"{s}_has_{k}"), F.lit(0)).cast("int").alias(f"{s}_{k}") for s in ("gold", "pred") for k in tk.SET_WORDS]
+    entry = F.struct((-F.length("path")).alias("rank"), "path", F.coalesce("ok_base", F.lit(False)).alias("ok"), *flags)
+    m = ok.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("m"))
+
+    def total(e, side: str):
+        return sum((e[f"{side}_{k}"] for k in tk.SET_WORDS), F.lit(0))
+
+    def matched(known, e):
+        both = lambda k: (e[f"gold_{k}"] > 0) & (e[f"pred_{k}"] > 0)
+        child = lambda k: F.coalesce(F.try_element_at(known, F.concat(e["path"], F.lit(k[0]))), F.lit(False))
+        return sum((F.when(both(k) & child(k), 1).otherwise(0) for k in tk.SET_WORDS), F.lit(0))
+
+    def step(known, e):
+        lt, pt, cnt = total(e, "gold"), total(e, "pred"), matched(known, e)
+        return F.map_concat(known, F.create_map(e["path"], e["ok"] & (lt == pt) & (cnt == pt)))
+
+    known = F.aggregate("m", F.expr("cast(map() as map<string,boolean>)"), step)
+    m = m.withColumn("known", known).withColumn("top", F.try_element_at(F.filter("m", lambda e: e["path"] == ""), F.lit(1)))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return m.select(key, none(total(F.col("top"), "gold")).alias("label_total"), none(total(F.col("top"), "pred")).alias("pred_total"),
+                    none(matched(F.col("known"), F.col("top"))).alias("cnt"),
+                    F.coalesce(F.try_element_at("known", F.lit("")), F.lit(False)).alias("exact_full"))
 
 
 # ---------------------------------------------------------------- reports
@@ -424,9 +421,8 @@ def dedup_pairs(ql: DataFrame, gold: str = "gold", pred: str = "pred", key: str
     A hot pair (one text holding a third of the log) collapses to one row in
     the partial aggregate before the shuffle, so no task sees the hot group.
     """
-    pair = F.md5(F.concat_ws("\u0001", F.col(gold), F.col(pred)))
-    return ql.groupBy(pair.alias("pair")).agg(F.min(gold).alias("gold"), F.min(pred).alias("pred"),
-                                               F.count("*").alias("mult"), F.min(key).alias(key))
+    return ql.groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(
+        F.count("*").alias("mult"), F.min(key).alias(key))
 
 
 def score_report_dedup(ql: DataFrame, cat_columns: DataFrame, key: str = "query_id") -> DataFrame:

@@ -216,7 +216,7 @@ def d32(spark, d):
     u = Tables(spark, d).conversations.filter(F.col("role") == "user")
     w = u.select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z_]+"), 0))
                  .alias("pos", "word"))
-    x = w.join(F.broadcast(keys), w["word"] == keys["k"], "left")
+    x = w.join(keys, w["word"] == keys["k"], "left")
     return x.select("conv_id", "turn", F.col("pos").cast("int"), "word", "pointer")
 
 

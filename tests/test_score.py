@@ -45,3 +45,17 @@ def test_changed_operator_or_aggregate_breaks_exact_match(spark):
     ]
     ex, _ = _exact(spark, pairs)
     assert ex == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
+def test_set_operation_chains_of_any_length(spark):
+    parts = [f"select n_name from nation where n_nationkey > {i}" for i in range(6)]
+    chain = " intersect ".join(parts)
+    other = " intersect ".join([*parts[:5], "select n_comment from nation where n_nationkey > 5"])
+    ex, _ = _exact(spark, [(chain, chain), (chain, other)])
+    assert ex == {0: 1, 1: 0}
+
+
+def test_pairs_with_nulls_stay_apart(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, "a"), (3, "a", None)], "query_id long, gold string, pred string")
+    got = {(r.gold, r.pred): (r.mult, r.query_id) for r in sc.dedup_pairs(df).collect()}
+    assert got == {("a", None): (2, 1), (None, "a"): (1, 2)}
