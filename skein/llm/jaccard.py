@@ -1,8 +1,8 @@
 """Exact similarity join of word-shingle sets (Jaccard of SIMILAR / 100 or more) by a size-aware heavy-light plan.
 
-Copies are collapsed first: one vertex for each different set. Sets are put in one global order of shingles, with
-frequent ones last (a bounded list of those that recur within blocks of the corpus; it only orders, so it cannot
-change results). Two similar sets share at least c of the first n - t + c shingles of that order, t = ceil(0.8 n):
+Copies are collapsed first: one vertex for each different set. Sets are put in one global order of shingles, the
+more frequent the later: all shingles of all rows are counted by short hash, and the LISTED most frequent ones are
+ordered by their count (the list only orders, so its length cannot change results). Two similar sets share at least c of the first n - t + c shingles of that order, t = ceil(0.8 n):
 
 * a small set (at most ``boundary`` shingles) enumerates the 2-subsets of its first n - t + 2 shingles: small sets
   meet on two shingles at once, which hardly ever happens by accident;
@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ from skein.llm.common import cut, small_batches, texts
 from skein.llm.components import components
 
 SHINGLE, SIMILAR = 5, 80
-#: Shingles counted together when looking for frequent ones, the count that makes one frequent, and how many are listed.
-BLOCK, OFTEN, LISTED = 1 << 22, 4, 1 << 20
+#: Shingles deduplicated together before all are counted, the count that makes one frequent, how many are listed at
+#: most, and the bits of the short hashes that are counted (two that meet are ordered alike, no more).
+BLOCK, OFTEN, LISTED, SHORT = 1 << 22, 2, 1 << 20, 48
 #: Largest set that may count as small, and the cost of a comparison in postings.
 MAX_SMALL, COMPARE = 64, 8.0
 
@@ -64,40 +66,84 @@ def _needed(n):
     return -(-SIMILAR * n // 100)
 
 
-def _statistics(batches):
-    """Histogram rows (kind 0: size, sets) and frequent shingles of each block (kind 1: shingle, count); kind 2: repeats."""
-    held, load, seen = [], 0, np.zeros(0, T.U)
+def _ranges(spark) -> int:
+    """Ranges of short hashes that are counted apart: they follow the session's partition count, as tasks should."""
+    return 1 << max(8, (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+
+
+def _statistics(ranges: int):
+    """Histogram rows (kind 0: size, sets), the short hashes of each block by range (kind 1), repeats (kind 2, of kind 3)."""
+    width = T.U(SHORT - ranges.bit_length() + 1)
+
+    def run(batches):
+        held, load, seen = [], 0, np.zeros(0, T.U)
+        zip_ = zstandard.ZstdCompressor(level=1)
+
+        def flush():
+            h, n = np.unique(np.concatenate(held) >> T.U(64 - SHORT), return_counts=True)
+            part, start = np.unique(h >> width, return_index=True)
+            z = []
+            for one in np.split(h, start[1:]):
+                planes = np.diff(one, prepend=T.U(0)).view(np.uint8).reshape(-1, 8).T
+                z.append(zip_.compress(np.ascontiguousarray(planes).tobytes()))
+            kinds = np.concatenate([np.ones(len(part), np.int32), [2, 3]]).astype(np.int32)
+            what = np.concatenate([part.astype(np.int64), [0, 0]])
+            count = np.concatenate([np.zeros(len(part), np.int64), [int(n.sum()) - len(h), int(n.sum())]])
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(what), pa.array(count), pa.array([*z, None, None], pa.binary())], ["kind", "what", "n", "z"])
+
+        for batch in batches:
+            data, offs = T.buffers(batch.column("text"))
+            for i, j in T.chunks(offs):
+                h, own = sets(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+                size, n = np.unique(np.minimum(np.diff(own), 2 * MAX_SMALL), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(size.astype(np.int64)), pa.array(n), pa.nulls(len(n), pa.binary())], ["kind", "what", "n", "z"])
+                total = np.concatenate([np.zeros(1, T.U), np.cumsum(T.mix(h))])
+                sid = total[own[1:]] - total[own[:-1]]
+                fresh = np.zeros(len(sid), bool)  # copies count once in a block
+                fresh[np.unique(sid, return_index=True)[1]] = True
+                fresh &= ~np.isin(sid, seen)
+                seen = np.union1d(seen, sid[fresh])
+                h = h[np.repeat(fresh, np.diff(own))]
+                held.append(h)
+                load += len(h)
+                if load >= BLOCK:
+                    yield flush()
+                    held, load, seen = [], 0, np.zeros(0, T.U)
+        if load:
+            yield flush()
+    return run
+
+
+def _count(batches):
+    """Rows of ``_statistics`` sorted by kind and what: those of kind 1 become (short hash, blocks that hold it), from OFTEN on."""
+    unzip = zstandard.ZstdDecompressor()
+    held, last = [], None
 
     def flush():
         h, n = np.unique(np.concatenate(held), return_counts=True)
         often = n >= OFTEN
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.ones(int(often.sum()), np.int32), [2, 3]]).astype(np.int32)), pa.array(np.concatenate([T.signed(h[often]), [0, 0]])), pa.array(np.concatenate([n[often], [int(n.sum()) - len(h), int(n.sum())]]))], ["kind", "what", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(int(often.sum()), np.int32)), pa.array(T.signed(h[often])), pa.array(n[often])], ["kind", "what", "n"])
 
     for batch in batches:
-        data, offs = T.buffers(batch.column("text"))
-        for i, j in T.chunks(offs):
-            h, own = sets(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
-            size, n = np.unique(np.minimum(np.diff(own), 2 * MAX_SMALL), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(size.astype(np.int64)), pa.array(n)], ["kind", "what", "n"])
-            total = np.concatenate([np.zeros(1, T.U), np.cumsum(T.mix(h))])
-            sid = total[own[1:]] - total[own[:-1]]
-            fresh = np.zeros(len(sid), bool)  # copies count once in a block
-            fresh[np.unique(sid, return_index=True)[1]] = True
-            fresh &= ~np.isin(sid, seen)
-            seen = np.union1d(seen, sid[fresh])
-            h = h[np.repeat(fresh, np.diff(own))]
-            held.append(h)
-            load += len(h)
-            if load >= BLOCK:
+        kind = np.asarray(batch.column("kind"))
+        plain = batch.filter(pa.array(kind != 1))
+        if plain.num_rows:
+            yield plain.select(["kind", "what", "n"])
+        for k in np.flatnonzero(kind == 1).tolist():
+            part = batch.column("what")[k].as_py()
+            if held and part != last:
                 yield flush()
-                held, load, seen = [], 0, np.zeros(0, T.U)
-    if load:
+                held = []
+            last = part
+            planes = np.frombuffer(unzip.decompress(batch.column("z")[k].as_py()), np.uint8).reshape(8, -1)
+            held.append(np.cumsum(np.ascontiguousarray(planes.T).view(T.U).ravel(), dtype=T.U))
+    if held:
         yield flush()
 
 
 def _bundle(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column("what")).tobytes()], pa.binary())], ["hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column(c)).astype(np.int64).tobytes()], pa.binary()) for c in ("what", "n")], ["hashes", "counts"])
 
 
 def choose_boundary(histogram: dict[int, int], repeats: float) -> int:
@@ -119,7 +165,8 @@ def _members(batches):
             yield pa.RecordBatch.from_arrays([batch.column("rid").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(T.signed(T.mix(total[own[1:]] - total[own[:-1]] + n.astype(T.U))))], ["rid", "doc_id", "n", "sid"])
 
 
-def _postings(frequent: np.ndarray, boundary: int):
+def _postings(frequent: np.ndarray, counts: np.ndarray, boundary: int):
+    """Postings of the first shingles in order of (blocks that hold it, hash); ``frequent`` is sorted short hashes."""
     def run(batches):
         for batch in batches:
             data, offs = T.unpack(batch.column("z"))
@@ -129,8 +176,7 @@ def _postings(frequent: np.ndarray, boundary: int):
                 if not len(h):
                     continue
                 row = np.repeat(np.arange(j - i), np.diff(own))
-                hot = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
-                h = h[np.lexsort((h, hot, row))]
+                h = h[np.lexsort((h, _grade(h, frequent, counts), row))]
                 n = np.diff(own)[row]
                 rank = np.arange(len(h)) - own[row]
                 post = (n > 1) & (100 * n >= SIMILAR * (boundary + 1)) & (rank <= n - _needed(n))
@@ -147,6 +193,15 @@ def _postings(frequent: np.ndarray, boundary: int):
     return run
 
 
+def _grade(h: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Count of each shingle in the list of frequent ones; 0 for those outside it."""
+    if not len(frequent):
+        return np.zeros(len(h), np.int64)
+    short = h >> T.U(64 - SHORT)
+    at = np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)
+    return np.where(frequent[at] == short, counts[at], 0)
+
+
 def _compare(batches):
     """Pairs (a, za, b, zb) sorted by a: those that are similar."""
     last, known = None, None
@@ -198,18 +253,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     rows = texts(docs, id_col, text_col)
-    stats = rows.select("text").mapInArrow(_statistics, "kind int, what long, n long").groupBy("kind", "what").agg(F.sum("n").alias("n"))
-    stats = cut(stats, "shingles")
-    histogram = {r.what: r.n for r in stats.where("kind = 0").collect()}  # at most 2 * MAX_SMALL + 1 rows
+    counted = rows.select("text").mapInArrow(_statistics(_ranges(spark)), "kind int, what long, n long, z binary")
+    counted = counted.repartition("kind", "what").sortWithinPartitions("kind", "what").mapInArrow(_count, "kind int, what long, n long")
+    stats = cut(counted, "shingles")
+    histogram = {r.what: r.n for r in stats.where("kind = 0").groupBy("what").agg(F.sum("n").alias("n")).collect()}  # at most 2 * MAX_SMALL + 1 rows
     again, total = (stats.where(F.col("kind") == k).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for k in (2, 3))
-    often = stats.where("kind = 1").orderBy(F.desc("n"), "what").limit(LISTED).select("what").mapInArrow(_bundle, "hashes binary").collect()
-    frequent = np.sort(np.frombuffer(b"".join(r.hashes for r in often), T.U))  # at most 8 bytes x LISTED
+    often = stats.where("kind = 1").orderBy(F.desc("n"), "what").limit(LISTED).select("what", "n").mapInArrow(_bundle, "hashes binary, counts binary").collect()
+    frequent = np.frombuffer(b"".join(r.hashes for r in often), T.U)  # at most 16 bytes x LISTED, with the counts
+    counts = np.frombuffer(b"".join(r.counts for r in often), np.int64)
+    frequent, counts = frequent[np.argsort(frequent)], counts[np.argsort(frequent)]
     boundary = choose_boundary(histogram, again / max(1, total))
 
     bodies = rows.mapInArrow(T.pack, "rid long, doc_id long, z binary").where("rid is not null").dropDuplicates(["rid"])
     members = cut(rows.mapInArrow(_members, "rid long, doc_id long, n long, sid long"), "members")
     vertices = members.where("n > 0").groupBy("sid", "n").agg(F.min("rid").alias("v"))
-    posted = bodies.join(vertices.select("v"), F.col("rid") == F.col("v"), "left_semi").mapInArrow(_postings(frequent, boundary), "key long, v long, at int, n int")
+    posted = bodies.join(vertices.select("v"), F.col("rid") == F.col("v"), "left_semi").mapInArrow(_postings(frequent, counts, boundary), "key long, v long, at int, n int")
     w = Window.partitionBy("key")
     lists = posted.repartition("key").select("*", F.count("*").over(w).alias("size"), F.min(F.struct((F.col("at") / F.col("n")).alias("early"), "v", "n", "at")).over(w).alias("head")).where("size > 1").select("key", "v", "at", "n", "head")
     lists = cut(lists, "lists")
