@@ -37,9 +37,10 @@ END = 1
 MAX_SOURCES = 100_000
 #: Words and word parts kept by a worker before the table starts anew.
 KEPT = 700_000
-#: Fixed value: the vocabulary file's own rule for parts of a word, on ASCII lower-case text.
-_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-
+#: Fixed value: the vocabulary file's own rule for parts of a word, on lower-case text of ASCII and Latin-1 letters.
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Words that the rule above covers: ASCII and Latin-1 letters.
+_COVERED = re.compile(r"[\x01-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -53,6 +54,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -64,17 +67,42 @@ class Encoder:
             size = np.array([len(w) + 1 for w in some])
             e = self.library.encode(" ".join(some), add_special_tokens=False)
             starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
-            ids, own = np.array(e.ids, self.kind), np.cumsum(size) - size
-            cut_at = np.searchsorted(starts, np.append(own, own[-1] + size[-1]))
-            out += [ids[a:b].tobytes() for a, b in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True)]
+            own = np.cumsum(size) - size
+            out += self._sliced(e.ids, np.searchsorted(starts, np.append(own, own[-1] + size[-1])))
         return out
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part: a part is one word to the library, and the last id of a word is of those that end one."""
+        out: list[bytes] = []
+        for i in range(0, len(parts), 2000):
+            some = parts[i:i + 2000]
+            ids = self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(some):
+                out += self._sliced(ids, np.append(0, last + 1))
+            else:
+                out += self._encode(some)
+        return out
+
+    def _sliced(self, ids: list[int], at: np.ndarray) -> list[bytes]:
+        raw, at = np.array(ids, self.kind).tobytes(), (at * self.kind.itemsize).tolist()
+        return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
     def learn(self, words: set[str]) -> None:
-        plain = {w: _PART.findall(w.lower()) for w in words if w.isascii() and "<|" not in w and "\0" not in w}
-        other = [w for w in words if w not in plain]
-        fresh = list({p for ps in plain.values() for p in ps if p not in self.parts})
-        self.parts.update(zip(fresh, self._encode(fresh), strict=True))
-        self.words.update((w, b"".join([self.parts[p] for p in ps])) for w, ps in plain.items())
+        covered = _COVERED.fullmatch
+        plain, single, other = {}, {}, []
+        for w in words:
+            if not covered(w) or "<|" in w:
+                other.append(w)
+            elif w.isalpha():
+                single[w] = w.lower()
+            else:
+                plain[w] = _PART.findall(w.lower())
+        parts = self.parts
+        fresh = list(set(single.values()).union(*plain.values()).difference(parts))
+        parts.update(zip(fresh, self._encode_parts(fresh), strict=True))
+        self.words.update((w, parts[p]) for w, p in single.items())
+        self.words.update((w, b"".join([parts[p] for p in ps])) for w, ps in plain.items())
         self.words.update(zip(other, self._encode(other), strict=True))
 
     def texts(self, texts: list[str]) -> list[bytes]:
@@ -84,11 +112,16 @@ class Encoder:
         known = self.words
         # str.split() also parts at \x1c to \x1f, which the vocabulary file does not take for blanks
         split = [t.split() if not _ODD.search(t) else re.split(r"[ \t\n\r]+", t) for t in texts]
-        miss = set().union(*split).difference(known)
-        if miss:
-            self.learn(miss)
+        found = [list(map(known.get, ws)) for ws in split]
+        miss = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        fresh = {ws[i] for ws, at in zip(split, miss, strict=True) for i in at}
+        if fresh:
+            self.learn(fresh)
+        for ws, f, at in zip(split, found, miss, strict=True):
+            for i in at:
+                f[i] = known[ws[i]]
         end = np.array([END], self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, ws)) + end for ws in split]
+        return [b"".join(f) + end for f in found]
 
 
 @lru_cache(maxsize=2)
