@@ -38,15 +38,25 @@ MAX_SOURCES = 100_000
 #: Words and word parts kept by a worker before the table starts anew.
 KEPT = 700_000
 #: Fixed value: the vocabulary file's own rule for parts of a word, on lower-case text of ASCII and Latin-1 letters.
-_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+")
-#: Words that the rule above covers: ASCII and Latin-1 letters.
-_COVERED = re.compile(r"[\x01-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PART = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Bytes of Latin-1 texts that the rule above covers: ASCII without the zero byte, and letters.
+_COVERED = bytes(c for c in range(1, 256) if c < 128 or c >= 0xC0 and c not in (0xD7, 0xF7))
 
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+def covered(text: str) -> bool:
+    """Whether the parts of the text follow from _PART alone; special strings are left to the library."""
+    if "<|" in text:
+        return False
+    try:
+        return not text.encode("latin-1").translate(None, _COVERED)
+    except UnicodeEncodeError:
+        return False
+
+
 class Encoder:
-    """Ids of texts, word by word: blanks never reach the merges, so each word and word part is encoded once."""
+    """Ids of texts from those of their words: no merge crosses the parts of a word, so each is encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a worker for each core
@@ -56,6 +66,7 @@ class Encoder:
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
+        self.end = np.array([END], self.kind).tobytes()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -88,40 +99,28 @@ class Encoder:
         raw, at = np.array(ids, self.kind).tobytes(), (at * self.kind.itemsize).tolist()
         return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
-    def learn(self, words: set[str]) -> None:
-        covered = _COVERED.fullmatch
-        plain, single, other = {}, {}, []
-        for w in words:
-            if not covered(w) or "<|" in w:
-                other.append(w)
-            elif w.isalpha():
-                single[w] = w.lower()
-            else:
-                plain[w] = _PART.findall(w.lower())
-        parts = self.parts
-        fresh = list(set(single.values()).union(*plain.values()).difference(parts))
-        parts.update(zip(fresh, self._encode_parts(fresh), strict=True))
-        self.words.update((w, parts[p]) for w, p in single.items())
-        self.words.update((w, b"".join([parts[p] for p in ps])) for w, ps in plain.items())
-        self.words.update(zip(other, self._encode(other), strict=True))
-
     def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text and the end id: covered texts part by part, others word by word."""
         for kept in (self.words, self.parts):
             if len(kept) > KEPT:
                 kept.clear()
-        known = self.words
-        # str.split() also parts at \x1c to \x1f, which the vocabulary file does not take for blanks
-        split = [t.split() if not _ODD.search(t) else re.split(r"[ \t\n\r]+", t) for t in texts]
-        found = [list(map(known.get, ws)) for ws in split]
-        miss = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
-        fresh = {ws[i] for ws, at in zip(split, miss, strict=True) for i in at}
-        if fresh:
-            self.learn(fresh)
-        for ws, f, at in zip(split, found, miss, strict=True):
-            for i in at:
-                f[i] = known[ws[i]]
-        end = np.array([END], self.kind).tobytes()
-        return [b"".join(f) + end for f in found]
+        plain = [covered(t) for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        for kind, known, encode in ((True, self.parts, self._encode_parts), (False, self.words, self._encode)):
+            rows = [i for i, c in enumerate(plain) if c is kind]
+            if kind:
+                split = [_PART.findall(texts[i].lower()) for i in rows]
+            else:  # str.split() also parts at \x1c to \x1f, which the vocabulary file does not take for blanks
+                split = [texts[i].split() if not _ODD.search(texts[i]) else re.split(r"[ \t\n\r]+", texts[i]) for i in rows]
+            found = [list(map(known.get, ws)) for ws in split]
+            miss = [[k for k, x in enumerate(f) if x is None] if None in f else [] for f in found]
+            fresh = list({ws[k] for ws, at in zip(split, miss, strict=True) for k in at})
+            known.update(zip(fresh, encode(fresh), strict=True))
+            for i, ws, f, at in zip(rows, split, found, miss, strict=True):
+                for k in at:
+                    f[k] = known[ws[k]]
+                out[i] = b"".join(f) + self.end
+        return out
 
 
 @lru_cache(maxsize=2)
