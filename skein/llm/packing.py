@@ -35,8 +35,8 @@ WINDOW_SEQUENCES = 16
 END = 1
 #: Most sources: their totals (two numbers each) go to every task.
 MAX_SOURCES = 100_000
-#: Words and word parts kept by a worker before the table starts anew.
-KEPT = 700_000
+#: Words, and word parts, kept by a worker before the table starts anew.
+KEPT = 1_200_000
 #: Fixed value: the vocabulary file's own rule for parts of a word, on lower-case text of ASCII and Latin-1 letters.
 _PART = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+")
 #: Bytes of Latin-1 texts that the rule above covers: ASCII without the zero byte, and letters.
