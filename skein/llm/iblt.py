@@ -4,9 +4,9 @@ A text's paragraphs (lines, cut further at sentence ends) are hashed to 64-bit d
 into a sketch of three tables of cells, each cell holding a count, the xor of its digests and the xor of their
 check hashes. Two sketches subtract cell by cell; cells that then hold one digest are peeled, round by round, until
 nothing is left and the differing digests are known: with D of them, likeness is (nA + nB - D) / (nA + nB + D),
-the Jaccard index of the two digest sets. Where peeling stops early, it is tried again with larger sketches if the
-second moment of the counts says that the texts share something; where that fails too, the moment's estimate of D
-stands (so does it where they share nothing).
+the Jaccard index of the two digest sets. Where peeling stops early, larger sketches follow: the digests are dealt
+into blocks, as many as the second moment of the counts asks for, each with three tables of its own; blocks that
+still do not peel are dealt again, until every differing digest is known.
 """
 
 from __future__ import annotations
@@ -14,11 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of each of the three tables: the fingerprint's, and those of the retry.
-CELLS, RETRY = 16, 64
+#: Cells of each of the three tables of the fingerprint and of each block.
+CELLS = 16
 ROUNDS = 10
-#: Estimated likeness from which a failed peeling is tried again.
-WORTH = 0.1
+#: Differing digests that a block is meant for, and the most blocks that one block is dealt into at a time.
+LOAD, FAN = 14, 32
+#: Times that blocks are dealt: each deals anew by other bits, at least in two, so that two digests stay together
+#: through all of them with a probability of 2^-64.
+DEALS = 64
 #: Slices of the document order for each shuffle partition.
 SLICES = 2
 
@@ -60,26 +63,43 @@ def _peeled(diff: str, cells: int) -> str:
         cast(struct({clear} as cells, array() as pure, s.n + size(s.pure) as n, size(s.pure) > 0 as on) as {kind}))))"""
 
 
+def _minus(a: str, b: str) -> str:
+    """SQL: difference of two sketches, cell by cell."""
+    return f"zip_with({a}, {b}, (x, y) -> cast(struct(x.c - y.c as c, x.k ^ y.k as k, x.h ^ y.h as h) as {_CELL}))"
+
+
+def _whole(peeled: str) -> str:
+    """SQL: whether a peeling left nothing."""
+    return f"forall({peeled}.cells, x -> x.c = 0 and x.k = 0 and x.h = 0)"
+
+
+def _dealt(keys_a: str, keys_b: str, diff: str, deal: str) -> str:
+    """SQL: two digest arrays dealt into blocks, as many as the second moment of the counts of their difference asks for."""
+    moment = f"(aggregate({diff}, 0D, (m, x) -> m + cast(x.c as double) * x.c) / 3 - pow(size({keys_a}) - size({keys_b}), 2) / {CELLS}) / (1 - 1D / {CELLS})"
+    fan = f"cast(greatest(2D, least({FAN}D, ceil(({moment}) / {LOAD}))) as int)"
+    part = "filter({}, e -> pmod(xxhash64(e, {}), f) = j)"
+    return f"flatten(transform(array({fan}), f -> transform(sequence(0, f - 1), j -> struct({part.format(keys_a, deal)} as a, {part.format(keys_b, deal)} as b))))"
+
+
+def _differing(keys_a: str, keys_b: str, diff: str) -> str:
+    """SQL: number of digests in one of two arrays only, by sketches of blocks; blocks that do not peel are dealt again."""
+    kind = "struct<todo:array<struct<a:array<bigint>,b:array<bigint>>>,n:int>"
+    minus = _minus(sketch(placed("g.a", CELLS), CELLS), sketch(placed("g.b", CELLS), CELLS))
+    tried = f"transform(transform(v.todo, g -> struct(g.a as a, g.b as b, {minus} as d)), g -> struct(g.a as a, g.b as b, g.d as d, {_peeled('g.d', CELLS)} as p))"
+    left = f"flatten(transform(filter(w, g -> not {_whole('g.p')}), g -> {_dealt('g.a', 'g.b', 'g.d', 'deal')}))"
+    found = f"aggregate(filter(w, g -> {_whole('g.p')}), v.n, (m, g) -> m + g.p.n)"
+    done = f"""aggregate(sequence(1, {DEALS}), cast(struct({_dealt(keys_a, keys_b, diff, '0')} as todo, 0 as n) as {kind}), (v, deal) ->
+        if(size(v.todo) = 0, v, element_at(transform(array({tried}), w -> cast(struct({left} as todo, {found} as n) as {kind})), 1)))"""
+    return f"element_at(transform(array({done}), v -> if(size(v.todo) = 0, v.n, cast(raise_error('digests left after all deals') as int))), 1)"
+
+
 def _compare(df: DataFrame, name: str, a: str, b: str, keys_a: str, keys_b: str) -> DataFrame:
     """Adds column ``name``: likeness of the sketches in columns a and b over digest arrays keys_a and keys_b."""
     both = f"(size({keys_a}) + size({keys_b}))"
-
-    def attempt(out: DataFrame, cells: int, diff: str, when: str) -> DataFrame:
-        out = out.withColumn("_d", F.expr(f"if({when}, {diff}, null)"))
-        out = out.withColumn("_p", F.expr(f"if(_d is null, null, {_peeled('_d', cells)})"))
-        whole = "forall(_p.cells, x -> x.c = 0 and x.k = 0 and x.h = 0)"
-        moment = f"""greatest(0D, least(cast({both} as double), (aggregate(_d, 0D, (s, x) -> s + cast(x.c as double) * x.c) / 3
-            - pow(size({keys_a}) - size({keys_b}), 2) / {cells}) / (1 - 1D / {cells})))"""
-        return out.withColumn("_r", F.expr(f"if(_p is null, _r, struct({whole} as whole, if({whole}, cast(_p.n as double), {moment}) as d))"))
-
-    out = df.withColumn("_r", F.expr("cast(null as struct<whole:boolean,d:double>)"))
-    minus = "zip_with({}, {}, (x, y) -> cast(struct(x.c - y.c as c, x.k ^ y.k as k, x.h ^ y.h as h) as " + _CELL + "))"
-    out = attempt(out, CELLS, minus.format(a, b), "true")
-    again = f"not _r.whole and ({both} - _r.d) > {WORTH} * ({both} + _r.d)"
-    for side, keys in (("_x", keys_a), ("_y", keys_b)):
-        out = out.withColumn(side, F.expr(f"if({again}, {placed(keys, RETRY)}, null)")).withColumn(side, F.expr(sketch(side, RETRY)))
-    out = attempt(out, RETRY, minus.format("_x", "_y"), again)
-    return out.withColumn(name, F.expr(f"if({both} = 0, 1D, ({both} - _r.d) / ({both} + _r.d))")).drop("_d", "_p", "_r", "_x", "_y")
+    out = df.withColumn("_d", F.expr(_minus(a, b)))
+    out = out.withColumn("_p", F.expr(_peeled("_d", CELLS)))
+    out = out.withColumn("_n", F.expr(f"if({_whole('_p')}, _p.n, {_differing(keys_a, keys_b, '_d')})"))
+    return out.withColumn(name, F.expr(f"if({both} = 0, 1D, cast({both} - _n as double) / ({both} + _n))")).drop("_d", "_p", "_n")
 
 
 def text_of(sk: str, keys: str) -> str:

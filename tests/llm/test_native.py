@@ -77,6 +77,17 @@ def test_sketches(spark, sf):
     assert exact > 0.97 * len(docs)
 
 
+def test_sketches_of_any_difference_are_exact(spark):
+    def lines(name, n):
+        return "\n".join(f"{name} {i}" for i in range(n))
+    docs = [*documents("sf0.01"), *((10**9 + i, t) for i, t in enumerate((lines("a", 30), lines("b", 40), lines("c", 300), lines("c", 250) + "\n" + lines("d", 700), lines("c", 3000), lines("e", 20000), lines("e", 19990), "")))]
+    text, ids = dict(docs), sorted(d for d, _ in docs)
+    out = iblt.compare_versions(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    for r in out:
+        after = text[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        assert r.near_edited == likeness(text[r.doc_id], r.edited) and r.near_next == likeness(text[r.doc_id], after)
+
+
 def test_odd_sketches(spark):
     rows = [(None, "x."), (5, None), (5, ""), (7, "same. text."), (7, "same. text."), (9, "a. " * 20000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(0), "slice": F.lit(0)})
