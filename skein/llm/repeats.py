@@ -10,7 +10,8 @@ is the gram's hash. So:
 2. only keys with several contents need the symbols: they return to their documents and come back as (key, content)
    rows, where equal contents of a chunk are merged before the shuffle and carry their first place;
 3. rows with one key meet in one partition, sorted, and an engine finds for each window its first place among
-   all of them, in blocks of whole keys;
+   all of them, in blocks of whole keys. A key with more segments than a block holds is dealt out by content
+   instead, and its windows meet by their own hashes, in aggregations that merge before the shuffle;
 4. the runs found return to every occurrence by (key, content id), a join that adaptive execution may split, and
    the ranges to remove are collected per document (bounded by the document itself).
 
@@ -43,6 +44,7 @@ class Repeats:
     unit: 'word' or 'byte'; window: symbols of a window; gram: symbols of a minimiser gram;
     within: whether an earlier place of the same document counts; block: symbols given to the engine at once;
     ranged: deal keys out by sampled range splitters instead of by hash.
+    Keys with more than ``limit`` segments are not given to the engine.
     """
 
     unit: str
@@ -53,6 +55,10 @@ class Repeats:
     engine: Engine
     ranged: bool = False
 
+    @property
+    def limit(self) -> int:
+        return self.block // (2 * self.window)
+
     def symbols(self, data: np.ndarray, offs: np.ndarray):
         """Segments of a chunk: (first window, last window, key, row, loop), word spans and row offsets in symbols."""
         if self.unit == "byte":
@@ -96,12 +102,15 @@ def _places(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def _contents(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Segments with the given keys: one row for each content of a chunk, with its first place."""
+    """Segments with the given keys: one row for each content of a chunk, with its first place.
+
+    salt: 0, but under hot keys a number of the content.
+    """
     def run(batches):
         for batch in batches:
             data, offs = T.unpack(batch.column("z"))
-            doc, keys = np.asarray(batch.column("doc_id")), batch.column("keys")
-            koff, kval = np.asarray(keys.offsets), np.asarray(keys.values).view(T.U)
+            doc = np.asarray(batch.column("doc_id"))
+            (koff, kval), (hoff, hval) = ((np.asarray(c.offsets), np.asarray(c.values).view(T.U)) for c in (batch.column("keys"), batch.column("hot_keys")))
             for i, j in T.chunks(offs):
                 d = data[offs[i]:offs[j]]
                 a, b, key, row, _, spans, own = cfg.symbols(d, offs[i:j + 1] - offs[i])
@@ -119,11 +128,12 @@ def _contents(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 new = np.ones(len(k), bool)
                 new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
                 pick = order[new]
+                salt = np.where(np.isin(key[pick], hval[hoff[i]:hoff[j]]), cid[pick] | T.U(1), T.U(0))
                 raw = d.tobytes()
                 cut = [raw[x:y] for x, y in zip(lo[pick].tolist(), hi[pick].tolist(), strict=True)]
                 if spans is not None:
                     cut = [b" ".join(x.split()) for x in cut]
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(key[pick])), pa.array(T.signed(cid[pick])), pa.array(ids[pick]), pa.array(place[pick]), pa.array(cut, pa.binary())], ["key", "cid", "doc_id", "place", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(key[pick])), pa.array(T.signed(salt)), pa.array(T.signed(cid[pick])), pa.array(ids[pick]), pa.array(place[pick]), pa.array(cut, pa.binary())], ["key", "salt", "cid", "doc_id", "place", "content"])
     return run
 
 
@@ -141,6 +151,7 @@ def _first_places(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cids, pa.int64()), pa.array(own, _RUNS)], ["key", "cid", "runs"])
 
         for batch in batches:
+            batch = batch.filter(pc.equal(batch.column("salt"), 0))
             for k, c, d, p, t in zip(*(batch.column(x).to_pylist() for x in ("key", "cid", "doc_id", "place", "content")), strict=True):
                 if keys and k == keys[-1] and c == cids[-1]:
                     continue
@@ -158,6 +169,39 @@ def _first_places(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def _windows(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of hot keys, sorted as for ``_first_places``: one row for each window of each content, with its first place there."""
+    def run(batches):
+        last = None
+        for batch in batches:
+            batch = batch.filter(pc.not_equal(batch.column("salt"), 0))
+            if not batch.num_rows:
+                continue
+            key, cid = np.asarray(batch.column("key")), np.asarray(batch.column("cid"))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])
+            new[0] = (key[0], cid[0]) != last
+            last = key[-1], cid[-1]
+            batch = batch.filter(pa.array(new))
+            data, offs = T.buffers(batch.column("content"))
+            for i, j in T.chunks(offs):
+                d, o = data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
+                if cfg.unit == "byte":
+                    begin, n = o[:-1], np.diff(o)
+                else:
+                    s, e, r = T.words(d, o)
+                    begin = np.searchsorted(r, np.arange(j - i))
+                    n = np.bincount(r, minlength=j - i)
+                count = n - cfg.window + 1
+                row = np.repeat(np.arange(j - i), count)
+                off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = begin[row] + off
+                h = T.spans_hash(T.prefix(d), at, at + cfg.window) if cfg.unit == "byte" else T.grams(T.spans_hash(T.prefix(d), s, e), cfg.window)[at]
+                own = batch.select(["key", "cid", "doc_id", "place"]).slice(i, j - i).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("cid"), pa.array(T.signed(h)), pa.array(off.astype(np.int32)), own.column("doc_id"), pc.add(own.column("place"), pa.array(off))], ["key", "cid", "hash", "off", "doc_id", "at"])
+    return run
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """``texts()`` rows with compressed text, for the shuffle that brings texts and their repeated keys together."""
     return rows.mapInArrow(T.pack, "rid long, doc_id long, z binary").where("rid is not null")
@@ -193,12 +237,17 @@ def removed_ranges(rows: DataFrame, bodies: DataFrame, cfg: Repeats) -> DataFram
     whole = lambda a, b: F.array(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")))
     plain = seen.where(~several & before).select("rid", "doc_id", whole(F.col("place"), F.col("place") + F.floor(F.col("span") / 2)).alias("own"))
 
-    # Several contents: they meet in one place and an engine compares their windows.
-    mixed = seen.where(several).select("key", "cid", "rid", "doc_id", F.col("place").cast("long").alias("place"))
-    wanted = mixed.groupBy("rid").agg(F.collect_set("key").alias("keys"))
-    contents = bodies.join(wanted, "rid").select("rid", "doc_id", "z", "keys").mapInArrow(_contents(cfg), "key long, cid long, doc_id long, place long, content binary")
-    dealt = contents.repartitionByRange("key") if cfg.ranged else contents.repartition("key")
-    runs = dealt.sortWithinPartitions("key", "cid", "doc_id", "place").mapInArrow(_first_places(cfg), "key long, cid long, runs array<struct<a:int,b:int,doc:long,at:long>>")
+    # Several contents: they meet in one place and an engine compares their windows, or each window meets its equals.
+    mixed = seen.where(several).select("key", "cid", "rid", "doc_id", F.col("place").cast("long").alias("place"), (F.col("n") > cfg.limit).alias("hot"))
+    wanted = mixed.groupBy("rid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
+    contents = bodies.join(wanted, "rid").select("rid", "doc_id", "z", "keys", "hot_keys").mapInArrow(_contents(cfg), "key long, salt long, cid long, doc_id long, place long, content binary")
+    dealt = (contents.repartitionByRange("key", "salt") if cfg.ranged else contents.repartition("key", "salt")).sortWithinPartitions("key", "salt", "cid", "doc_id", "place")
+    runs = dealt.mapInArrow(_first_places(cfg), "key long, cid long, runs array<struct<a:int,b:int,doc:long,at:long>>")
+    windows = dealt.mapInArrow(_windows(cfg), "key long, cid long, hash long, off int, doc_id long, at long")
+    firsts = windows.groupBy("key", "hash").agg(F.min(F.struct("doc_id", "at")).alias("f"))
+    # One more column to join by than the aggregation has: both sides get exchanges that adaptive execution may split.
+    both = F.xxhash64("key", "hash").alias("both")
+    runs = runs.unionByName(windows.select("*", both).join(firsts.select("*", both), ["both", "key", "hash"]).groupBy("key", "cid").agg(F.collect_list(F.struct(F.col("off").alias("a"), F.col("off").alias("b"), F.col("f.doc_id").alias("doc"), F.col("f.at").alias("at"))).alias("runs")))
     earlier = lambda r: (r.doc < F.col("doc_id")) | ((r.doc == F.col("doc_id")) & (r["at"] < F.col("place") + r["a"]) if cfg.within else F.lit(False))
     hits = mixed.join(runs, ["key", "cid"]).select("rid", "doc_id", F.transform(F.filter("runs", earlier), lambda r: F.struct((F.col("place") + r["a"]).alias("a"), (F.col("place") + r["b"]).alias("b"))).alias("own")).where(F.size("own") > 0)
     ranges = plain.unionByName(hits).groupBy("rid", "doc_id").agg(F.flatten(F.collect_list("own")).alias("ranges"))

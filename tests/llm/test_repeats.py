@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,33 @@ def test_stored_documents(spark):
     assert bytes_(spark, docs) == brute.repeated_bytes(docs)
 
 
+def guarded(engine, most):
+    def run(contents, docs, places):
+        if len(contents) > most:
+            raise ValueError(f"{len(contents)} contents at once")
+        return engine(contents, docs, places)
+    return run
+
+
+def test_hot_key_is_not_given_to_one_engine(spark, monkeypatch):
+    rnd = random.Random(7)
+    common = " ".join(f"word{i}" for i in range(60))
+    noise = lambda: " ".join(str(rnd.randint(0, 10**6)) for _ in range(20))
+    docs = [(d, f"{noise()} {common} {noise()}" if d % 3 == 0 else noise()) for d in range(600)]
+    for module, run, want in ((automata, words, brute.repeated_words), (suffixes, bytes_, brute.repeated_bytes)):
+        cfg = module.CONFIG
+        monkeypatch.setattr(module, "CONFIG", replace(cfg, block=80 * cfg.window, engine=guarded(cfg.engine, 150)))
+        assert run(spark, docs) == want(docs)
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_all_keys_hot(spark, monkeypatch, seed):
+    docs = small(seed)
+    for module, run, want in ((automata, words, brute.repeated_words), (suffixes, bytes_, brute.repeated_bytes)):
+        monkeypatch.setattr(module, "CONFIG", replace(module.CONFIG, block=0, engine=guarded(module.CONFIG.engine, 0)))
+        assert run(spark, docs) == want(docs)
+
+
 def test_odd_tables(spark):
     docs = [(None, "a " * 40), (None, None), (7, "b " * 40), (7, "b " * 40), (8, "b " * 40)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("rid", "key", "copy", "ranges")})
