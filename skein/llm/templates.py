@@ -4,11 +4,15 @@ Tokens are maximal runs of ASCII letters, digits and non-ASCII bytes, lower-case
 each text: a literal one, where only numbers are typed, and a typed one, where capitalised words inside sentences
 are names and unit words after a number are units. Windows of template tokens are joined by hash; a match counts
 when along one alignment the same slot value of the item always meets the same slot value of the document, so
-that an item with new numbers or names is caught and an accidental mixture is not.
+that an item with new numbers or names is caught and an accidental mixture is not. Windows of mostly numbers are
+compared with the numbers as they are. Alignments that follow one another, as where words were put in or left out,
+are joined.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,7 +74,8 @@ def _tokens(data: np.ndarray, offs: np.ndarray):
 def windows(data: np.ndarray, offs: np.ndarray, lengths, keep=None):
     """Template windows of a chunk: (hash, row, first token, length, slot values), both templates.
 
-    keep: hashes to keep (a bit filter); windows with under half literal tokens are left out.
+    keep: hashes to keep (a bit filter); windows with under half literal tokens are left out of the templates, those
+    of which over half are numbers stand with their values.
     """
     if not len(data):
         return
@@ -81,14 +86,14 @@ def windows(data: np.ndarray, offs: np.ndarray, lengths, keep=None):
     literal = np.where(number, _NUMBER, value)
     typed = np.where(name, _NAME, np.where(unit, _UNIT, literal))
     soft = np.concatenate([[0], np.cumsum(name | unit)])
-    for template, slot in ((literal, number), (typed, number | name | unit)):
+    for template, slot in ((literal, number), (typed, number | name | unit), (value, number)):
         free = np.concatenate([[0], np.cumsum(slot)])
         for n in lengths:
             if len(row) < n:
                 continue
-            h = T.grams(template + T.U(n), n)
+            h = T.grams(template + T.U(n + (WINDOW if template is value else 0)), n)
             at = np.arange(len(h))
-            ok = (row[at] == row[at + n - 1]) & (2 * (free[at + n] - free[at]) <= n)
+            ok = (row[at] == row[at + n - 1]) & ((2 * (free[at + n] - free[at]) > n) == (template is value))
             if template is typed:  # without a name or unit the literal template says the same
                 ok &= soft[at + n] > soft[at]
             if keep is not None:
@@ -128,12 +133,46 @@ def _doc_rows(lengths, keep):
     return run
 
 
+def _chain(size: int, shifts: list[dict]) -> int:
+    """Most tokens of an item of ``size`` that consistent alignments cover which follow one another in the document.
+
+    Between two of them at most ``size`` other tokens of the document may stand. Chains grow from their best
+    beginnings, so where slots conflict between alignments another choice may cover more.
+    """
+    parts = []
+    for s in shifts:
+        tokens, bound = s["tokens"], {b["item_slots"]: b["slots"] for b in s["bound"]}
+        cuts = [0, *(i for i in range(1, len(tokens)) if tokens[i] != tokens[i - 1] + 1), len(tokens)]
+        parts += [(tokens[j - 1] + s["shift"], tokens[i], tokens[j - 1], s["shift"], bound) for i, j in zip(cuts, cuts[1:])]
+    parts.sort(key=lambda x: x[:4])
+    ends = [x[0] for x in parts]
+    best: list[tuple[int, dict]] = []
+    for i, (_, a, b, shift, bound) in enumerate(parts):
+        most, slots = b - a + 1, bound
+        for j in range(bisect_left(ends, a + shift - 1 - size), i):
+            begin = max(a, parts[j][2] + 1, ends[j] + 1 - shift)
+            covers = best[j][0] + b - begin + 1
+            if begin <= b and begin + shift - ends[j] - 1 <= size and covers > most and all(best[j][1].get(k, v) == v for k, v in bound.items()):
+                most, slots = covers, best[j][1] | bound
+        best.append((most, slots))
+    return max((n for n, _ in best), default=0)
+
+
+def _chains(batches):
+    for batch in batches:
+        cover = []
+        for size, shifts in zip(batch.column("item_tokens").to_pylist(), batch.column("shifts").to_pylist(), strict=True):
+            most = max(len(s["tokens"]) for s in shifts)
+            cover.append((most if most == size or len(shifts) == 1 else max(most, _chain(size, shifts))) / size)
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("item_id"), pa.array(cover, pa.float64())], ["rid", "item_id", "coverage"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, item_id, coverage): consistent template matches that cover at least COVER of an item's tokens.
 
     rid is that of ``common.texts``. Items with fewer than SHORTEST tokens, null or empty texts match nothing;
     benchmark items with equal item_id are joined under that id; a null item_id is left out. Windows of which over
-    half are slots are too general and left out.
+    half are slots are too general; those of which over half are numbers match only with equal numbers.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -152,7 +191,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.flatten(F.collect_set(F.sequence("item_at", F.expr("item_at + n - 1")))).alias("tokens"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("bound"))
     ok = one.where(F.size("bound") == F.size(F.array_distinct(F.col("bound.item_slots"))))
-    cover = ok.select("rid", "item_id", (F.size(F.array_distinct("tokens")) / F.col("item_tokens")).alias("coverage"))
+    shifts = ok.groupBy("rid", "item_id", "item_tokens").agg(F.collect_list(F.struct("shift", F.array_sort(F.array_distinct("tokens")).alias("tokens"), "bound")).alias("shifts"))
+    cover = shifts.mapInArrow(_chains, "rid long, item_id long, coverage double")
     return cover.groupBy("rid", "item_id").agg(F.max("coverage").alias("coverage")).where(F.col("coverage") >= COVER)
 
 

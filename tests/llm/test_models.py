@@ -33,6 +33,17 @@ def test_decontamination(spark, odd):
     assert templates.flag(odd.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_numbers_and_inserted_words(spark):
+    sums = "Compute 31 + 47 * 12 - 9"
+    words = [f"w{chr(97 + i)}x" for i in range(26)] + ["alpha", "beta", "gamma", "delta"]
+    near = [*words[:10], "really", *words[10:20], "quite", *words[20:]]
+    apart = [*words[:10], *["filler"] * 40, *words[10:20], *["filler"] * 40, *words[20:]]
+    docs = [(1, f"First. {sums} then stop."), (2, "First. Compute 31 + 48 * 12 - 9 then stop."), (3, "so " + " ".join(near) + " so"), (4, " ".join(apart)), (5, " ".join([*words[20:], "so", *words[10:20], "so", *words[:10]]))]
+    bench = spark.createDataFrame([(1, sums), (2, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.best_item, r.coverage) for r in templates.flag(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (1, 1.0), 2: (None, 0.0), 3: (2, 1.0), 4: (None, 0.0), 5: (None, 0.0)}
+
+
 def test_decontamination_of_stored_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     b = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
