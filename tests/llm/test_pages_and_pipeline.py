@@ -36,6 +36,18 @@ def test_other_layouts_and_odd_pages(spark):
     assert blocks.extract(train.limit(0)).count() == 0
 
 
+def test_head_left_open():
+    head = '<html><head><meta charset="utf-8"><title>Name</title><script>var a = "<p>no</p>";</script><style>p {}</style>\n'
+    body = "<p>One <b>two</b></p><div>Three</div>"
+    want = [b[1] for b in blocks.parse(f"{head}</head><body>{body}</body></html>")]
+    assert want == ["One two", "Three"]
+    for page in (f"{head}<body>{body}</body></html>", f"{head}{body}</html>", head + body, f"{head}<body>{body}"):
+        assert [b[1] for b in blocks.parse(page)] == want
+    assert [b[1] for b in blocks.parse(head + "Bare text" + body)] == ["Bare text", *want]
+    assert [b[1] for b in blocks.parse(head + "<a href=x>Link</a>" + body)] == ["Link", *want]
+    assert [b[1] for b in blocks.parse(head + "<noscript><img src=x></noscript><template><p>no</p></template><body>" + body)] == want
+
+
 def test_gradients():
     rnd = np.random.RandomState(1)
     net = blocks.Labeller(6, rnd)
