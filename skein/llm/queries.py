@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import automata, blocks, iblt, jaccard, packing, secrets, suffixes, templates, tokencount, toxicity
+from skein.llm import automata, blocks, iblt, jaccard, packing, resample, secrets, suffixes, templates, tokencount, toxicity, vptree, whitening
 from skein.llm.common import table
 
 
@@ -55,6 +55,19 @@ def op10_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_blob_ledger_secrets, op2_heavy_light_jaccard, op3_recurrent_blocks, op4_template_decontamination, op5_finite_state_tokens, op6_positive_unlabelled, op7_suffix_automata, op8_mixture_packing, op9_suffix_array, op10_lookup_sketch)}
+def op11_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=1.0)
 
-ORACLES: dict[str, str] = {"op1_blob_ledger_secrets": secrets.ORACLE}
+
+def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=4).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_bracketed_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=10, least_words=20, buckets=10_000, longest=1, seed=2024)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_blob_ledger_secrets, op2_heavy_light_jaccard, op3_recurrent_blocks, op4_template_decontamination, op5_finite_state_tokens, op6_positive_unlabelled, op7_suffix_automata, op8_mixture_packing, op9_suffix_array, op10_lookup_sketch, op11_vantage_point_trees, op12_exact_whitening, op13_bracketed_resampling)}
+
+ORACLES: dict[str, str] = {"op1_blob_ledger_secrets": secrets.ORACLE, "op11_vantage_point_trees": vptree.ORACLE, "op13_bracketed_resampling": resample.ORACLE}
