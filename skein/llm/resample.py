@@ -35,7 +35,7 @@ from skein.llm.common import cut, small_batches
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 GAP = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 #: Bytes of text that are split into words at once, and words whose buckets a worker remembers.
-SLICE, REMEMBERED = 1 << 20, 1 << 19
+SLICE, REMEMBERED = 1 << 20, 1 << 16
 #: First half-width of the bracket as a share of the rows; it is a matter of cost, since counts validate it.
 WIDTH = 1 / 1000
 
