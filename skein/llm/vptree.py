@@ -128,12 +128,17 @@ class Tree:
 
 # ------------------------------------------------------------------ shards
 
+def _kind(df: DataFrame, vec_col: str) -> str:
+    """Vectors travel as floats if they are stored so, else as doubles."""
+    return "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def distinct_vectors(df: DataFrame, k: int, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     """(vec, ids: the k + 1 least ids of its rows) of each vector that takes part, and the vectors' length."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(_kind(df, vec_col)).alias("vec"))
     rows = rows.where(F.col("vec_id").isNotNull() & finite(F.col("vec"))).where(F.exists("vec", lambda c: c != 0))
     width = common_length(rows, "vec")
-    rows = rows.where(F.size("vec") == width).select("vec_id", F.col("vec").cast("array<double>").alias("vec")).distinct()
+    rows = rows.where(F.size("vec") == width).distinct()
     least = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     return rows.withColumn("n", least).where(F.col("n") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), width
 
@@ -268,7 +273,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, factor: float = 1.0, ro
     if not width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards = Shards(cut(vectors, "vptree-vectors"), width, rows)
-    asked = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).where(is_query)
+    asked = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(_kind(df, vec_col)).alias("vec")).where(is_query)
     asked = asked.where(F.col("vec_id").isNotNull() & finite(F.col("vec")) & (F.size("vec") == width)).where(F.exists("vec", lambda c: c != 0)).distinct()
     asked = asked.select(F.concat_ws(":", "vec_id", F.sha2(F.col("vec").cast("string"), 256)).alias("query"), F.col("vec_id").alias("query_id"), "vec")
     queries = cut(_routed(asked, shards.top, width).drop("path"), "vptree-queries")
@@ -288,7 +293,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, factor: float = 1.0, ro
                 row, cell = np.nonzero(open_)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in ("query", "query_id", "vec", "least")], pa.array(names[cell])], names=["query", "query_id", "vec", "least", "cell"])
 
-        visits = near.select("query", "query_id", "vec", "least", "cell").mapInArrow(visit, "query string, query_id long, vec array<double>, least double, cell long")
+        visits = near.select("query", "query_id", "vec", "least", "cell").mapInArrow(visit, f"query string, query_id long, vec {_kind(df, vec_col)}, least double, cell long")
         rest = shards.search(cut(visits, "vptree-visits"), k, factor)
         found = _first(home.drop("rank").unionByName(rest), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
