@@ -1,45 +1,165 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; documents of the training folds, whatever their label, are the
-unlabelled sample of the whole. A linear model on hashed word presence is fitted with numpy under the
-class-prior-corrected risk  prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)); where the second
-part falls below zero its gradient is turned, so that the model cannot gain by fitting the positives hidden among
-the unlabelled. Both samples are bounded by MAX_POSITIVE and MAX_UNLABELLED rows, chosen by hash of doc_id;
-scoring covers every document.
+unlabelled sample of the whole. A linear model is fitted with numpy under the class-prior-corrected risk
+prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)); where the second part falls below zero its
+gradient is turned, so that the model cannot gain by fitting the positives hidden among the unlabelled. Both samples
+are bounded by MAX_POSITIVE and MAX_UNLABELLED rows, chosen by hash of doc_id; scoring covers every document.
+
+Features are the presence of words and of letter runs of 3 to 5 inside a plain spelling of the words (lower case, no
+accents, digits and signs that stand for letters replaced, other signs dropped, repeated letters and spelt-out words
+joined), and the words as they are and with one letter less, so inflected, masked and misspelt forms share most features with the forms that were seen. Features must be
+several times more frequent in toxic than, by the class prior, in other texts. A quarter of the samples is held from
+the fit and sets the border.
+
+Defined cases: null and empty texts score as texts without features; a null doc_id is in no training fold and is
+scored like any other (its fold is 1: not held out); without a model all scores are 0; repeated rows are scored each;
+texts of any length are read in parts that end between words.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import textnum as T
-from skein.llm.common import small_batches, texts
+from skein.llm.common import cut, small_batches, texts
 
 #: Bounds of the fitting samples, in documents (met in expectation: rows are chosen by hash).
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
-#: Hash space of words, and words that enter the model.
-SPACE_BITS, FEATURES = 20, 512
+#: Hash space of features, and features that enter the model.
+SPACE_BITS, FEATURES = 22, 8192
+#: A feature's share of toxic texts is at least so many times its estimated share of the others, with one standard error.
+SPECIFIC = 4
+#: How far the border moves from the weakest texts taken for toxic towards the clean bulk.
+CAUTION = 0.7
+#: One of so many sampled documents sets the border and does not fit the weights.
+BORDER_PART = 4
+#: Bytes of text that are turned into features at once.
+PART = 1 << 18
 _BOUND = np.zeros(256, bool)
 _BOUND[[i for i in range(128) if not chr(i).isalnum()]] = True
 
 
-def _word_ids(data: np.ndarray, offs: np.ndarray):
-    """(row, word id in the hash space) of words split at everything ASCII that is no letter or digit, lower-cased."""
+def _plain_bytes() -> tuple[np.ndarray, np.ndarray]:
+    """Byte to its plain letter (0: dropped, 32: space), and the same for the byte after C3 (Latin letters with marks)."""
+    table = np.arange(256, dtype=np.uint8)
+    table[:128] = 0
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        table[ord(c)] = table[ord(c.upper())] = ord(c)
+    for c, letter in zip("0134578@$", "oieastbas", strict=True):
+        table[ord(c)] = ord(letter)
+    table[[9, 10, 11, 12, 13, 32]] = 32
+    table[0xC3] = 0
+    marked = table.copy()
+    for code in range(0xC0, 0x100):
+        base = unicodedata.normalize("NFKD", chr(code))[0].lower()
+        marked[code - 0x40] = ord(base) if "a" <= base <= "z" else code - 0x40
+    marked[0xDF - 0x40] = ord("s")
+    return table, marked
+
+
+_PLAIN, _MARKED = _plain_bytes()
+
+
+def _plain_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, row of each byte): the words in plain spelling, each followed by a space, after one leading space."""
+    low = T.lower(data)
+    plain = _PLAIN[low]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    plain[after] = _MARKED[data[after]]
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    keep = plain != 0
+    plain, row = plain[keep], row[keep]
+    same = np.zeros(len(plain), bool)  # letters repeated
+    same[1:] = (plain[1:] == plain[:-1]) & (row[1:] == row[:-1]) & (plain[1:] != 32)
+    plain, row = plain[~same], row[~same]
+    s, e, of = T.words(plain, np.searchsorted(row, np.arange(len(offs))))
+    if not len(s):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    single = e - s == 1
+    gap = np.ones(len(s), np.int64)  # a space after each word, but not between single letters
+    gap[:-1] = np.where(single[:-1] & single[1:] & (of[:-1] == of[1:]), 0, 1)
+    size = e - s
+    out = np.full(1 + int((size + gap).sum()), 32, np.uint8)
+    index = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - s, size)  # bytes of words in order
+    out[index + np.repeat(1 + np.cumsum(size + gap) - (size + gap) - s, size)] = plain[index]
+    return out, np.concatenate([of[:1], np.repeat(of, size + gap)])
+
+
+def _one_letter_less(plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of each word of 4 to 16 letters and of each word of 5 to 17 letters without one of its letters."""
+    pre = T.prefix(plain)
+    _, down = T.powers(len(pre) + 1)
+    s, e, _ = T.words(plain, np.array([0, len(plain)]))
+    size = e - s
+    whole = (size >= 4) & (size <= 16)
+    longer = (size >= 5) & (size <= 17)
+    a, b, n = s[longer], e[longer], size[longer]
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - a, n)  # the letter left out
+    a, b, n = np.repeat(a, n), np.repeat(b, n), np.repeat(n, n)
+    rest = ((pre[at] - pre[a]) + (pre[b] - pre[at + 1]) * down[1]) * down[a]
+    less = T.mix(rest + (n - 1).astype(T.U) * T.U(0xD6E8FEB86659FD93))
+    return np.concatenate([s[whole], at]), np.concatenate([T.spans_hash(pre, s[whole], e[whole]), less]) ^ T.U(0x5851F42D4C957F2D)
+
+
+def _features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of words and letter runs; features repeat within a row."""
     flat = np.where(_BOUND[data], np.uint8(32), T.lower(data))
     s, e, row = T.words(flat, offs)
-    return row, (T.spans_hash(T.prefix(flat), s, e) >> T.U(64 - SPACE_BITS)).astype(np.int64)
+    rows, ids = [row], [T.spans_hash(T.prefix(flat), s, e)]
+    plain, of = _plain_words(data, offs)
+    wide = plain.astype(np.uint64)
+    for n in (3, 4, 5):
+        size = len(plain) - n + 1
+        if size <= 0:
+            break
+        run, whole = np.full(size, n, np.uint64), np.ones(size, bool)
+        for k in range(n):
+            run = (run << T.U(8)) | wide[k:k + size]
+            if 0 < k < n - 1:
+                whole &= plain[k:k + size] != 32
+        at = np.flatnonzero(whole)
+        rows.append(of[at + 1])
+        ids.append(T.mix(run[at]))
+    at, own = _one_letter_less(plain)
+    rows.append(of[at])
+    ids.append(own)
+    return np.concatenate(rows), (np.concatenate(ids) >> T.U(64 - SPACE_BITS)).astype(np.int64)
 
 
-def _presence(batches):
-    for batch in batches:
-        data, offs = T.buffers(batch.column("text"))
-        row, ids = _word_ids(data, offs)
-        own = np.searchsorted(row, np.arange(len(offs)))
-        rows = [np.unique(ids[a:b]).astype(np.int32).tobytes() for a, b in zip(own[:-1], own[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(rows, pa.binary())], ["positive", "ids"])
+def _parts(data: np.ndarray, offs: np.ndarray):
+    """(first row, bytes, offsets) of rows together up to PART bytes; longer rows in parts that end at a space."""
+    for i, j in T.chunks(offs, PART):
+        if j - i > 1 or offs[j] - offs[i] <= 2 * PART:
+            yield i, data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
+            continue
+        at, end = offs[i], offs[j]
+        while at < end:
+            to = min(at + PART, end)
+            if to < end:
+                spaces = np.flatnonzero(data[at:to] <= 32)
+                to = at + int(spaces[-1]) + 1 if len(spaces) else to
+            yield i, data[at:to], np.array([0, to - at])
+            at = to
+
+
+def _present(column: pa.Array, used: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, row, feature) of distinct pairs of a text column, of the features in ``used`` if given."""
+    data, offs = T.buffers(column)
+    found = [np.zeros(0, np.int64)]
+    for first, part, own in _parts(data, offs):
+        row, ids = _features(part, own)
+        if used is not None:
+            hit = used[ids]
+            row, ids = row[hit], ids[hit]
+        found.append(np.unique(((row + first) << SPACE_BITS) | ids))
+    both = np.unique(np.concatenate(found))
+    return len(offs) - 1, both >> SPACE_BITS, both & ((1 << SPACE_BITS) - 1)
 
 
 def _sample(df: DataFrame, n: int, bound: int) -> DataFrame:
@@ -48,31 +168,64 @@ def _sample(df: DataFrame, n: int, bound: int) -> DataFrame:
     return df if share == 1.0 else df.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def _fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, shrink: float = 2e-4, turn: float = 1.0):
-    """(weight of each word id in use, bias): non-negative risk, sigmoid loss, Adam on the full batch; the mean of the later half of the steps is kept."""
-    size = 1 << SPACE_BITS
-    inp = np.bincount(np.concatenate(positive), minlength=size)
-    inu = np.bincount(np.concatenate(unlabelled), minlength=size)
-    p, u = (inp + 0.5) / (len(positive) + 1), (inu + 0.5) / (len(unlabelled) + 1)
-    gain = np.where(inp + inu >= 5, np.abs(p - u) / np.sqrt(p * (1 - p) / len(positive) + u * (1 - u) / len(unlabelled)), 0)
-    pick = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    pick = pick[gain[pick] > 0]
-    column = np.full(size, -1)
-    column[pick] = np.arange(len(pick))
-
-    def matrix(rows):
-        out = np.zeros((len(rows), len(pick)), np.float32)
-        for i, ids in enumerate(rows):
-            c = column[ids]
-            out[i, c[c >= 0]] = 1
-        return out
-
-    xp, xu = matrix(positive), matrix(unlabelled)
-    w, b = np.zeros(len(pick), np.float32), float(np.log(prior / (1 - prior)))
+def _counted(batches):
+    """(feature, rows with it among positives, among unlabelled) of a task."""
+    total = np.zeros((2, 1 << SPACE_BITS), np.int32)
+    for batch in batches:
+        kind = np.where(np.asarray(batch.column("positive")), 0, 1)
+        _, row, ids = _present(batch.column("text"))
+        for k in (0, 1):
+            total[k] += np.bincount(ids[kind[row] == k], minlength=1 << SPACE_BITS).astype(np.int32)
+    at = np.flatnonzero(total.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at].astype(np.int64)), pa.array(total[1, at].astype(np.int64))], ["feature", "p", "u"])
+
+
+def _chosen(sample: DataFrame, n_pos: int, n_un: int, prior: float) -> list[int]:
+    """Features of the model: frequent enough, specific to toxic texts, the clearest FEATURES of them."""
+    counts = sample.select("positive", "text").mapInArrow(_counted, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    p, u = (F.col("p") + 0.5) / (n_pos + 1), (F.col("u") + 0.5) / (n_un + 1)
+    clean = F.greatest(F.lit(0.0), (u - prior * p) / (1 - prior))
+    clear = (p - u) / F.sqrt(p * (1 - p) / n_pos + u * (1 - u) / n_un)
+    unsure = F.sqrt(u * (1 - u) / n_un)
+    fit = counts.where(F.col("p") >= 3).where((p >= SPECIFIC * (clean + unsure)) & (clear > 2)).select("feature", clear.alias("clear"))
+    return [r.feature for r in fit.orderBy(F.desc("clear"), "feature").limit(FEATURES).collect()]
+
+
+def _matrix(features: list[int]):
+    """Batches of (positive, held, columns of the model's features) of sampled rows."""
+    def run(batches):
+        column = np.full(1 << SPACE_BITS, -1, np.int32)
+        column[features] = np.arange(len(features))
+        for batch in batches:
+            n, row, ids = _present(batch.column("text"), column >= 0)
+            ends = np.searchsorted(row, np.arange(n + 1))
+            cols = [column[ids[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("held"), pa.array(cols, pa.binary())], ["positive", "held", "ids"])
+    return run
+
+
+class _Rows:
+    """Sparse 0-1 rows: products with weights and with slopes."""
+
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.n, self.width = len(rows), width
+        self.col = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int64)
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+    def logits(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.col], minlength=self.n)
+
+    def slope(self, d: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, weights=d[self.row], minlength=self.width)
+
+
+def _fit(p: _Rows, u: _Rows, prior: float, steps: int = 300, rate: float = 0.05, shrink: float = 2e-4, turn: float = 1.0):
+    """Weights: non-negative risk, sigmoid loss, Adam on the full batch; the mean of the later half of the steps is kept."""
+    w, b = np.zeros(p.width), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    mean_w, mean_b, half = np.zeros(len(pick)), 0.0, steps // 2
+    mean, half = np.zeros(len(w)), steps // 2
     for step in range(1, steps + 1):
-        sp, su = 1 / (1 + np.exp(-(xp @ w + b))), 1 / (1 + np.exp(-(xu @ w + b)))
+        sp, su = 1 / (1 + np.exp(-(p.logits(w) + b))), 1 / (1 + np.exp(-(u.logits(w) + b)))
         # sigmoid loss: 1 - s for label 1, s for label 0; it is bounded, so separable positives cannot run away
         rest = su.mean() - prior * sp.mean()
         slope_p, slope_u = prior * sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
@@ -81,28 +234,35 @@ def _fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             dp, du = gp + gm, gu
         else:  # turn back the part that went negative
             dp, du = -turn * gm, -turn * gu
-        grad = np.append(dp.astype(np.float32) @ xp + du.astype(np.float32) @ xu + shrink * w, dp.sum() + du.sum())
+        grad = np.append(p.slope(dp) + u.slope(du) + shrink * w, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-        w, b = (w - move[:-1]).astype(np.float32), b - float(move[-1])
+        w, b = np.maximum(0, w - move[:-1]), b - float(move[-1])  # a feature specific to toxic texts never speaks for clean ones
         if step > half:
-            mean_w, mean_b = mean_w + w / (steps - half), mean_b + b / (steps - half)
-    mean_w = mean_w.astype(np.float32)
-    return pick, mean_w, mean_b - _border(xp @ mean_w + mean_b, xu @ mean_w + mean_b, prior)
+            mean += w / (steps - half)
+    return mean
 
 
 def _border(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
-    """Logit where the same risk under the 0-1 loss is least: midway to the next unlabelled logit below."""
+    """Logit that parts the classes on rows that did not fit the weights.
+
+    The corrected risk under the 0-1 loss is nearly flat between the clean bulk and the toxic texts, since whatever
+    unlabelled texts lie there are toxic themselves. So the lowest logit whose risk is the least up to the error of its estimate is
+    taken, and from there CAUTION of the way to the clean bulk, whose end is the quantile that leaves the toxic share above.
+    """
     zp, zu = np.sort(zp), np.sort(zu)
+    error = np.sqrt(prior * (1 - prior) / len(zu))
     caught = 1 - np.arange(len(zp)) / len(zp)
     rest = 1 - np.searchsorted(zu, zp, side="left") / len(zu) - prior * caught
-    at = zp[int(np.argmin(prior * (1 - caught) + np.maximum(0, rest)))]
-    below = zu[zu < at]
-    return float((at + below[-1]) / 2) if len(below) else float(at)
+    risk = prior * (1 - caught) + np.maximum(0, rest)
+    lowest = float(zp[np.flatnonzero(risk <= risk.min() + error)[0]])
+    clean = float(np.quantile(zu, max(0.0, 1 - prior - 2 * error)))
+    return max(lowest - CAUTION * max(0.0, lowest - clean), clean + 1e-6)
 
 
 def fold(doc_id) -> F.Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
+    """crc32 of the id as text modulo 5; 1 for a null id."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)), F.lit(1))
 
 
 def learn(docs: DataFrame, labels: DataFrame):
@@ -119,13 +279,22 @@ def learn(docs: DataFrame, labels: DataFrame):
     chosen = _sample(known.where("toxic = 1"), n_pos, MAX_POSITIVE).select("doc_id")
     positive = base.join(F.broadcast(chosen), "doc_id").withColumn("positive", F.lit(True))  # about MAX_POSITIVE ids
     unlabelled = _sample(base, base.count(), MAX_UNLABELLED).withColumn("positive", F.lit(False))
-    rows = positive.unionByName(unlabelled).select("positive", "text").mapInArrow(_presence, "positive boolean, ids binary").collect()
-    split = {True: [], False: []}
-    for r in rows:
-        split[r.positive].append(np.frombuffer(r.ids, np.int32))
-    if not split[True] or not split[False]:
+    held = F.pmod(F.xxhash64("doc_id", F.lit("border")), F.lit(BORDER_PART)) == 0
+    sample = cut(positive.unionByName(unlabelled).select("positive", held.alias("held"), "text"), "toxicity-sample")
+    sizes = {(r.positive, r.held): r["count"] for r in sample.groupBy("positive", "held").count().collect()}
+    if len(sizes) < 4:
+        return None
+    prior = n_pos / n
+    features = _chosen(sample.where("not held"), sizes[True, False], sizes[False, False], prior)
+    if not features:
         return None
-    return _fit(split[True], split[False], n_pos / n)
+    split = {k: [] for k in sizes}
+    for r in sample.select("positive", "held", "text").mapInArrow(_matrix(features), "positive boolean, held boolean, ids binary").collect():
+        split[r.positive, r.held].append(np.frombuffer(r.ids, np.int32))
+    rows = {k: _Rows(v, len(features)) for k, v in split.items()}
+    w = _fit(rows[True, False], rows[False, False], prior)
+    zp, zu = rows[True, True].logits(w), rows[False, True].logits(w)
+    return features, w, -_border(zp, zu, prior)
 
 
 def _score(model):
@@ -134,18 +303,13 @@ def _score(model):
         used = np.zeros(1 << SPACE_BITS, bool)
         bias = 0.0
         if model is not None:
-            pick, w, bias = model
-            table[pick], used[pick] = w, True
+            features, w, bias = model
+            table[features], used[features] = w, True
         for batch in batches:
-            data, offs = T.buffers(batch.column("text"))
-            out = np.zeros(len(offs) - 1)
-            for i, j in T.chunks(offs):
-                row, ids = _word_ids(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
-                hit = used[ids]
-                both = np.unique(row[hit] * (1 << SPACE_BITS) + ids[hit])
-                out[i:j] = np.bincount(both >> SPACE_BITS, weights=table[both & ((1 << SPACE_BITS) - 1)], minlength=j - i)
-            score = 1 / (1 + np.exp(-(out + bias))) if model is not None else np.zeros(len(out))
-            cols = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+            n, row, ids = _present(batch.column("text"), used)
+            logit = np.bincount(row, weights=table[ids], minlength=n) + bias
+            score = 1 / (1 + np.exp(-np.clip(logit, -500, 500))) if model is not None else np.zeros(n)
+            cols = {c: batch.column(c) for c in batch.schema.names if c != "text"}
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(score)], [*cols, "score"])
     return run
 

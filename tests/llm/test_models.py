@@ -1,9 +1,12 @@
 """Decontamination, token counts, toxicity and packing on small tables."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +92,36 @@ def test_toxicity(spark, odd):
     assert toxicity.keep_clean(d, model).columns == d.columns
 
 
+def test_toxicity_of_altered_words(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.learn(d, labels)
+    rows = d.join(labels.select("doc_id", "toxic"), "doc_id").select("doc_id", "text", "toxic", (toxicity.fold(F.col("doc_id")) == 0).alias("held")).collect()
+    seen = {k: Counter(w for r in rows if r.toxic == k for w in set(re.findall(r"\w+", r.text.lower()))) for k in (0, 1)}
+    own = [w for w, n in seen[1].items() if n >= 5 and not seen[0][w] and len(w) > 3]
+    pattern = re.compile(r"\b(%s)\b" % "|".join(own), re.I)
+    held = [r for r in rows if r.held and r.toxic and pattern.search(r.text)]
+    signs = str.maketrans("oieas", "01345")
+    changes = [lambda w: w, str.upper, lambda w: w.translate(signs), ".".join, lambda w: w[:2] + 3 * w[2] + w[3:], lambda w: w + "zig", lambda w: w[:-1] + "k"]
+    docs = [(k, pattern.sub(lambda m: f(m[0]), r.text)) for k, f in enumerate(changes) for r in held]
+    clean = [(100, r.text) for r in rows if r.held and not r.toxic]
+    out = toxicity.scores(spark.createDataFrame(docs + clean, "doc_id long, text string"), model).collect()
+    caught = [sum(r.score >= 0.5 for r in out if r.doc_id == k) for k in range(len(changes))]
+    assert caught[0] >= 0.9 * len(held) and all(c >= 0.9 * caught[0] for c in caught), (len(held), caught)
+    assert sum(r.score < 0.5 for r in out if r.doc_id == 100) >= 0.97 * len(clean)
+
+
+def test_toxicity_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART", 1 << 10)
+    column = pa.array(["lOooser w0rd " * 3000, None, "", "x" * 5000, "i d i o t und \u00cdd\u00ef\u00f3t"])
+    n, row, ids = toxicity._present(column)
+    monkeypatch.setattr(toxicity, "PART", 1 << 18)
+    whole = toxicity._present(column)
+    assert n == 5 and set(row.tolist()) == {0, 3, 4} and (row == whole[1]).all() and (ids == whole[2]).all()
+    plain, of = toxicity._plain_words(*toxicity.T.buffers(column))
+    assert bytes(plain[of == 4]).split()[:3] == [b"idiot", b"und", b"idiot"]
+
+
 def check_pack(docs, pieces):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
