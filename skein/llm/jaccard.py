@@ -10,8 +10,9 @@ ordered by their count (the list only orders, so its length cannot change result
   one post there too. The boundary is the size with the least estimated cost over the histogram of set sizes.
 
 Lists are not expanded into pairs. Each set is first compared with the head of its lists (the set in which the
-list's shingle comes earliest). Only pairs that a list still holds in different components, and that pass the
-length and position bounds, are compared afterwards; all of them are, so no link between components is lost.
+list's shingle comes earliest). With that all pairs of a list's head are decided, so
+lists of two are done; of longer ones only pairs without the head, still in different components, of neighbouring size classes
+and within the length and position bounds are compared afterwards; all of them are, so no link between components is lost.
 Every comparison is exact on the whole sets.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import textnum as T
-from skein.llm.common import cut, small_batches, texts
+from skein.llm.common import cut, small_batches, texts, unused
 from skein.llm.components import components
 
 SHINGLE, SIMILAR = 5, 80
@@ -243,6 +244,11 @@ def _bound(na, nb, ata=None, atb=None):
     return ok & ((ata < 0) | (most * (100 + SIMILAR) >= (na + nb) * SIMILAR))
 
 
+def _band(n):
+    """Class of a set's size; sizes of similar sets differ by a factor of at most 1.25, so by at most one class (1.26 leaves room for rounding)."""
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(1.26)))).cast("int")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, doc_id, n_shingles, component_id) of every row.
 
@@ -269,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vertices = members.where("n > 0").groupBy("sid", "n").agg(F.min("rid").alias("v"))
     posted = bodies.join(vertices.select("v"), F.col("rid") == F.col("v"), "left_semi").mapInArrow(_postings(frequent, counts, boundary), "key long, v long, at int, n int")
     w = Window.partitionBy("key")
-    lists = posted.repartition("key").select("*", F.count("*").over(w).alias("size"), F.min(F.struct((F.col("at") / F.col("n")).alias("early"), "v", "n", "at")).over(w).alias("head")).where("size > 1").select("key", "v", "at", "n", "head")
+    lists = posted.repartition("key").select("*", F.count("*").over(w).alias("size"), F.min(F.struct((F.col("at") / F.col("n")).alias("early"), "v", "n", "at")).over(w).alias("head")).where("size > 1").select("key", "v", "at", "n", "size", "head")
     lists = cut(lists, "lists")
 
     first = lists.where((F.col("v") != F.col("head.v")) & _bound(F.col("n"), F.col("head.n"), F.col("at"), F.col("head.at")))
@@ -277,13 +283,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_similar(first, bodies), "links")
     roots = components(links)
 
-    # pairs that a list still holds in different components
-    tagged = lists.select("key", "v", "at", "n").join(roots, "v", "left").select("key", "v", "at", "n", F.coalesce("root", "v").alias("root"))
+    # pairs of a list without its head (all of whose pairs are decided) that are still in different components
+    tagged = lists.where((F.col("size") > 2) & (F.col("v") != F.col("head.v"))).select("key", "v", "at", "n").join(roots, "v", "left").select("key", "v", "at", "n", F.coalesce("root", "v").alias("root"))
     open_ = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = tagged.join(open_, "key", "left_semi")
-    x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("v", "at", "n", "root"))) for s in "xy")
-    rest = x.join(y, "key").where((F.col("v_x") < F.col("v_y")) & (F.col("root_x") != F.col("root_y")) & _bound(F.col("n_x"), F.col("n_y"), F.col("at_x"), F.col("at_y")))
-    rest = rest.select(F.col("v_x").alias("a"), F.col("v_y").alias("b")).distinct()
+    left = tagged.join(open_, "key", "left_semi").withColumn("band", _band(F.col("n")))
+    x, y = (left.select("key", "band", *(F.col(c).alias(f"{c}_{s}") for c in ("v", "at", "n", "root"))) for s in "xy")
+    x = x.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))  # the smaller set meets its own band and the next
+    later = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("v_x") < F.col("v_y")))
+    rest = x.join(y, ["key", "band"]).where(later & (F.col("root_x") != F.col("root_y")) & _bound(F.col("n_x"), F.col("n_y"), F.col("at_x"), F.col("at_y")))
+    rest = rest.select(F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(_similar(rest.join(tried, ["a", "b"], "left_anti"), bodies), "links")
     if more.limit(1).count():
@@ -302,8 +310,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = cut(near_duplicates(docs, id_col, text_col).where("n_shingles > 0 and component_id is not null"), "groups")
     best = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("rid").alias("best"), F.count("*").alias("rows"))
-    state = found.select("rid", "component_id").distinct().join(best, "component_id").select(F.col("rid").alias("_rid"), F.when(F.col("rid") != F.col("best"), "drop").when(F.col("rows") > 1, "once").alias("_state")).where("_state is not null")
+    rid, state = unused(docs, "rid"), unused(docs, "state")
+    decided = found.select("rid", "component_id").distinct().join(best, "component_id").select(F.col("rid").alias(rid), F.when(F.col("rid") != F.col("best"), "drop").when(F.col("rows") > 1, "once").alias(state)).where(F.col(state).isNotNull())
     key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    out = docs.join(state, key == F.col("_rid"), "left")
-    once = out.where("_state = 'once'").dropDuplicates(["_rid"])
-    return out.where("_state is null").unionByName(once).select(*docs.columns)
+    out = docs.join(decided, key == F.col(rid), "left")
+    once = out.where(F.col(state) == "once").dropDuplicates([rid])
+    return out.where(F.col(state).isNull()).unionByName(once).select(*docs.columns)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut
+from skein.llm.common import cut, unused
 
 
 @dataclass(frozen=True)
@@ -106,11 +106,12 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RUL
     Every path and version with a blob gets the blob's findings; versions without findings get an empty array.
     """
     kind = f"array<struct<rule:string,spans:{_SPANS}>>"
-    per = ledger.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.explode("findings").alias("f")).where(F.col("f.rule").isin([r.tag for r in rules]))
-    per = per.groupBy("_blob").agg(F.collect_set("f").alias("found"))  # one element a rule
+    blob = unused(versions, "blob")
+    per = ledger.where(F.size("findings") > 0).select(F.col("blob").alias(blob), F.explode("findings").alias("f")).where(F.col("f.rule").isin([r.tag for r in rules]))
+    per = per.groupBy(blob).agg(F.collect_set("f").alias("found"))  # one element a rule
     per = cut(per, "findings")  # so that the join below can split a blob that many paths share
-    ids = versions.withColumn("_blob", F.unhex(F.sha2("text", 256))).drop("text")
-    return ids.join(per, "_blob", "left").drop("_blob").withColumn("found", F.coalesce("found", F.array().cast(kind)))
+    ids = versions.withColumn(blob, F.unhex(F.sha2("text", 256))).drop("text")
+    return ids.join(per, blob, "left").drop(blob).withColumn("found", F.coalesce("found", F.array().cast(kind)))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -131,17 +132,19 @@ def without_secrets(docs: DataFrame, text_col: str = "text", rules: Sequence[Rul
     All columns stay; a null text stays null. A column n_chars, where there is one, is set to the new length of
     the texts that changed.
     """
+    blob, spots = unused(docs, "blob"), unused(docs, "spots")
     versions = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = cut(scan(versions, None, rules), "ledger").where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.array_sort(F.flatten(F.transform("findings", lambda x: x["spans"]))).alias("_spans"))
+    found = cut(scan(versions, None, rules), "ledger").where(F.size("findings") > 0).select(F.col("blob").alias(blob), F.array_sort(F.flatten(F.transform("findings", lambda x: x["spans"]))).alias(spots))
     found = cut(found, "findings")
-    out = docs.join(found, F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)) == F.col("_blob"), "left")
-    new = f"""aggregate(_spans, struct(0 as at, '' as done), (s, x) -> if(x.stop <= s.at, s, struct(x.stop as at,
+    out = docs.join(found, F.unhex(F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)) == F.col(blob), "left")
+    clear = F.expr(f"""aggregate(`{spots}`, struct(0 as at, '' as done), (s, x) -> if(x.stop <= s.at, s, struct(x.stop as at,
         if(x.start >= s.at, concat(s.done, substring(`{text_col}`, s.at + 1, x.start - s.at), '[SECRET]'), s.done) as done)),
-        s -> concat(s.done, substring(`{text_col}`, s.at + 1, length(`{text_col}`))))"""
-    out = out.withColumn("_new", F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.expr(f"if(_spans is null, `{text_col}`, {new})")))
+        s -> concat(s.done, substring(`{text_col}`, s.at + 1, length(`{text_col}`))))""")
+    text = F.when(F.col(spots).isNull(), docs[text_col]).otherwise(clear)
+    new = {text_col: text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn(text_col, F.col("_new")).select(*docs.columns)
+        new["n_chars"] = F.when(F.col(spots).isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
 
 
 def _sql_kind(r: Rule, i: int) -> str:

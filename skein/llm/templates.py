@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import textnum as T
-from skein.llm.common import small_batches, texts
+from skein.llm.common import small_batches, texts, unused
 
 WINDOW = 8
 SHORTEST = 4
@@ -205,6 +205,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that hold no benchmark item."""
-    found = contaminated(docs, benchmark, id_col, text_col).select(F.col("rid").alias("_found_rid")).distinct()
+    rid = unused(docs, "rid")
+    found = contaminated(docs, benchmark, id_col, text_col).select(F.col("rid").alias(rid)).distinct()
     key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(found, key == F.col("_found_rid"), "left_anti")
+    return docs.join(found, key == F.col(rid), "left_anti")

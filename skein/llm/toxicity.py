@@ -14,7 +14,7 @@ the fit and sets the border.
 
 Defined cases: null and empty texts score as texts without features; a null doc_id is in no training fold and is
 scored like any other (its fold is 1: not held out); without a model all scores are 0; repeated rows are scored each;
-texts of any length are read in parts that end between words.
+texts of any length are read in parts that end between words (a word longer than a part is cut).
 """
 
 from __future__ import annotations
