@@ -32,7 +32,7 @@ from skein.llm.common import cut, small_batches, texts
 #: Bounds of the fitting samples, in documents (met in expectation: rows are chosen by hash).
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
 #: Hash space of features, and features that enter the model.
-SPACE_BITS, FEATURES = 22, 8192
+SPACE_BITS, FEATURES = 21, 8192
 #: A feature's share of toxic texts is at least so many times its estimated share of the others, with one standard error.
 SPECIFIC = 4
 #: How far the border moves from the weakest texts taken for toxic towards the clean bulk.
@@ -40,7 +40,7 @@ CAUTION = 0.7
 #: One of so many sampled documents sets the border and does not fit the weights.
 BORDER_PART = 4
 #: Bytes of text that are turned into features at once.
-PART = 1 << 18
+PART = 1 << 16
 _BOUND = np.zeros(256, bool)
 _BOUND[[i for i in range(128) if not chr(i).isalnum()]] = True
 
@@ -175,7 +175,8 @@ def _counted(batches):
         kind = np.where(np.asarray(batch.column("positive")), 0, 1)
         _, row, ids = _present(batch.column("text"))
         for k in (0, 1):
-            total[k] += np.bincount(ids[kind[row] == k], minlength=1 << SPACE_BITS).astype(np.int32)
+            here, n = np.unique(ids[kind[row] == k], return_counts=True)
+            total[k, here] += n.astype(np.int32)
     at = np.flatnonzero(total.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at].astype(np.int64)), pa.array(total[1, at].astype(np.int64))], ["feature", "p", "u"])
 
