@@ -39,8 +39,8 @@ SPECIFIC = 4
 CAUTION = 0.7
 #: One of so many sampled documents sets the border and does not fit the weights.
 BORDER_PART = 4
-#: Bytes of text that are turned into features at once.
-PART = 1 << 16
+#: Bytes of text, and rows, that are turned into features at once.
+PART, ROWS = 1 << 16, 64
 _BOUND = np.zeros(256, bool)
 _BOUND[[i for i in range(128) if not chr(i).isalnum()]] = True
 
@@ -168,10 +168,17 @@ def _sample(df: DataFrame, n: int, bound: int) -> DataFrame:
     return df if share == 1.0 else df.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
+def _few_rows(batches):
+    """The same rows in batches of at most ROWS, so that a worker holds the features of few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _counted(batches):
     """(feature, rows with it among positives, among unlabelled) of a task."""
     total = np.zeros((2, 1 << SPACE_BITS), np.int32)
-    for batch in batches:
+    for batch in _few_rows(batches):
         kind = np.where(np.asarray(batch.column("positive")), 0, 1)
         _, row, ids = _present(batch.column("text"))
         for k in (0, 1):
@@ -197,7 +204,7 @@ def _matrix(features: list[int]):
     def run(batches):
         column = np.full(1 << SPACE_BITS, -1, np.int32)
         column[features] = np.arange(len(features))
-        for batch in batches:
+        for batch in _few_rows(batches):
             n, row, ids = _present(batch.column("text"), column >= 0)
             ends = np.searchsorted(row, np.arange(n + 1))
             cols = [column[ids[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -306,7 +313,7 @@ def _score(model):
         if model is not None:
             features, w, bias = model
             table[features], used[features] = w, True
-        for batch in batches:
+        for batch in _few_rows(batches):
             n, row, ids = _present(batch.column("text"), used)
             logit = np.bincount(row, weights=table[ids], minlength=n) + bias
             score = 1 / (1 + np.exp(-np.clip(logit, -500, 500))) if model is not None else np.zeros(n)
@@ -325,7 +332,7 @@ def _accept(model):
     """Batches of any columns, without the rows whose text scores 0.5 or more."""
     def run(batches):
         score = _score(model)
-        for batch in batches:
+        for batch in _few_rows(batches):
             only = pa.RecordBatch.from_arrays([batch.column("text")], ["text"])
             keep = np.asarray(next(score(iter([only]))).column("score")) < 0.5
             yield batch.filter(pa.array(keep))
