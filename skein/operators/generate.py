@@ -27,7 +27,8 @@ def no_from_tokens(rt: DataFrame, keys: list[str]) -> DataFrame:
     ``value`` (``limit_value`` after LIMIT). Output keeps ``pos`` for order.
     """
     tok = F.col("token")
-    x = rt.filter(~F.col("clause").isin("from", "on") | F.col("clause").isNull())
+    derived = F.coalesce(F.col("sub_open") | F.col("sub_close"), F.lit(False))  # a derived table keeps its parentheses
+    x = rt.filter(~F.col("clause").isin("from", "on") | F.col("clause").isNull() | derived)
     star = F.concat(F.try_element_at("block_tables", F.lit(1)), F.lit(".*"))
     out = (F.when(F.col("col_id") == "*", star)
            .when(F.col("col_id").isNotNull(), F.col("col_id"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.operators import catalog as co
 from skein.operators import tokens as tk
 from skein.session import by_key, cut_lineage
 
@@ -48,6 +49,26 @@ def query_tokens(qs: DataFrame, key: str, cat_columns: DataFrame, sides=("gold",
     return tk.with_units(rt, keys), stacked.select(key, "side", "sql", "toks")
 
 
+def fk_map(cat) -> DataFrame:
+    """(col, rep): each column of a foreign-key class with more than one member -> the class's column of least id."""
+    name = cat.columns.filter(F.col("column_id") > 0).select("db_id", "column_id", F.concat_ws(".", F.lower("table_name"), F.lower("column_name")).alias("name"))
+    rep = name.select("db_id", F.col("column_id").alias("rep_id"), F.col("name").alias("rep"))
+    return co.fk_canonical(cat).join(name, ["db_id", "column_id"]).join(rep, ["db_id", "rep_id"]).select(F.col("name").alias("fk_col"), F.col("rep").alias("fk_rep"))
+
+
+def canonical_columns(ut: DataFrame, key: str, fks: DataFrame) -> DataFrame:
+    """Columns become their class's representative in ``norm``, where the column's table stands in the FROM of the top block.
+
+    Set-operation operands follow the top block's tables as well; nested queries keep their columns. ``fks`` is the map of
+    one database (metadata). DISTINCT flags and literals are dropped by ``norm`` already (E1).
+    """
+    w = Window.partitionBy(key, "side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first(F.when((F.col("sdepth") == 0) & (F.col("set_path") == "") & (F.col("block") >= 0), F.col("block_tables")), ignorenulls=True).over(w)
+    x = ut.withColumn("top_tables", first).join(fks, F.col("col_id") == F.col("fk_col"), "left")
+    swap = F.col("fk_rep").isNotNull() & (F.col("sdepth") == 0) & F.array_contains("top_tables", F.substring_index("col_id", ".", 1))
+    return x.withColumn("norm", F.when((F.col("norm") == F.col("col_id")) & F.coalesce(swap, F.lit(False)), F.col("fk_rep")).otherwise(F.col("norm"))).drop("top_tables", "fk_col", "fk_rep")
+
+
 def validity(ut: DataFrame, stacked: DataFrame, key: str) -> DataFrame:
     """E18 helper: parse validity per (key, side).
 
@@ -211,9 +232,14 @@ def hardness_expr() -> Column:
             .otherwise("extra"))
 
 
-def analyse(qs: DataFrame, key: str, cat_columns: DataFrame, sides=("gold", "pred")):
-    """Token table, units and per-block features of every side (one shared partitioning)."""
+def analyse(qs: DataFrame, key: str, cat_columns: DataFrame, sides=("gold", "pred"), fks: DataFrame | None = None):
+    """Token table, units and per-block features of every side (one shared partitioning).
+
+    With ``fks`` (see ``fk_map``) columns are compared by their foreign-key class (E2).
+    """
     ut, stacked = query_tokens(qs, key, cat_columns, sides)
+    if fks is not None:
+        ut = canonical_columns(ut, key, fks)
     # one lineage cut after the token table: units, features and validity all read it
     ut = cut_lineage(ut)
     u = cut_lineage(units(ut, key))
@@ -363,12 +389,12 @@ def _iuen(ok: DataFrame, key: str) -> DataFrame:
 
 # ---------------------------------------------------------------- reports
 
-def score_pairs(qs: DataFrame, key: str, cat_columns: DataFrame):
+def score_pairs(qs: DataFrame, key: str, cat_columns: DataFrame, fks: DataFrame | None = None):
     """Per key: hardness, validity, exact match and the ten category scores (path '' only).
 
     Returns (per_key, per_category) frames. Unparsable gold rows are dropped.
     """
-    ut, u, f, valid, _ = analyse(qs, key, cat_columns)
+    ut, u, f, valid, _ = analyse(qs, key, cat_columns, fks=fks)
     comp, iuen = component_scores(u, f, valid, key)
     gold_top = f.filter((F.col("side") == "gold") & (F.col("sdepth") == 0) & (F.col("set_path") == ""))
     # hardness needs set-op presence and nested counts of the top block
@@ -385,7 +411,7 @@ def score_pairs(qs: DataFrame, key: str, cat_columns: DataFrame):
 
 
 def score_report(qs: DataFrame, cat_columns: DataFrame, weight_col: str | None = None,
-                 key: str = "query_id") -> DataFrame:
+                 key: str = "query_id", fks: DataFrame | None = None) -> DataFrame:
     """By hardness level and ``all``: count, exact, and per category acc / rec / f1.
 
     acc averages over rows with pred_total > 0, rec over label_total > 0; f1
@@ -393,7 +419,7 @@ def score_report(qs: DataFrame, cat_columns: DataFrame, weight_col: str | None =
     for that many identical (gold, pred) pairs (the report is computed on
     distinct pairs, see ``score_report_dedup``).
     """
-    per_key, per_cat = score_pairs(qs, key, cat_columns)
+    per_key, per_cat = score_pairs(qs, key, cat_columns, fks)
     w = F.col(weight_col) if weight_col else F.lit(1)
     wk = qs.select(key, w.alias("w"))
     pk = per_key.join(wk, key)
@@ -425,10 +451,21 @@ def dedup_pairs(ql: DataFrame, gold: str = "gold", pred: str = "pred", key: str
         F.count("*").alias("mult"), F.min(key).alias(key))
 
 
-def score_report_dedup(ql: DataFrame, cat_columns: DataFrame, key: str = "query_id") -> DataFrame:
+def score_report_dedup(ql: DataFrame, cat_columns: DataFrame, key: str = "query_id", fks: DataFrame | None = None) -> DataFrame:
     """E17 over a log: scored once per distinct (gold, pred) pair, weighted by multiplicity."""
     d = dedup_pairs(ql, key=key)
-    return score_report(d, cat_columns, weight_col="mult", key=key)
+    return score_report(d, cat_columns, weight_col="mult", key=key, fks=fks)
+
+
+def partial_metric(qs: DataFrame, cat_columns: DataFrame, key: str = "query_id", turn: str = "turn_idx", fks: DataFrame | None = None) -> DataFrame:
+    """(category, n, acc, rec, f1) and, as category ``exact``, the exact match rate, of the rows with ``turn`` >= 0.
+
+    Rows with a negative turn are padding and count for nothing. Scored once per distinct pair of texts.
+    """
+    d = dedup_pairs(qs.filter(F.col(turn) >= 0), key=key)
+    r = score_report(d, cat_columns, weight_col="mult", key=key, fks=fks).filter(F.col("level") == "all")
+    exact = r.select(F.lit("exact").alias("category"), "n", F.col("exact").alias("acc"), F.col("exact").alias("rec"), F.col("exact").alias("f1")).distinct()
+    return r.select("category", "n", "acc", "rec", "f1").unionByName(exact)
 
 
 def string_em(qs: DataFrame, key: str = "query_id") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skein.functions.hashing import bucket
 from skein.operators import score as sc
 from skein.operators import tokens as tk
-from skein.plans.querylog import query_log, with_ql
+from skein.plans.catalog_queries import CAT_SQL
+from skein.plans.querylog import conversation_queries, query_log, query_log_sql, with_ql
 from skein.plans.registry import register
 from skein.session import by_key, Tables
 from skein.sources.catalog import star_catalog
@@ -115,7 +117,7 @@ def e04(spark, d):
 
 def _components(spark, d):
     cat = star_catalog(spark, d)
-    per_key, per_cat = sc.score_pairs(_ql(spark, d), "query_id", cat.columns)
+    per_key, per_cat = sc.score_pairs(_ql(spark, d), "query_id", cat.columns, sc.fk_map(cat))
     return per_key, per_cat
 
 
@@ -149,7 +151,7 @@ def e16(spark, d):
 @register("e17_score_report")
 def e17(spark, d):
     cat = star_catalog(spark, d)
-    return sc.score_report_dedup(_ql(spark, d), cat.columns)
+    return sc.score_report_dedup(_ql(spark, d), cat.columns, fks=sc.fk_map(cat))
 
 
 @register("e18_empty_on_error")
@@ -166,3 +168,68 @@ def e18(spark, d):
     "USING (query_id)", _SQL_TOKS))
 def e24(spark, d):
     return sc.string_em(_ql(spark, d))
+
+
+# ------------------------------------------------------------ E1, E2, E23
+
+_SQL_LIT = r'''(tt.token LIKE '"%' OR regexp_matches(tt.token, '^-?[0-9]+(\.[0-9]+)?$'))'''
+
+
+@register("e01_mask_literals", with_ql(
+    f"SELECT query_id, side, string_agg(CASE WHEN {_SQL_LIT} AND coalesce(clause, '') <> 'limit' THEN 'null' ELSE token END, ' ' ORDER BY pos) AS masked "
+    "FROM tt GROUP BY query_id, side", _SQL_TOKS, _SQL_TT))
+def e01(spark, d):
+    """Literals of conditions become null at every depth; subqueries and LIMIT counts stay."""
+    x = tk.tokenize(by_key(_sides(_ql(spark, d)), "query_id"), "sql").filter(F.col("toks").isNotNull())
+    tt = tk.token_table(x, KEYS)
+    t = F.when(tk.is_literal("token") & (F.coalesce("clause", F.lit("")) != "limit"), F.lit("null")).otherwise(F.col("token"))
+    g = tt.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("pos", t.alias("t")))).alias("ts"))
+    return g.select(*KEYS, F.array_join(F.transform("ts", lambda s: s["t"]), " ").alias("masked"))
+
+
+_E02_SQL = f"""WITH RECURSIVE {query_log_sql()},
+{_SQL_TOKS},
+{_SQL_TT},
+{CAT_SQL},
+cls AS (
+  SELECT node, min(label) AS rep FROM (
+    WITH RECURSIVE e AS (SELECT column_id AS a, other_column_id AS b FROM lfks WHERE db_id = 'star' UNION SELECT other_column_id, column_id FROM lfks WHERE db_id = 'star'),
+    r(node, label) AS (SELECT a, a FROM e UNION SELECT e.a, r.label FROM r JOIN e ON e.b = r.node) SELECT node, label FROM r) GROUP BY node),
+cname AS (SELECT column_id, table_name, column_name, lower(table_name || '.' || column_name) AS name FROM lcat WHERE db_id = 'star'),
+reps AS (SELECT x.name, y.name AS rep FROM cls JOIN cname x ON x.column_id = cls.node JOIN cname y ON y.column_id = cls.rep),
+ft AS (SELECT DISTINCT query_id, side, block, token AS t FROM tt JOIN (SELECT DISTINCT table_name FROM cname) n ON n.table_name = tt.token
+       WHERE clause = 'from' AND coalesce(prev_tok, '') <> 'as'),
+al AS (SELECT query_id, side, next_tok AS a, arg_max(prev_tok, pos) AS t FROM tt WHERE token = 'as' AND clause = 'from' GROUP BY query_id, side, next_tok),
+topb AS (SELECT query_id, side, min(pos) AS block FROM tt WHERE token = 'select' AND sdepth = 0 GROUP BY query_id, side),
+hit AS (
+  SELECT tt.query_id, tt.side, tt.pos, tt.sdepth, c.name FROM tt JOIN cname c ON c.column_name = tt.token
+  JOIN ft ON ft.query_id = tt.query_id AND ft.side = tt.side AND ft.block = tt.block AND ft.t = c.table_name
+  WHERE coalesce(tt.prev_tok, '') <> 'as'
+  UNION ALL
+  SELECT tt.query_id, tt.side, tt.pos, tt.sdepth, c.name FROM tt JOIN cname c ON c.column_name = split_part(tt.token, '.', 2)
+  LEFT JOIN al ON al.query_id = tt.query_id AND al.side = tt.side AND al.a = split_part(tt.token, '.', 1)
+  WHERE tt.token LIKE '%.%' AND tt.token NOT LIKE '"%' AND c.table_name = coalesce(al.t, split_part(tt.token, '.', 1)))
+SELECT h.query_id, h.side, CAST(h.pos AS INTEGER) AS pos, h.name AS col, CASE WHEN h.sdepth = 0 AND r.rep IS NOT NULL AND ft.t IS NOT NULL THEN r.rep ELSE h.name END AS canonical
+FROM hit h LEFT JOIN reps r ON r.name = h.name LEFT JOIN topb b ON b.query_id = h.query_id AND b.side = h.side
+LEFT JOIN ft ON ft.query_id = h.query_id AND ft.side = h.side AND ft.block = b.block AND ft.t = split_part(h.name, '.', 1)"""
+
+
+@register("e02_canonical_columns", _E02_SQL)
+def e02(spark, d):
+    """Every resolved column of the log with its representative, where its table stands in the top FROM."""
+    cat = star_catalog(spark, d)
+    ut, _ = sc.query_tokens(_ql(spark, d), "query_id", cat.columns)
+    # norm drops separators and FROM words, so the column itself is put there before
+    x = sc.canonical_columns(ut.filter(F.col("col_id").isNotNull() | (F.col("token") == "select")).withColumn("norm", F.col("col_id")), "query_id", sc.fk_map(cat))
+    return x.filter(F.col("col_id").contains(".") & ~F.col("col_id").endswith("*")).select(*KEYS, F.col("pos").cast("int"), F.col("col_id").alias("col"), F.col("norm").alias("canonical"))
+
+
+@register("e23_partial_metric")
+def e23(spark, d):
+    """Metric over the turns of the conversations; a tenth of them is padding (turn -1) and is left out."""
+    t = Tables(spark, d)
+    cat = star_catalog(spark, d)
+    link = conversation_queries(t.conversations, t.events)
+    key = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    rows = link.select("query_id", F.when(bucket("pad", key, 10) == 0, -1).otherwise(F.col("turn")).alias("turn_idx")).join(_ql(spark, d), "query_id")
+    return sc.partial_metric(rows, cat.columns, fks=sc.fk_map(cat))

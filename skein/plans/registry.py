@@ -31,6 +31,7 @@ def load_all() -> None:
     import skein.plans.lint_queries  # noqa: F401
     import skein.plans.querylog_queries  # noqa: F401
     import skein.plans.querytext_queries  # noqa: F401
+    import skein.plans.rebuild_queries  # noqa: F401
     import skein.plans.relational_queries  # noqa: F401
     import skein.plans.report_queries  # noqa: F401
     import skein.plans.source_queries  # noqa: F401
