@@ -1,4 +1,4 @@
-"""Template statistics and query generation.
+"""Template statistics and query generation (T16, G1-G10, G12, G16; G11, G13, G14 are in ``content``).
 
 Templates are built from the resolved token table (one partitioning by query
 key). Sampling is deterministic: every draw is an md5 bucket of (salt, seed).
@@ -161,27 +161,84 @@ def count_literal(seed_col: str = "seed", salt: str = "g12"):
     return (F.lit(1) + bucket(salt, seed_col, 9)).cast("string")
 
 
-def fill_template(draws: DataFrame, mapping: DataFrame, salt: str = "g13") -> DataFrame:
-    """G13 (column part) + G17: placeholders -> columns, ``value`` -> sampled literal text, ``limit_value`` -> 1.
+def map_columns(draws: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(seed, db_id, mapped): the placeholders of a drawn template replaced by the columns assigned to them."""
+    cols = mapping.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("slot", "col"))).alias("cols"))
+    toks = F.transform(F.split("template", " "), lambda t: F.coalesce(F.try_element_at(F.col("cols"), t), t))
+    return draws.join(cols, "seed").select("seed", "db_id", F.array_join(toks, " ").alias("mapped"))
 
-    Literal choice: a number 0..99 for number/key columns after an aggregate or
-    comparison, else a quoted token ``'v<k>'`` (content sampling is G11).
+
+def coarse_tokens(df: DataFrame) -> DataFrame:
+    """``mapped`` with aggregates, directions and comparisons folded to ``agg``, ``order`` and ``op``."""
+    t = F.transform(F.split("mapped", " "), lambda t: F.when(t.isin(*COARSE_AGG), "agg").when(t.isin("asc", "desc"), "order").when(t.isin(*COARSE_OP), "op").otherwise(t))
+    return df.withColumn("mapped", F.array_join(t, " "))
+
+
+def intervals(weights: DataFrame, group: list[str], item: str) -> DataFrame:
+    """Intervals [lo_n, hi_n) of the items' counts ``n`` inside each group, cut into equi-join buckets as in ``cumulative``.
+
+    One row per group and item (templates, databases): far smaller than the seeds that draw from it.
+    """
+    w = Window.partitionBy(*group).orderBy(item)
+    c = weights.select(*group, item, "n", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hi_n"),
+                       F.sum("n").over(Window.partitionBy(*group)).alias("total")).withColumn("lo_n", F.col("hi_n") - F.col("n"))
+    first = F.floor(F.col("lo_n") * N_BUCKETS / F.col("total")).cast("int")
+    last = F.least(F.floor(F.col("hi_n") * N_BUCKETS / F.col("total")), F.lit(N_BUCKETS - 1)).cast("int")
+    return c.select("*", F.explode(F.sequence(first, last)).alias("bkt"))
+
+
+def draw_weighted(seeds: DataFrame, weights: DataFrame, group: list[str], item: str, salt: str) -> DataFrame:
+    """``seeds`` (seed, group columns, ...) with one ``item`` of their group, drawn by its share of the group's counts."""
+    s = seeds.withColumn("h", _hash32(salt, "seed")).withColumn("bkt", F.shiftright("h", 22).cast("int"))
+    pos = F.col("h") * F.col("total")
+    x = s.join(intervals(weights, group, item), [*group, "bkt"])
+    x = x.filter((pos >= F.col("lo_n") * F.lit(1 << 32)) & (pos < F.col("hi_n") * F.lit(1 << 32)))
+    return x.select(*seeds.columns, item)
+
+
+def sample_db_first(seeds: DataFrame, stats: DataFrame, supp: DataFrame, salt: str = "g8") -> DataFrame:
+    """A database drawn evenly, then a template among those it supports, by its share of their counts."""
+    dbs = supp.agg(F.array_sort(F.collect_set("db_id")).alias("dbs"))  # one row, as long as there are databases
+    s = seeds.select("seed").join(F.broadcast(dbs)).select("seed", F.element_at("dbs", (bucket(salt + "db", "seed", F.size("dbs")) + 1).cast("int")).alias("db_id"))
+    return draw_weighted(s, supp.join(stats.select("template", "n"), "template"), ["db_id"], "template", salt)
+
+
+def sample_pairs(seeds: DataFrame, transitions: DataFrame, supp: DataFrame, salt: str = "g9") -> DataFrame:
+    """Previous template by p(prev), current one by p(curr | prev), then evenly a database that supports both.
+
+    Two chained draws; support is looked up per template (arrays of databases) and intersected row by row, so
+    templates never meet databases in pairs. ``none`` needs no support. Seeds without a common database are rejected.
+    """
+    prevs = transitions.groupBy("prev").agg(F.sum("n").alias("n"))
+    x = draw_weighted(seeds.select("seed"), prevs, [], "prev", salt + "p")
+    x = draw_weighted(x, transitions.select("prev", "curr", "n"), ["prev"], "curr", salt + "c")
+    dbs = supp.groupBy("template").agg(F.array_sort(F.collect_list("db_id")).alias("dbs"))
+    x = x.join(dbs.select(F.col("template").alias("curr"), F.col("dbs").alias("d_curr")), "curr")
+    x = x.join(dbs.select(F.col("template").alias("prev"), F.col("dbs").alias("d_prev")), "prev", "left")
+    both = F.when(F.col("prev") == "none", F.col("d_curr")).otherwise(F.array_intersect("d_curr", F.coalesce("d_prev", F.array().cast("array<string>"))))
+    x = x.withColumn("both", both).filter(F.size("both") > 0)
+    pick = F.element_at("both", (bucket(salt + "db", "seed", F.size("both")) + 1).cast("int"))
+    return x.select("seed", "prev", "curr", pick.alias("db_id"), F.size("both").alias("n_supported"))
+
+
+def top_up(make, n: int, first: int | None = None, rounds: int = 8) -> DataFrame:
+    """Exactly ``n`` kept rows, those of the least seeds.
+
+    ``make(lo, hi)`` draws the seeds lo <= seed < hi and returns the rows it keeps (with ``seed``). Each round asks for as many
+    seeds as the share kept so far says, with a tenth more; after ``rounds`` rounds, or a round that keeps nothing, it raises.
     """
-    toks = draws.select("seed", "db_id", F.posexplode(F.split("template", " ")).alias("pos", "t"))
-    m = mapping.select("seed", F.col("slot").alias("t"), "col", "ctype")
-    x = toks.join(m, ["seed", "t"], "left")
-    w = Window.partitionBy("seed").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("last_type", F.last("ctype", ignorenulls=True).over(w))
-    x = x.withColumn("prev2", F.lag("t", 2).over(Window.partitionBy("seed").orderBy("pos")))
-    lit_num = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("seed").cast("string"),
-                                                        F.col("pos").cast("string"))), 1, 6), 16, 10), F.lit(100))
-    val = (F.when(F.col("prev2") == "count", count_literal())
-           .when(F.col("last_type").isin("number", "key", "time"), lit_num.cast("string"))
-           .otherwise(F.concat(F.lit("'v"), lit_num.cast("string"), F.lit("'"))))
-    out = (F.when(F.col("col").isNotNull(), F.col("col")).when(F.col("t") == "value", val)
-           .when(F.col("t") == "limit_value", F.lit("1")).otherwise(F.col("t")))
-    g = x.groupBy("seed", "db_id").agg(F.array_sort(F.collect_list(F.struct("pos", out.alias("o")))).alias("os"))
-    return g.select(F.col("seed").alias("goal_id"), "db_id", F.array_join(F.transform("os", lambda s: s["o"]), " ").alias("sql"))
+    kept, have, lo, size = None, 0, 0, first or max(64, n + n // 2)
+    for _ in range(rounds):
+        part = cut_lineage(make(lo, lo + size))
+        kept = part if kept is None else kept.unionByName(part)
+        found = part.count()
+        have, lo = have + found, lo + size
+        if have >= n:
+            return kept.orderBy("seed").limit(n)
+        if not found:
+            break
+        size = int(1.1 * (n - have) * lo / have) + 64
+    raise ValueError(f"{have} of {n} rows were kept after {lo} draws")
 
 
 def error_weights(scored: DataFrame, template: str, score: str, example: str, order: str,

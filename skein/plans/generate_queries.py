@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skein.functions.hashing import bucket, sql_bucket
 from skein.operators import catalog as co
+from skein.operators import content as ct
 from skein.operators import generate as gen
+from skein.operators import rebuild as rb
 from skein.operators import score as sc
 from skein.plans.catalog_queries import CAT_SQL
 from skein.plans.dialog_queries import turns
-from skein.plans.querylog import conversation_queries_sql, query_log, query_log_sql
+from skein.plans.querylog import conversation_queries, conversation_queries_sql, query_log, query_log_sql
 from skein.plans.querylog_queries import _SQL_TOKS, _SQL_TT
 from skein.plans.registry import register
-from skein.session import Tables, cut_lineage
-from skein.sources.catalog import star_catalog, star_catalogs
+from skein.session import Tables, by_key, cut_lineage
+from skein.sources.catalog import STAR_TABLE_ORDER, star_catalog, star_catalogs
 
 KEYS = ["query_id", "side"]
 
@@ -21,12 +24,14 @@ KEYS = ["query_id", "side"]
 def gold_templates(spark, d):
     """(query_id, template) of every gold query of the log."""
     t = Tables(spark, d)
-    ql = query_log(spark, t.events)
+    ql = query_log(spark, t.events).select("query_id", "gold")
     cat = star_catalog(spark, d)
-    ut, _ = sc.query_tokens(ql.select("query_id", "gold"), "query_id", cat.columns, sides=("gold",))
+    # a log repeats its texts: each different one is analysed once
+    texts = ql.groupBy("gold").agg(F.min("query_id").alias("query_id"))
+    ut, _ = sc.query_tokens(texts, "query_id", cat.columns, sides=("gold",))
     nf = gen.no_from_tokens(ut, KEYS)
-    tpl = gen.templatize(nf, KEYS, co.typed_columns(cat))
-    return cut_lineage(tpl.select("query_id", "template"))
+    tpl = gen.templatize(nf, KEYS, co.typed_columns(cat)).select("query_id", "template")
+    return cut_lineage(ql.join(texts.join(tpl, "query_id").select("gold", "template"), "gold").select("query_id", "template"))
 
 
 _TPL_SQL = f"""{query_log_sql()},
@@ -185,11 +190,191 @@ def g12(spark, d):
     return Tables(spark, d).events.select(F.col("event_id").alias("seed")).select("seed", gen.count_literal().alias("literal"))
 
 
+# ------------------------------------------------ G8, G9, G11, G13, G14, G16, G17
+
+_G8_SQL = """alldb AS (SELECT list_sort(list(DISTINCT db_id)) AS dbs FROM supp),
+s8 AS (SELECT event_id AS seed, ('0x' || substr(md5('g8:' || CAST(event_id AS VARCHAR)), 1, 8))::BIGINT AS h,
+  dbs[1 + ((('0x' || substr(md5('g8db:' || CAST(event_id AS VARCHAR)), 1, 8))::BIGINT) % len(dbs))] AS db_id FROM events, alldb),
+c8 AS (SELECT s.db_id, s.template, st.n, sum(st.n) OVER (PARTITION BY s.db_id ORDER BY s.template ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi_n,
+  sum(st.n) OVER (PARTITION BY s.db_id) AS total FROM supp s JOIN stats st USING (template))"""
+
+
+@register("g08_sample_db_first", gw("SELECT seed, db_id, template FROM s8 JOIN c8 USING (db_id) "
+                                    "WHERE h * total >= (hi_n - n) * 4294967296 AND h * total < hi_n * 4294967296", _SUPPORT_SQL, _G8_SQL))
+def g08(spark, d):
+    stats = cut_lineage(gen.template_stats(gold_templates(spark, d)))
+    return gen.sample_db_first(_seeds(spark, d), stats, cut_lineage(gen.supported(stats, _support(spark, d))))
+
+
+def _seeds(spark, d):
+    return Tables(spark, d).events.select(F.col("event_id").alias("seed"))
+
+
+def _transitions(spark, d, tpl):
+    t = Tables(spark, d)
+    cq = conversation_queries(t.conversations, t.events)
+    x = turns(spark, d).select("conv_id", "turn", "turn_idx").join(cq, ["conv_id", "turn"]).join(tpl, "query_id")
+    return gen.transition_stats(x.select("conv_id", "turn_idx", "template"))
+
+
+_G9_SQL = """pairs AS (SELECT prev, curr, count(*) AS n FROM (
+  SELECT coalesce(lag(t.template) OVER (PARTITION BY u.conv_id ORDER BY u.turn), 'none') AS prev, t.template AS curr
+  FROM (SELECT c.conv_id, c.turn, cq.query_id FROM conversations c JOIN cq USING (conv_id, turn) WHERE c.role = 'user') u JOIN tpl t ON t.query_id = u.query_id) GROUP BY ALL),
+pp AS (SELECT prev, n, sum(n) OVER (ORDER BY prev ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi_n, sum(n) OVER () AS total
+       FROM (SELECT prev, sum(n) AS n FROM pairs GROUP BY prev)),
+pc AS (SELECT prev, curr, n, sum(n) OVER (PARTITION BY prev ORDER BY curr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi_n, sum(n) OVER (PARTITION BY prev) AS total FROM pairs),
+s9 AS (SELECT event_id AS seed, ('0x' || substr(md5('g9p:' || CAST(event_id AS VARCHAR)), 1, 8))::BIGINT AS hp, ('0x' || substr(md5('g9c:' || CAST(event_id AS VARCHAR)), 1, 8))::BIGINT AS hc FROM events),
+d9 AS (SELECT template, list_sort(list(db_id)) AS dbs FROM supp GROUP BY template),
+drawn AS (
+  SELECT s.seed, pp.prev, pc.curr, CASE WHEN pp.prev = 'none' THEN c.dbs ELSE list_filter(c.dbs, lambda x: list_contains(coalesce(p.dbs, []), x)) END AS dbs
+  FROM s9 s JOIN pp ON s.hp * pp.total >= (pp.hi_n - pp.n) * 4294967296 AND s.hp * pp.total < pp.hi_n * 4294967296
+  JOIN pc ON pc.prev = pp.prev AND s.hc * pc.total >= (pc.hi_n - pc.n) * 4294967296 AND s.hc * pc.total < pc.hi_n * 4294967296
+  JOIN d9 c ON c.template = pc.curr LEFT JOIN d9 p ON p.template = pp.prev)"""
+
+
+@register("g09_sample_pairs", gw(
+    "SELECT seed, prev, curr, dbs[1 + ((('0x' || substr(md5('g9db:' || CAST(seed AS VARCHAR)), 1, 8))::BIGINT) % len(dbs))] AS db_id, "
+    "CAST(len(dbs) AS INTEGER) AS n_supported FROM drawn WHERE len(dbs) > 0", conversation_queries_sql(), _SUPPORT_SQL, _G9_SQL))
+def g09(spark, d):
+    tpl = gold_templates(spark, d)
+    stats = cut_lineage(gen.template_stats(tpl))
+    supp = cut_lineage(gen.supported(stats, _support(spark, d)))
+    return gen.sample_pairs(_seeds(spark, d), cut_lineage(_transitions(spark, d, tpl)), supp)
+
+
+def _content(spark, d):
+    """Index over the content of every column of the star tables."""
+    t = Tables(spark, d)
+    index, sizes = ct.content_index(cut_lineage(ct.literals({n: getattr(t, n) for n in STAR_TABLE_ORDER})))
+    return cut_lineage(index), cut_lineage(sizes)
+
+
+_LITERALS_SQL = "lits AS (SELECT col, literal, count(*) AS n FROM (\n" + " UNION ALL\n".join(
+    f"SELECT '{n}.' || lower(name) AS col, split_part(value, '.', 1) AS literal FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {n}) ON COLUMNS(*) INTO NAME name VALUE value)"
+    for n in STAR_TABLE_ORDER) + """) WHERE literal <> '' GROUP BY ALL),
+cont AS (SELECT col, literal, n, sum(n) OVER (PARTITION BY col ORDER BY substr(md5(literal), 1, 2), literal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
+                sum(n) OVER (PARTITION BY col) AS total FROM lits),
+tot AS (SELECT DISTINCT col, total FROM cont)"""
+
+
+@register("g11_sample_value", f"""WITH {CAT_SQL}, {_LITERALS_SQL},
+names AS (SELECT list(lower(table_name || '.' || column_name) ORDER BY column_id) AS names FROM lcat WHERE db_id = 'star'),
+ty AS (SELECT lower(l.table_name || '.' || l.column_name) AS col, CASE WHEN k.column_id IS NOT NULL THEN 'key' ELSE l.column_type END AS ctype
+       FROM lcat l LEFT JOIN keycols k ON k.db_id = l.db_id AND k.column_id = l.column_id WHERE l.db_id = 'star'),
+d AS (SELECT event_id AS seed, names[CAST({sql_bucket('g11col', 'event_id', 'len(names)')} + 1 AS BIGINT)] AS col FROM events, names),
+k AS (SELECT d.*, {sql_bucket('g11', 'd.seed', 'total')} AS k FROM d JOIN tot USING (col))
+SELECT k.seed, k.col, CASE WHEN ty.ctype = 'number' THEN c.literal ELSE '''' || c.literal || '''' END AS literal
+FROM k JOIN cont c ON c.col = k.col AND k.k >= c.hi - c.n AND k.k < c.hi JOIN ty ON ty.col = k.col""")
+def g11(spark, d):
+    """One literal for every seed, from a column drawn evenly among all of the star tables."""
+    cat = star_catalog(spark, d)
+    names = [f"{t}.{f.name}".lower() for t in STAR_TABLE_ORDER for f in getattr(Tables(spark, d), t).schema.fields]
+    col = F.element_at(F.array(*[F.lit(n) for n in names]), (bucket("g11col", "seed", len(names)) + 1).cast("int"))
+    index, sizes = _content(spark, d)
+    x = ct.sample_values(_seeds(spark, d).withColumn("col", col), index, sizes, "seed")
+    ty = co.typed_columns(cat).select(F.lower(F.concat_ws(".", "table_name", "column_name")).alias("col"), F.col("slot_type").alias("ctype"))
+    return x.join(ty, "col").select("seed", "col", ct.quoted(F.col("literal"), F.col("ctype"), F.lit(None).cast("string")).alias("literal"))
+
+
+def _typed(spark, d):
+    """Typed columns of all databases; rows of ``*`` carry the table's first column."""
+    cat = star_catalogs(spark, d)
+    first = cat.columns.filter("column_id > 0").groupBy("db_id", "table_name").agg(F.min_by("column_name", "column_id").alias("first_column"))
+    return co.typed_columns(cat).join(first, ["db_id", "table_name"], "left").withColumn("first_column", F.when(F.col("column_name") == "*", F.col("first_column")))
+
+
+def _mapped(spark, d, draws=None):
+    draws = cut_lineage(_draws(spark, d)) if draws is None else draws
+    return gen.map_columns(draws, gen.assign_columns(draws, co.typed_columns(star_catalogs(spark, d))))
+
+
+_G13_SQL = f"""{_LITERALS_SQL},
+mtok AS (
+  SELECT seed, db_id, i - 1 AS i, t, CASE WHEN t LIKE '%\\_col\\_%' ESCAPE '\\' THEN regexp_extract(t, '^(.*)_col_', 1) END AS ctype
+  FROM (SELECT seed, db_id, unnest(string_split(template, ' ')) AS t, generate_subscripts(string_split(template, ' '), 1) AS i FROM draws)),
+mcol AS (SELECT m.*, a.col, coalesce(a.col, m.t) AS w FROM mtok m LEFT JOIN assign a ON a.seed = m.seed AND a.slot = m.t),
+mop AS (SELECT *, CASE WHEN col IS NOT NULL THEN struct_pack(col := col, ctype := ctype, op := CASE WHEN lag(w) OVER s = '(' THEN lag(w, 2) OVER s END) END AS gov
+        FROM mcol WINDOW s AS (PARTITION BY seed ORDER BY i)),
+mlast AS (SELECT *, last_value(gov IGNORE NULLS) OVER (PARTITION BY seed ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM mop),
+firstcol AS (SELECT lower(table_name) || '.*' AS star, lower(table_name || '.' || arg_min(column_name, column_id)) AS of FROM lcat WHERE db_id = 'star' GROUP BY table_name),
+mval AS (SELECT m.seed, m.i, m.g.ctype AS ctype, m.g.op AS op, coalesce(f.of, m.g.col) AS col, CAST(m.seed AS VARCHAR) || ':' || CAST(m.i AS VARCHAR) AS key
+         FROM mlast m LEFT JOIN firstcol f ON f.star = m.g.col WHERE m.t = 'value'),
+val AS (
+  SELECT seed, i, CAST(1 + {sql_bucket('g13c', 'key', 9)} AS VARCHAR) AS v FROM mval WHERE op = 'count'
+  UNION ALL
+  SELECT m.seed, m.i, CASE WHEN m.ctype IN ('id', 'number') OR coalesce(m.op, '') IN ('max', 'min', 'avg', 'sum') THEN c.literal ELSE '''' || c.literal || '''' END
+  FROM (SELECT mval.*, {sql_bucket('g13', 'key', 'total')} AS k FROM mval JOIN tot USING (col) WHERE coalesce(op, '') <> 'count') m
+  JOIN cont c ON c.col = m.col AND m.k >= c.hi - c.n AND m.k < c.hi)"""
+
+
+@register("g13_fill_template", gw("""SELECT m.seed, m.db_id, string_agg(CASE WHEN m.t = 'value' THEN val.v WHEN m.t = 'limit_value' THEN '1' ELSE m.w END, ' ' ORDER BY m.i) AS filled
+FROM mlast m LEFT JOIN val ON val.seed = m.seed AND val.i = m.i GROUP BY m.seed, m.db_id HAVING count(*) FILTER (m.t = 'value') = count(val.v)""",
+                                  _SUPPORT_SQL, _G7_SQL, _G10_SQL, _G13_SQL))
+def g13(spark, d):
+    index, sizes = _content(spark, d)
+    return ct.fill_template(_mapped(spark, d), _typed(spark, d), index, sizes).select("seed", "db_id", "filled")
+
+
+def _case(choices, draw):
+    upto, parts = 0, []
+    for what, share in choices:
+        upto += share
+        parts.append(f"WHEN {draw} < {upto} THEN '{what}'")
+    return f"CASE {' '.join(parts)} END"
+
+
+_DRAW = "(('0x' || substr(md5('g14:' || CAST(seed AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8))::BIGINT) % 1000"
+_G14_SQL = f"""mtok AS (
+  SELECT seed, db_id, i - 1 AS i, t FROM (SELECT seed, db_id, unnest(string_split(template, ' ')) AS t, generate_subscripts(string_split(template, ' '), 1) AS i FROM draws)),
+mcol AS (SELECT m.seed, m.db_id, m.i, a.col, CASE WHEN a.col IS NULL THEN NULL WHEN regexp_extract(m.t, '^(.*)_col_', 1) IN ('number', 'time', '*') AND a.col LIKE '%phone%' THEN 'phone'
+           ELSE regexp_extract(m.t, '^(.*)_col_', 1) END AS ctype,
+         CASE WHEN a.col IS NOT NULL THEN a.col WHEN m.t IN ({", ".join(f"'{x}'" for x in gen.COARSE_AGG)}) THEN 'agg' WHEN m.t IN ('asc', 'desc') THEN 'order'
+              WHEN m.t IN ({", ".join(f"'{x}'" for x in gen.COARSE_OP)}) THEN 'op' ELSE m.t END AS w
+         FROM mtok m LEFT JOIN assign a ON a.seed = m.seed AND a.slot = m.t),
+mnear AS (SELECT *, last_value(ctype IGNORE NULLS) OVER (PARTITION BY seed ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lastt,
+          first_value(ctype IGNORE NULLS) OVER (PARTITION BY seed ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nextt,
+          lead(w) OVER (PARTITION BY seed ORDER BY i) AS after FROM mcol),
+mout AS (SELECT seed, db_id, i, CASE
+  WHEN w = 'op' THEN CASE {" ".join(f"WHEN lastt = '{t}' THEN {_case(c, _DRAW)}" for t, c in ct.OP_CHOICES.items())} END
+  WHEN w = 'order' AND coalesce(after, '') <> 'by' THEN {_case(ct.ORDER_CHOICES, _DRAW)}
+  WHEN w = 'agg' THEN CASE {" ".join(f"WHEN nextt = '{t}' THEN {_case(c, _DRAW)}" for t, c in (ct.AGG_CHOICES | {"phone": ct.AGG_CHOICES["number"]}).items())} END ELSE w END AS o FROM mnear)"""
+
+
+@register("g14_detemplatize", gw("SELECT seed, db_id, string_agg(o, ' ' ORDER BY i) AS mapped FROM mout GROUP BY seed, db_id HAVING count(*) = count(o)", _SUPPORT_SQL, _G7_SQL, _G10_SQL, _G14_SQL))
+def g14(spark, d):
+    """Coarse, column-mapped templates with comparisons, directions and aggregates chosen anew by type."""
+    return ct.detemplatize(gen.coarse_tokens(_mapped(spark, d)), co.typed_columns(star_catalogs(spark, d)))
+
+
+def goals(spark, d, draws, content=None):
+    """(seed, db_id, sql): filled templates with FROM clauses and the drawn literals in place."""
+    index, sizes = content or _content(spark, d)
+    filled = cut_lineage(ct.fill_template(_mapped(spark, d, draws), _typed(spark, d), index, sizes))
+    cat = star_catalogs(spark, d)
+    # slots go through the rebuild under a mark of their own: literals may hold blanks, and a column may be called value
+    kept = filled.withColumn("no_from", F.expr(f"array_join(transform(split(mapped, ' '), t -> case when t = 'value' then '{ct.SLOT}' when t = 'limit_value' then '1' else t end), ' ')"))
+    sql = rb.rebuild_from(by_key(kept, "seed"), "seed", "no_from", rb.fk_paths(cat))
+    return ct.place_literals(filled.select("seed", "db_id", "literals").join(sql, "seed")).select("seed", "db_id", "sql")
+
+
 @register("g17_goals")
 def g17(spark, d):
-    draws = _draws(spark, d)
-    mapping = gen.assign_columns(draws, co.typed_columns(star_catalogs(spark, d)))
-    return gen.fill_template(draws, mapping)
+    return goals(spark, d, cut_lineage(_draws(spark, d))).select(F.col("seed").alias("goal_id"), "db_id", "sql")
+
+
+@register("g16_top_up")
+def g16(spark, d):
+    """A tenth as many goals as there are events: drawn, filled and rebuilt until enough have at most four tables."""
+    n = max(1, Tables(spark, d).events.count() // 10)
+    stats = cut_lineage(gen.template_stats(gold_templates(spark, d)))
+    supp = cut_lineage(gen.supported(stats, _support(spark, d)))
+    content = _content(spark, d)
+
+    def make(lo, hi):
+        draws = cut_lineage(gen.sample_template_first(spark.range(lo, hi).select(F.col("id").alias("seed")), stats, supp))
+        return goals(spark, d, draws, content).filter(~F.col("sql").contains(" as T5"))
+
+    return gen.top_up(make, n).select(F.col("seed").alias("goal_id"), "db_id", "sql")
 
 
 # --------------------------------------------------------------------- G5
