@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.operators import tokens as tk
+from skein.operators.scopes import scope_findings
 from skein.session import cut_lineage
 
 RULES = ["unknown_table", "column_not_in_table", "alias_not_in_scope", "column_not_in_alias", "ambiguous_column",
-         "unresolved_column", "duplicate_alias", "duplicate_table", "bad_aggregate_type", "bad_arithmetic_type",
+         "unresolved_column", "duplicate_alias", "duplicate_table", "derived_column_missing", "bad_aggregate_type", "bad_arithmetic_type",
          "bad_comparison_type", "bad_like_type", "setop_type_mismatch", "bad_alias_name", "literal_too_long"]
 ALIAS_RE = r"^t[0-9]{1,10}$"
 MAX_LITERAL = 64
@@ -37,11 +38,6 @@ def lint(rt: DataFrame, keys: list[str]) -> DataFrame:
     tok = F.col("token")
     prev = F.coalesce(F.col("prev_tok"), F.lit(""))
     ident = tok.rlike(r"^[a-z_][a-z0-9_#$]*$") & ~tok.isin(*tk.KEYWORDS)
-    qualified = tok.contains(".") & ~tk.is_literal(tok)
-    qual = F.substring_index(tok, ".", 1)
-    alias_names = F.transform("aliases", lambda e: e["a"])
-    is_alias = F.array_contains(alias_names, qual)
-    qual_is_table = F.col("want_table").isNotNull() & (F.array_contains("block_tables", F.col("want_table")))
     w = Window.partitionBy(*keys).orderBy("pos")
     # every rule below reads the same resolved tokens: cut lineage once
     rt = cut_lineage(rt)
@@ -51,17 +47,8 @@ def lint(rt: DataFrame, keys: list[str]) -> DataFrame:
     # L1 table in FROM that the catalog does not have
     out.append(_finding(x, keys, "unknown_table", (F.col("clause") == "from") & ident & (prev != "as")
                         & ~F.col("is_table"), tok))
-    # L2 / L4 qualified column whose table (named directly / through an alias) lacks it
-    miss = qualified & F.col("col_id").isNull() & ~tok.endswith(".*")
-    out.append(_finding(x, keys, "column_not_in_table", miss & ~is_alias & qual_is_table, tok))
-    out.append(_finding(x, keys, "column_not_in_alias", miss & is_alias, tok))
-    # L3 qualifier that is neither an alias nor a table in scope
-    out.append(_finding(x, keys, "alias_not_in_scope", qualified & ~is_alias & ~qual_is_table, tok))
-    # L5 / L6 bare column: more than one table of its scope has it / none does
-    bare = ident & ~F.col("is_table") & ~((prev == "as") & (F.col("clause") == "from")) & \
-        ~F.col("clause").isin("from", "limit") & (F.coalesce(F.col("next_tok"), F.lit("")) != "(")
-    out.append(_finding(x, keys, "ambiguous_column", bare & (F.col("n_cands") > 1), tok))
-    out.append(_finding(x, keys, "unresolved_column", bare & F.col("col_id").isNull(), tok))
+    # Names against the nested scopes of the query
+    out.append(scope_findings(rt, keys).select(*keys, "rule", F.col("block").cast(rt.schema["block"].dataType).alias("block"), F.col("pos").cast(rt.schema["pos"].dataType).alias("pos"), "detail"))
     # L7 / L8 same alias twice, same unaliased table twice in one FROM
     defs = x.filter((F.col("clause") == "from") & (prev == "as")).groupBy(*keys, "block", "token") \
         .agg(F.count("*").alias("n"), F.max("pos").alias("pos")).filter("n > 1")
@@ -90,7 +77,7 @@ def lint(rt: DataFrame, keys: list[str]) -> DataFrame:
     out.append(_finding(x, keys, "bad_like_type", (tok == "like") & lt.isNotNull() & rt_.isNotNull()
                         & ((lt != "text") | (rt_ != "text")), F.concat_ws(":", lt, rt_)))
     # L14 select types differ across a set operation
-    sel = x.filter((F.col("clause") == "select") & (F.col("sdepth") == F.col("sdepth")))
+    sel = x.filter(F.col("clause") == "select")
     unit_ord = F.sum(F.when(tok == ",", 1).otherwise(0)).over(
         Window.partitionBy(*keys, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     sel = sel.withColumn("u", unit_ord)
@@ -139,6 +126,7 @@ FAULTS = [
     ("bad_alias_name", r" from ([a-z_]+)", r" from $1 as x"),
     ("literal_too_long", r"^select ", "select '" + "x" * 70 + "' , "),
     ("bad_arithmetic_type", r"^select ([a-z_.0-9]+) ", r"select $1 + 1 , $1 "),
+    ("derived_column_missing", r"^select (.*?) from ([a-z_]+)( as t1)?", r"select t8.zz_col , $1 from ( select r_name from region ) as t8 join $2$3"),
 ]
 
 

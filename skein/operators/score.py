@@ -45,7 +45,7 @@ def query_tokens(qs: DataFrame, key: str, cat_columns: DataFrame, sides=("gold",
     stacked = tk.tokenize(by_key(stacked, key), "sql")
     keys = [key, "side"]
     tt = tk.token_table(stacked.filter(F.col("toks").isNotNull()), keys)
-    rt = tk.resolve(tt, keys, cat_columns)
+    rt = tk.resolve(tt, keys, cat_columns).drop("cols_of")
     return tk.with_units(rt, keys), stacked.select(key, "side", "sql", "toks")
 
 

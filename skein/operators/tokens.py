@@ -186,7 +186,10 @@ def resolve(tt: DataFrame, keys: Sequence[str], cat_columns: DataFrame) -> DataF
               .when(ok, F.concat(F.col("l_table"), F.lit("."), F.col("l_column"))))
     alias_def = (F.coalesce(F.col("prev_tok"), F.lit("")) == "as") & (F.col("clause") == "from")
     needs_col = (qualified | (is_ident & ~F.col("is_table") & ~alias_def)) & F.col("clause").isNotNull()
-    x = x.select(*tt.columns, "is_table", "block_tables", "aliases", "want_table", "n_cands",
+    # table -> columns, one metadata row; plans that do not read it prune it
+    per_table = cat_columns.filter(F.col("column_name") != "*").groupBy(F.lower("table_name").alias("t")).agg(F.collect_set(F.lower("column_name")).alias("cs"))
+    x = x.crossJoin(F.broadcast(per_table.agg(F.map_from_entries(F.collect_list(F.struct("t", "cs"))).alias("cols_of"))))
+    x = x.select(*tt.columns, "is_table", "block_tables", "cols_of", "aliases", "want_table", "n_cands",
                  F.when(alias_def, F.col("prev_tok")).alias("alias_def_of"),
                  col_id.alias("col_id"),
                  F.when(star_col, F.lit("*")).when(ok, F.col("l_type")).alias("col_type"),
