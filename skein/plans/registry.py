@@ -25,6 +25,7 @@ def register(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
+    import skein.plans.align_queries  # noqa: F401
     import skein.plans.catalog_queries  # noqa: F401
     import skein.plans.dialog_queries  # noqa: F401
     import skein.plans.generate_queries  # noqa: F401
