@@ -173,7 +173,10 @@ class Schedule:
 
 def _cut_rows(path: str, sources: list[str], totals: list[int], quanta: list[int] | None):
     def run(batches):
-        kind = encoder(path).kind
+        enc = encoder(path)
+        enc.words.clear()  # texts are encoded by now: the worker's tables go, other stages need the memory
+        enc.parts.clear()
+        kind = enc.kind
         plan = Schedule(np.array(totals, np.int64), None if quanta is None else np.array(quanta, np.int64))
         number = {s: i for i, s in enumerate(sources)}
         last: tuple[int, np.ndarray, np.ndarray] | None = None
