@@ -39,6 +39,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Words of tags, classes, ids and roles that suggest the one label or the other.
 OUTSIDE = set("nav footer header aside form ad ads advert advertisement advertising banner cookie cookies consent sidebar comment comments menu promo promotion notice related share sharing social subscribe newsletter breadcrumb breadcrumbs widget popup modal login search sponsor sponsored pagination toolbar copyright disclaimer reply replies".split())
 INSIDE = set("article main content post entry story articlebody".split())
+#: Tags of short blocks that the altered pages add to main text.
+SHORT_KINDS = [("<ul", "<li"), ("<ol", "<li"), ("<table", "<tr", "<td"), ("<pre",), ("<h1",), ("<h2",), ("<h3",), ("<p",)]
+HEADINGS = {f"<h{k}" for k in range(1, 7)}
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -48,6 +51,7 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.path: dict[str, int] = {}  # tokens of all open tags, outermost first, with how often each is open
         self.out: list[tuple[tuple[str, ...], str, int]] = []
         self.text: list[str] = []
         self.linked = 0
@@ -57,8 +61,7 @@ class _Blocks(HTMLParser):
     def flush(self):
         text = " ".join("".join(self.text).split())
         if text:
-            path = tuple(dict.fromkeys(t for _, tokens in self.open[-12:] for t in tokens))
-            self.out.append((path, text, self.linked))
+            self.out.append((tuple(self.path), text, self.linked))
         self.text, self.linked = [], 0
 
     def _count(self, tag, by):
@@ -86,14 +89,20 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         words = [w.lower() for k, v in attrs if k in ("class", "id", "role", "itemprop") and v for w in _WORD.findall(v)]
-        self.open.append((tag, (f"<{tag}", *words[:12])))
+        self.open.append((tag, (f"<{tag}", *words)))
+        for token in self.open[-1][1]:
+            self.path[token] = self.path.get(token, 0) + 1
         self._count(tag, 1)
 
     def _close(self, tag, upto=()):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                for gone, _ in self.open[i:]:
+                for gone, tokens in self.open[i:]:
                     self._count(gone, -1)
+                    for token in tokens:
+                        self.path[token] -= 1
+                        if not self.path[token]:
+                            del self.path[token]
                 del self.open[i:]
                 return
             if self.open[i][0] in upto:
@@ -122,15 +131,22 @@ def parse(html: str | None):
     return p.out
 
 
-def suggest(path, text: str, linked: int) -> int:
-    """Label that structure suggests: the innermost telling token decides, else size and links."""
+def told(path) -> int | None:
+    """What the innermost telling token says: 1 main text, 0 not; None where no token tells."""
     for token in reversed(path):
         word = token.lstrip("<")
         if word in OUTSIDE:
             return 0
         if word in INSIDE:
             return 1
-    return int(len(text) > 60 and linked < 0.3 * len(text))
+    return None
+
+
+def suggest(path, text: str, linked: int) -> int:
+    """Label that structure suggests: the innermost telling token decides, else a heading is kept, else size and links decide."""
+    few_links = linked < 0.3 * len(text)
+    own = told(path)
+    return int(few_links and (len(text) > 60 or not HEADINGS.isdisjoint(path))) if own is None else own
 
 
 def _slot(token: str, size: int) -> int:
@@ -147,7 +163,7 @@ def features(blocks) -> np.ndarray:
             x[i, PATH - 2] += word in OUTSIDE
             x[i, PATH - 1] += word in INSIDE
         words = text.split(" ")
-        np.add.at(x[i, PATH:PATH + WORDS], [_slot(w, WORDS) for w in words[:400]], 1 / len(words[:400]))
+        np.add.at(x[i, PATH:PATH + WORDS], [_slot(w, WORDS) for w in words], 1 / len(words))
         x[i, -5:] = np.log1p(len(text)) / 8, np.log1p(len(words)) / 6, min(1, linked / len(text)), text[-1] in ".!?", i / len(blocks)
     return x
 
@@ -253,6 +269,9 @@ def _altered(blocks, rnd: random.Random):
             path = tuple(t for t in path if t.lstrip("<") not in INSIDE)
             path = (*path[:-1], *holder, *path[-1:])
         out.append(((path, text, linked), y))
+        if y and rnd.random() < 0.25:  # short lists, tables, code and headings belong to the text around them
+            few = " ".join(text.split(" ")[:rnd.randint(1, 6)])
+            out += [(((*path[:-1], *rnd.choice(SHORT_KINDS)), few, 0), 1)] * rnd.randint(1, 3)
     texts = [b[1] for b, _ in out] or ["a"]
     for _ in range(rnd.randint(1, 6)):
         word, tag = rnd.choice(sorted(OUTSIDE)), rnd.choice(["<div", "<section", "<ul", "<aside", "<p", "<form", "<header"])
@@ -311,6 +330,8 @@ def _extract(weights):
         for batch in batches:
             pages = [parse(h) for h in batch.column("html").to_pylist()]
             kept = net.label([features(p) for p in pages])
+            # where a tag, class or role says what a block is, that stands; the network decides the others by their context
+            kept = [[bool(k) if (own := told(b[0])) is None else bool(own) for b, k in zip(p, keep, strict=True)] for p, keep in zip(pages, kept, strict=True)]
             text = ["\n".join(b[1] for b, k in zip(p, keep, strict=True) if k) for p, keep in zip(pages, kept, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
     return run

@@ -91,3 +91,23 @@ def test_pipeline_stages(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_deep_comments_do_not_leak_and_articles_are_whole(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    deep = '<section class="a b c d e f g h i j k l m comments">' + "<div>" * 14 + "<p>LEAKMARK a reader says many things here, long enough to look like the prose of the article.</p>" + "</div>" * 14 + "</section>"
+    altered = [(10 ** 6 + r.page_id, r.url, r.html.replace("</body>", deep + "</body>")) for r in pages.limit(60).collect() if "</body>" in (r.html or "")]
+    prose = "Prose that is long enough to be kept by anyone. " * 4
+    own = [(1, "u", f"<html><body><article><h1>Title</h1><p>{prose}</p><ul><li>One</li><li>Two</li></ul><pre>code</pre><table><tr><td>cell</td></tr></table>"
+                    f"<div class='related'><p>{prose}</p></div></article><aside>{'<div>' * 20}<p>{prose}</p>{'</div>' * 20}</aside></body></html>")]
+    out = {r.page_id: r.text for r in blocks.extract(pages.unionByName(spark.createDataFrame(altered + own, "page_id long, url string, html string"))).collect() if r.page_id >= 10 ** 6 or r.page_id == 1}
+    assert not [k for k, t in out.items() if "LEAKMARK" in t] and len(altered) > 40
+    mine = blocks.extract(spark.createDataFrame(own, "page_id long, url string, html string")).first().text
+    assert mine.split("\n") == ["Title", prose.strip(), "One", "Two", "code", "cell"]
+
+
+def test_a_very_long_block_is_whole(spark):
+    prose = "word " * 200_000
+    page = spark.createDataFrame([(1, "u", f"<html><body><main><p>{prose}</p></main></body></html>"), (2, None, None), (None, "u", "")], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in blocks.extract(page).collect()}
+    assert got == {1: prose.strip(), 2: "", None: ""}
