@@ -63,18 +63,13 @@ COARSE_OP = ["=", "!=", "<>", ">", "<", ">=", "<=", "like"]
 
 
 def templatize_coarse(tpl: DataFrame, keys: list[str]) -> DataFrame:
-    """Fold types into ``gen`` (renumbered), aggregates -> ``agg``, asc/desc -> ``order``, comparisons -> ``op``."""
+    """Slots other than keys and stars -> ``gen_col_<i>``, numbered in the order of their names; aggregates -> ``agg``,
+    asc/desc -> ``order``, comparisons -> ``op`` (two in a row are one)."""
     toks = F.split("template", " ")
-    folded = F.transform(toks, lambda t: F.when(
-        t.rlike("^(text|number|time|boolean|others)_col_[0-9]+$"), F.concat(F.lit("gen~"), t))
-        .when(t.isin(*COARSE_AGG), F.lit("agg")).when(t.isin("asc", "desc"), F.lit("order"))
-        .when(t.isin(*COARSE_OP), F.lit("op")).otherwise(t))
-    x = tpl.select(*keys, folded.alias("f"))
-    # renumber gen placeholders in order of first appearance
-    gens = F.array_distinct(F.filter("f", lambda t: t.startswith("gen~")))
-    renum = F.transform("f", lambda t: F.when(
-        t.startswith("gen~"), F.concat(F.lit("gen_col_"), (F.array_position(gens, t) - 1).cast("string"))).otherwise(t))
-    return x.select(*keys, F.array_join(renum, " ").alias("template"))
+    gens = F.array_sort(F.array_distinct(F.filter(toks, lambda t: t.contains("_col_") & ~t.contains("key") & ~t.contains("*"))))
+    folded = F.transform(toks, lambda t: F.when(F.array_contains(gens, t), F.concat(F.lit("gen_col_"), (F.array_position(gens, t) - 1).cast("string")))
+                         .when(t.isin(*COARSE_AGG), F.lit("agg")).when(t.isin("asc", "desc"), F.lit("order")).when(t.isin(*COARSE_OP), F.lit("op")).otherwise(t))
+    return tpl.select(*keys, F.replace(F.array_join(folded, " "), F.lit(" op op "), F.lit(" op ")).alias("template"))
 
 
 def template_stats(tpl: DataFrame, weight: str | None = None) -> DataFrame:

@@ -75,7 +75,9 @@ def c03(spark, d):
     return co.slot_support(star_catalogs(spark, d))
 
 
-@register("c03c_slot_support_coarse")
+@register("c03c_slot_support_coarse", w(
+    ", " + _TYPED_ALL + ", n AS (SELECT db_id, CASE WHEN slot_type IN ('key', '*') THEN slot_type ELSE 'gen' END AS slot_type, count(*) AS n FROM typed GROUP BY ALL) "
+    "SELECT db_id, slot_type || '_col_' || CAST(i AS VARCHAR) AS slot FROM n, range(0, n) AS r(i)"))
 def c03c(spark, d):
     return co.slot_support(star_catalogs(spark, d), coarse=True)
 

@@ -76,7 +76,7 @@ def gw(body: str, *extra: str) -> str:
     return f"WITH RECURSIVE {_TPL_SQL}{more}\n{body}"
 
 
-@register("t16_canonical_no_from")
+@register("t16_canonical_no_from", gw("SELECT query_id, string_agg(ntok, ' ' ORDER BY pos) AS no_from FROM nf GROUP BY query_id"))
 def t16(spark, d):
     t = Tables(spark, d)
     ql = query_log(spark, t.events)
@@ -92,7 +92,10 @@ def g01(spark, d):
     return gold_templates(spark, d)
 
 
-@register("g02_templatize_coarse")
+@register("g02_templatize_coarse", gw(f"""SELECT query_id, replace(array_to_string(list_transform(toks, lambda t: CASE WHEN list_contains(gens, t) THEN 'gen_col_' || CAST(list_position(gens, t) - 1 AS VARCHAR)
+  WHEN t IN ({", ".join(f"'{x}'" for x in gen.COARSE_AGG)}) THEN 'agg' WHEN t IN ('asc', 'desc') THEN 'order' WHEN t IN ({", ".join(f"'{x}'" for x in gen.COARSE_OP)}) THEN 'op' ELSE t END), ' '), ' op op ', ' op ') AS template
+FROM (SELECT query_id, toks, list_sort(list_distinct(list_filter(toks, lambda t: contains(t, '_col_') AND NOT contains(t, 'key') AND NOT contains(t, '*')))) AS gens
+      FROM (SELECT query_id, string_split(template, ' ') AS toks FROM tpl))"""))
 def g02(spark, d):
     return gen.templatize_coarse(gold_templates(spark, d), ["query_id"])
 
