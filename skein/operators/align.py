@@ -10,11 +10,14 @@ from skein.functions.hashing import bucket
 
 # ------------------------------------------------------------------ T13
 
-#: For each slot the spans with the same neighbours: from every start that fits, to the nearest end that fits.
-_SPANS = """transform(filter(transform(_no, (t, i) -> if(lower(t) in ('value', 'limit_value'), i, -1)), i -> i >= 0), i ->
-  array_min(filter(transform(sequence(0, size(_yes) - 1), j -> if(not ((j = 0 and i = 0) or (j > 0 and i > 0 and lower(get(_yes, j - 1)) = lower(get(_no, i - 1)))), null,
-    struct(array_min(filter(sequence(j, size(_yes) - 1), k -> (k + 1 = size(_yes) and i + 1 = size(_no)) or (k + 1 < size(_yes) and i + 1 < size(_no) and lower(get(_yes, k + 1)) = lower(get(_no, i + 1))))) - j as len, j as at))),
-    s -> s is not null and s.len is not null)))"""
+#: For each slot its tokens: of the spans with the same neighbours (from every start that fits to the nearest end that
+#: fits) the shortest. Both arrays are bound once as z, so that no plan rewrite computes them again for every element.
+_SPANS = """element_at(transform(array(named_struct('no', {no}, 'yes', {yes})), z ->
+  transform(filter(transform(z.no, (t, i) -> if(lower(t) in ('value', 'limit_value'), i, -1)), i -> i >= 0), i ->
+    transform(array(array_min(filter(transform(sequence(0, size(z.yes) - 1), j -> if(not ((j = 0 and i = 0) or (j > 0 and i > 0 and lower(get(z.yes, j - 1)) = lower(get(z.no, i - 1)))), null,
+      struct(array_min(filter(sequence(j, size(z.yes) - 1), k -> (k + 1 = size(z.yes) and i + 1 = size(z.no))
+        or (k + 1 < size(z.yes) and i + 1 < size(z.no) and lower(get(z.yes, k + 1)) = lower(get(z.no, i + 1))))) - j as len, j as at))),
+      s -> s is not null and s.len is not null))), s -> if(s is null, null, slice(z.yes, s.at + 1, s.len + 1)))[0])), 1)"""
 
 
 def align_values(df: DataFrame, no: str, yes: str, out: str = "vals") -> DataFrame:
@@ -23,9 +26,8 @@ def align_values(df: DataFrame, no: str, yes: str, out: str = "vals") -> DataFra
     A slot takes the shortest span between the same neighbours (letters' case aside), the leftmost of equals; a span has at
     least one token. Rows with a slot that nothing fits, or with a null or empty side, are rejected. Row-local.
     """
-    x = df.withColumn("_no", F.col(no)).withColumn("_yes", F.col(yes)).where("size(_no) > 0 and size(_yes) > 0")
-    x = x.withColumn("_spans", F.expr(_SPANS)).where("not exists(_spans, s -> s is null)")
-    return x.withColumn(out, F.expr("transform(_spans, s -> slice(_yes, s.at + 1, s.len + 1))")).drop("_no", "_yes", "_spans")
+    spans = F.expr("if(size(`{no}`) > 0 and size(`{yes}`) > 0, ".replace("{no}", no).replace("{yes}", yes) + _SPANS.format(no=f"`{no}`", yes=f"`{yes}`") + ", null)")
+    return df.withColumn(out, F.when(~F.exists(spans, lambda s: s.isNull()), spans)).where(F.col(out).isNotNull())
 
 
 # ------------------------------------------------------------------ D30, D31
