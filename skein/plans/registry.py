@@ -35,6 +35,7 @@ def load_all() -> None:
     import skein.plans.rebuild_queries  # noqa: F401
     import skein.plans.relational_queries  # noqa: F401
     import skein.plans.report_queries  # noqa: F401
+    import skein.plans.select_queries  # noqa: F401
     import skein.plans.source_queries  # noqa: F401
     import skein.plans.streaming_queries  # noqa: F401
     import skein.plans.text_queries  # noqa: F401
