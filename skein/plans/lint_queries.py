@@ -21,9 +21,12 @@ KEYS = ["query_id", "side"]
 def findings(spark, d):
     t = Tables(spark, d)
     log = ln.inject_faults(query_log(spark, t.events))
-    x = tk.tokenize(by_key(log, "query_id"), "sql").filter(F.col("toks").isNotNull()).withColumn("side", F.lit("q"))
+    # a log repeats its texts: each different one is checked once, and its findings go to all its rows
+    texts = log.groupBy("sql").agg(F.min("query_id").alias("k"))
+    x = tk.tokenize(by_key(texts.withColumnRenamed("k", "query_id"), "query_id"), "sql").filter(F.col("toks").isNotNull()).withColumn("side", F.lit("q"))
     rt = tk.resolve(tk.token_table(x, KEYS), KEYS, star_catalog(spark, d).columns)
-    return cut_lineage(ln.lint(rt, KEYS).drop("side"))
+    found = ln.lint(rt, KEYS).drop("side").withColumnRenamed("query_id", "k")
+    return cut_lineage(log.select("query_id", "sql").join(texts, "sql").join(found, "k").drop("k", "sql"))
 
 
 @register("l00_lint_findings")

@@ -84,8 +84,12 @@ def t01(spark, d):
     "SELECT query_id, side, CAST(pos AS BIGINT) AS pos, token, CAST(depth AS BIGINT) AS depth, "
     "CAST(sdepth AS BIGINT) AS sdepth, CAST(block AS BIGINT) AS block, clause FROM tt", _SQL_TOKS, _SQL_TT))
 def t11(spark, d):
-    x = tk.tokenize(by_key(_sides(_ql(spark, d)), "query_id"), "sql").filter(F.col("toks").isNotNull())
-    tt = tk.token_table(x, KEYS)
+    # each different text is segmented once; its tokens go to all its rows
+    sides = _sides(_ql(spark, d))
+    texts = sides.groupBy("sql").agg(F.min(F.struct("query_id", "side")).alias("k"))
+    x = tk.tokenize(by_key(texts.select("sql", F.concat_ws(":", "k.query_id", "k.side").alias("k")), "k"), "sql").filter(F.col("toks").isNotNull())
+    tt = tk.token_table(x.select("k", "sql", "toks"), ["k"])
+    tt = sides.join(texts.select("sql", F.concat_ws(":", "k.query_id", "k.side").alias("k")), "sql").join(tt, "k")
     return tt.select(*KEYS, F.col("pos").cast("long"), "token", F.col("depth").cast("long"),
                      F.col("sdepth").cast("long"), F.col("block").cast("long"), "clause")
 
