@@ -12,8 +12,8 @@ joined), and the words as they are and with one letter less, so inflected, maske
 several times more frequent in toxic than, by the class prior, in other texts. A quarter of the samples is held from
 the fit and sets the border.
 
-Defined cases: null and empty texts score as texts without features; a null doc_id is in no training fold and is
-scored like any other (its fold is 1: not held out); without a model all scores are 0; repeated rows are scored each;
+Defined cases: null and empty texts score as texts without features; a null doc_id counts as fold 1: its
+text may serve as unlabelled, it has no label, and it is not held out; without a model all scores are 0; repeated rows are scored each;
 texts of any length are read in parts that end between words (a word longer than a part is cut).
 """
 
