@@ -1,10 +1,11 @@
 """Scoring predicted against gold queries.
 
 Input: a frame of (key, gold, pred) query strings. Both sides go through the
-same token -> unit pipeline keyed by (key, side); gold and pred are then
-paired by *grouping* on the key (multiset overlaps are conditional sums), so
-after the one repartition of the query rows nothing shuffles again until the
-tiny final report.
+same token -> unit -> block pipeline keyed by (key, side); gold and pred are
+then paired by *grouping* on the key (multiset overlaps are counts inside one
+row), so after the one repartition of the query rows nothing shuffles and
+nothing is written until the tiny final report: tokens, units and blocks only
+stream through windows and groups of one stage.
 
 Semantics follow the ten-category component evaluator: all-or-nothing
 category scores, literals and DISTINCT ignored, LIMIT value ignored, the
@@ -31,19 +32,28 @@ _AGG_RE = "^(" + "|".join(tk.AGG_WORDS) + ")$"
 
 # ------------------------------------------------------------ unit table
 
-def query_tokens(qs: DataFrame, key: str, cat_columns: DataFrame, sides=("gold", "pred")) -> DataFrame:
+def _keys(key: str) -> list[str]:
+    return [key, "side", "mult"]
+
+
+def query_tokens(qs: DataFrame, key: str, cat_columns: DataFrame, sides=("gold", "pred"), rows_per_part: int | None = None) -> DataFrame:
     """Stack the query sides, tokenize, build the resolved token table with units.
 
     ``qs`` has ``key`` and one string column per side. The query rows are
     repartitioned once by ``key``; every later window / aggregate is keyed by
-    ``key`` first and reuses that partitioning.
+    ``key`` first and reuses that partitioning. With ``rows_per_part`` the
+    partitions grow in number with the rows, so that a partition's tokens are
+    sorted in memory, and ``mult`` tells how many rows hold the key.
     """
     stacked = None
     for s in sides:
         part = qs.select(F.col(key), F.lit(s).alias("side"), F.col(s).alias("sql"))
         stacked = part if stacked is None else stacked.unionByName(part)
-    stacked = tk.tokenize(by_key(stacked, key), "sql")
+    stacked = tk.tokenize(by_key(stacked, key, rows_per_part=rows_per_part), "sql")
     keys = [key, "side"]
+    if rows_per_part:
+        stacked = stacked.withColumn("mult", F.count("*").over(Window.partitionBy(*keys)))
+        keys = _keys(key)
     tt = tk.token_table(stacked.filter(F.col("toks").isNotNull()), keys)
     rt = tk.resolve(tt, keys, cat_columns).drop("cols_of")
     return tk.with_units(rt, keys), stacked.select(key, "side", "sql", "toks")
@@ -64,137 +74,164 @@ def canonical_columns(ut: DataFrame, key: str, fks: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy(key, "side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.first(F.when((F.col("sdepth") == 0) & (F.col("set_path") == "") & (F.col("block") >= 0), F.col("block_tables")), ignorenulls=True).over(w)
-    x = ut.withColumn("top_tables", first).join(fks, F.col("col_id") == F.col("fk_col"), "left")
+    x = ut.withColumn("top_tables", first).join(F.broadcast(fks), F.col("col_id") == F.col("fk_col"), "left")
     swap = F.col("fk_rep").isNotNull() & (F.col("sdepth") == 0) & F.array_contains("top_tables", F.substring_index("col_id", ".", 1))
     return x.withColumn("norm", F.when((F.col("norm") == F.col("col_id")) & F.coalesce(swap, F.lit(False)), F.col("fk_rep")).otherwise(F.col("norm"))).drop("top_tables", "fk_col", "fk_rep")
 
 
-def validity(ut: DataFrame, stacked: DataFrame, key: str) -> DataFrame:
-    """E18 helper: parse validity per (key, side).
-
-    Unparsable = odd quotes, unbalanced parentheses, an unknown table or
-    column, LIMIT without a number, not starting with SELECT, or ending in a
-    keyword/operator.
-    """
-    keys = [key, "side"]
+def _valid_parts() -> list[Column]:
+    """What parse validity needs of any group of a query's tokens; ``_merged_valid`` joins the groups' parts."""
     tok = F.col("token")
-    tail_bad = tok.isin(*tk.CLAUSE_WORDS, *tk.CMP_WORDS, "and", "or", ",", "(", "by", "as", "not", "distinct")
-    per = ut.groupBy(*keys).agg(
+    at = F.struct("pos", "token")
+    return [
         F.min(F.col("resolved").cast("int")).alias("r"),
         F.min("depth").alias("min_depth"),
-        F.max(F.when(tok == ")", F.col("depth"))).alias("_"),
         F.sum(F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)).alias("bal"),
         F.max(F.when((tok == "limit") & ~F.coalesce(F.col("next_tok"), F.lit("")).rlike("^[0-9]+$"), 1)
               .otherwise(0)).alias("bad_limit"),
-        F.max_by(tok, F.col("pos")).alias("last_tok"),
-        F.min_by(tok, F.col("pos")).alias("first_tok"),
+        F.max(at).alias("last_at"),
+        F.min(at).alias("first_at"),
         F.max(F.when(F.col("clause").isNull(), 1).otherwise(0)).alias("no_clause"),
         F.max(F.when(F.col("is_table") & (F.col("clause") == "from"), 1).otherwise(0)).alias("has_table"),
-    )
-    ok = ((F.col("r") == 1) & (F.col("min_depth") >= 0) & (F.col("bal") == 0) & (F.col("bad_limit") == 0)
-          & (F.col("first_tok") == "select") & ~F.col("last_tok").isin(*tk.CLAUSE_WORDS, *tk.CMP_WORDS, "and", "or",
-                                                                        ",", "(", "by", "as", "not", "distinct")
-          & (F.col("no_clause") == 0) & (F.col("has_table") == 1))
-    v = per.select(*keys, ok.alias("valid"))
-    return stacked.select(*keys).join(v, keys, "left").select(*keys, F.coalesce("valid", F.lit(False)).alias("valid"))
+    ]
+
+
+def _merged_valid(of=lambda c: c) -> Column:
+    """Validity from parts; ``of`` turns an aggregate into a window expression where one is wanted.
+
+    Unparsable = odd quotes, unbalanced parentheses, an unknown table or
+    column, LIMIT without a number, not starting with SELECT, or ending in a
+    keyword/operator.
+    """
+    tail = [*tk.CLAUSE_WORDS, *tk.CMP_WORDS, "and", "or", ",", "(", "by", "as", "not", "distinct"]
+    return ((of(F.min("r")) == 1) & (of(F.min("min_depth")) >= 0) & (of(F.sum("bal")) == 0) & (of(F.max("bad_limit")) == 0)
+            & (of(F.min("first_at"))["token"] == "select") & ~of(F.max("last_at"))["token"].isin(*tail)
+            & (of(F.max("no_clause")) == 0) & (of(F.max("has_table")) == 1))
 
 
-def fingerprints(ut: DataFrame, key: str) -> DataFrame:
-    """Subquery fingerprints (key, side, open_pos, fp): md5 of the span's normalised tokens."""
+def validity(ut: DataFrame, stacked: DataFrame, key: str) -> DataFrame:
+    """E18 helper: parse validity, one row per (key, side) and one more, invalid, per input row (odd quotes leave only that)."""
     keys = [key, "side"]
-    fn = (F.when(F.col("sub_open"), F.lit("(")).when(F.col("sub_close"), F.lit(")"))
-          .otherwise(F.coalesce("norm", F.lit(""))))
-    per_query = ut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", fn.alias("n")))).alias("all"))
-    opens = ut.filter(F.col("sub_open")).select(*keys, F.col("pos").alias("open_pos"), "close_pos")
-    span = F.filter("all", lambda s: (s["pos"] > F.col("open_pos")) & (s["pos"] < F.col("close_pos"))
-                    & (s["n"] != ""))
-    return opens.join(per_query, keys).select(
-        *keys, "open_pos", F.md5(F.array_join(F.transform(span, lambda s: s["n"]), " ")).alias("fp"))
+    per = ut.groupBy(*keys).agg(*_valid_parts()).groupBy(*keys).agg(F.coalesce(_merged_valid(), F.lit(False)).alias("valid"))
+    return per.unionByName(stacked.select(*keys, F.lit(False).alias("valid")))
 
 
-def units(ut: DataFrame, key: str) -> DataFrame:
-    """One row per (key, side, block, clause, unit) with comparison signatures.
+def unit_groups(ut: DataFrame, key: str) -> DataFrame:
+    """Tokens by (key, side, block, clause, unit): the unit's signatures, the parts of validity and of ORDER BY's direction.
 
-    sig      -- normalised tokens of the unit (subqueries by fingerprint)
-    sig_left -- the value unit before the comparison operator (where/having)
-    sig_body -- select unit without its aggregate wrapper
-    n_agg    -- aggregate words in the unit; has_not / op / is_sub / conj
+    A subquery's fingerprint is the md5 of its span's normalised tokens, read
+    from the query's tokens gathered by a window.
     """
-    keys = [key, "side"]
-    fps = fingerprints(ut, key)
-    x = ut.join(fps.withColumnRenamed("open_pos", "pos"), keys + ["pos"], "left")
-    norm = F.when(F.col("sub_open"), F.concat(F.lit("sub:"), F.col("fp"))).otherwise(F.col("norm"))
-    wu = Window.partitionBy(*keys, "block", "clause", "unit").orderBy("pos")
+    keys = _keys(key)
     tok = F.col("token")
+    fn = (F.when(F.col("sub_open"), F.lit("(")).when(F.col("sub_close"), F.lit(")"))
+          .otherwise(F.coalesce("norm", F.lit(""))))
+    wq = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = ut.withColumn("all", F.collect_list(F.struct("pos", fn.alias("n"))).over(wq))
+    span = F.filter("all", lambda s: (s["pos"] > F.col("pos")) & (s["pos"] < F.col("close_pos")) & (s["n"] != ""))
+    fp = F.md5(F.array_join(F.transform(F.array_sort(span), lambda s: s["n"]), " "))
+    # an open parenthesis without its match has no span; its fingerprint is that of no tokens at all
+    x = x.withColumn("n", F.when(F.col("sub_open"), F.concat(F.lit("sub:"), fp)).otherwise(F.col("norm"))).drop("all")
+    wu = Window.partitionBy(*keys, "block", "clause", "unit").orderBy("pos")
     x = x.withColumn("n_cmp_before", F.coalesce(F.sum(F.when(tok.isin(*tk.CMP_WORDS), 1).otherwise(0)).over(
         wu.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = x.withColumn("n", norm)
     entry = F.struct("pos", "n")
     left_entry = F.when((F.col("n_cmp_before") == 0) & ~tok.isin(*tk.CMP_WORDS, "not"), entry)
     ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["n"]), " ")
-    grp = x.filter(F.col("clause").isNotNull() & (F.col("block") >= 0)).groupBy(*keys, "block", "clause", "unit").agg(
+    return x.groupBy(*keys, "block", "clause", "unit").agg(
         ordered(F.when(F.col("n").isNotNull() & ~tok.isin("asc", "desc"), entry)).alias("sig"),
         ordered(F.when(F.col("n").isNotNull(), left_entry)).alias("sig_left"),
         F.sum(F.when(tok.rlike(_AGG_RE) & (F.col("next_tok") == "("), 1).otherwise(0)).alias("n_agg"),
         F.max(F.when(tok == "not", 1).otherwise(0)).alias("has_not"),
-        F.min_by(F.when(tok.isin(*tk.CMP_WORDS), tok), F.when(tok.isin(*tk.CMP_WORDS), F.col("pos"))).alias("op"),
+        F.min(F.when(tok.isin(*tk.CMP_WORDS), F.struct("pos", "token")))["token"].alias("op"),
         F.max(F.when(F.col("sub_open"), 1).otherwise(0)).alias("has_sub"),
         F.max(F.when(F.col("is_sep"), tok)).alias("conj"),
-        F.min_by(tok, F.when(~F.col("is_sep") & F.col("n").isNotNull(), F.col("pos"))).alias("first_tok"),
         F.max(F.when(tok.isin("asc", "desc"), tok)).alias("dir"),
-        F.min("pos").alias("start"),
+        F.max(F.when(tok.isin("asc", "desc"), F.struct("pos", "token"))).alias("dir_at"),
         F.max(F.when(F.col("is_table"), 1).otherwise(0)).alias("is_table_unit"),
         F.min("sdepth").alias("sdepth"),
-        F.first("set_path").alias("set_path"),
+        F.min(F.struct("pos", "set_path"))["set_path"].alias("set_path"),
+        *_valid_parts(),
     )
-    body = F.regexp_replace("sig", r"^(max|min|count|sum|avg) \( (.*) \)$", "$2")
-    return grp.withColumn("sig_body", body).filter(F.col("sig") != "")
 
 
-def block_features(u: DataFrame, ut: DataFrame, key: str) -> DataFrame:
-    """Per (key, side, block): counts for hardness and keywords, lists for exact comparisons."""
-    keys = [key, "side"]
-    c = F.col("clause")
+def _is_unit() -> Column:
+    return F.col("clause").isNotNull() & (F.col("block") >= 0) & (F.col("sig") != "")
+
+
+def units(ut: DataFrame, key: str) -> DataFrame:
+    """One row per (key, side, block, clause, unit) with comparison signatures.
+
+    sig      -- normalised tokens of the unit (subqueries by fingerprint)
+    sig_left -- the value unit before the comparison operator (where/having)
+    n_agg    -- aggregate words in the unit; has_not / op / has_sub / conj
+    """
+    return unit_groups(ut, key).filter(_is_unit())
+
+
+def blocks(ut: DataFrame, key: str) -> DataFrame:
+    """Per (key, side, block): counts for hardness and keywords, lists for exact comparisons, validity of the query.
+
+    ``sel``, ``sel_body`` (without the aggregate wrapper), ``whr``, ``whr_left`` and ``grp`` are the signatures of
+    the block's units whose multisets are compared.
+    """
+    keys = _keys(key)
+    g = unit_groups(ut, key)
+    c = F.when(_is_unit(), F.col("clause"))
     is_cond = c.isin("where", "having", "on")
     srt = lambda cond, val: F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("unit").alias("u"), val.alias("v")))))
     vals = lambda arr: F.transform(arr, lambda s: s["v"])
-    f = u.groupBy(*keys, "block").agg(
-        F.first("sdepth").alias("sdepth"), F.first("set_path").alias("set_path"),
-        F.sum(F.when(c == "select", 1).otherwise(0)).alias("n_select"),
-        F.sum(F.when(c == "where", 1).otherwise(0)).alias("n_where"),
-        F.sum(F.when(c == "group", 1).otherwise(0)).alias("n_group"),
-        F.sum(F.when(c == "having", 1).otherwise(0)).alias("n_having"),
-        F.sum(F.when(c == "order", 1).otherwise(0)).alias("n_order"),
-        F.sum(F.when(c == "limit", 1).otherwise(0)).alias("n_limit"),
-        F.sum(F.when((c == "from") & (F.col("is_table_unit") == 1) | ((c == "from") & (F.col("has_sub") == 1)), 1)
-              .otherwise(0)).alias("n_tables"),
-        F.sum(F.when(is_cond & (F.col("conj") == "or"), 1).otherwise(0)).alias("n_or"),
-        F.sum(F.when(is_cond & (F.col("op") == "like"), 1).otherwise(0)).alias("n_like"),
-        F.sum(F.when(is_cond & (F.col("has_not") == 1), 1).otherwise(0)).alias("n_not"),
-        F.sum(F.when(is_cond & (F.col("op") == "in"), 1).otherwise(0)).alias("n_in"),
-        F.sum(F.when(is_cond & (F.col("has_sub") == 1), 1).otherwise(0)).alias("n_sub_cond"),
-        F.sum(F.when((c == "select") & (F.col("n_agg") > 0), 1).otherwise(0)).alias("agg_select"),
-        F.sum(F.when((c == "where") & (F.col("has_not") == 1), 1).otherwise(0)).alias("agg_where_quirk"),
+    listed = lambda cond, val: F.collect_list(F.when(cond, val))
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    body = F.regexp_replace("sig", r"^(max|min|count|sum|avg) \( (.*) \)$", "$2")
+    f = g.groupBy(*keys, "block").agg(
+        F.max(_is_unit()).alias("is_block"),
+        F.min(F.when(_is_unit(), F.col("sdepth"))).alias("sdepth"),
+        F.min(F.when(_is_unit(), F.struct(F.col("first_at.pos").alias("pos"), "set_path")))["set_path"].alias("set_path"),
+        count(c == "select").alias("n_select"),
+        count(c == "where").alias("n_where"),
+        count(c == "group").alias("n_group"),
+        count(c == "having").alias("n_having"),
+        count(c == "order").alias("n_order"),
+        count(c == "limit").alias("n_limit"),
+        count((c == "from") & ((F.col("is_table_unit") == 1) | (F.col("has_sub") == 1))).alias("n_tables"),
+        count(is_cond & (F.col("conj") == "or")).alias("n_or"),
+        count(is_cond & (F.col("op") == "like")).alias("n_like"),
+        count(is_cond & (F.col("has_not") == 1)).alias("n_not"),
+        count(is_cond & (F.col("op") == "in")).alias("n_in"),
+        count(is_cond & (F.col("has_sub") == 1)).alias("n_sub_cond"),
+        count((c == "select") & (F.col("n_agg") > 0)).alias("agg_select"),
+        count((c == "where") & (F.col("has_not") == 1)).alias("agg_where_quirk"),
         F.sum(F.when(c == "order", F.col("n_agg")).otherwise(0)).alias("agg_order"),
-        F.sum(F.when((c == "having") & (F.col("has_not") == 1), 1).otherwise(0)).alias("agg_having_not"),
-        F.sum(F.when((c == "having") & F.col("conj").isNotNull(), 1).otherwise(0)).alias("having_conj"),
+        count((c == "having") & (F.col("has_not") == 1)).alias("agg_having_not"),
+        count((c == "having") & F.col("conj").isNotNull()).alias("having_conj"),
         F.array_sort(F.collect_set(F.when((c == "where") & F.col("conj").isNotNull(), F.col("conj")))).alias("conjs"),
         vals(srt(c == "group", F.col("sig"))).alias("group_list"),
         vals(srt(c == "having", F.concat_ws(" ", F.coalesce("conj", F.lit("")), F.col("sig")))).alias("having_list"),
         vals(srt(c == "order", F.col("sig"))).alias("order_list"),
-        F.max(F.when(c == "order", F.col("dir"))).alias("order_dir_any"),
+        # ORDER BY direction of the IR: the last asc/desc written in the clause, default asc
+        F.max(F.when(F.col("clause") == "order", F.col("dir_at")))["token"].alias("order_dir"),
         F.array_sort(F.collect_list(F.when((c == "from") & ((F.col("is_table_unit") == 1) | (F.col("has_sub") == 1)),
                                            F.regexp_replace("sig", " .*$", "")))).alias("table_units"),
+        listed(c == "select", F.col("sig")).alias("sel"),
+        listed(c == "select", body).alias("sel_body"),
+        listed(c == "where", F.col("sig")).alias("whr"),
+        listed(c == "where", F.col("sig_left")).alias("whr_left"),
+        listed(c == "group", F.substring_index("sig", ".", -1)).alias("grp"),
+        F.min("r").alias("r"), F.min("min_depth").alias("min_depth"), F.sum("bal").alias("bal"),
+        F.max("bad_limit").alias("bad_limit"), F.max("last_at").alias("last_at"), F.min("first_at").alias("first_at"),
+        F.max("no_clause").alias("no_clause"), F.max("has_table").alias("has_table"),
     )
-    # ORDER BY direction of the IR: the last asc/desc written in the clause, default asc
-    tok = F.col("token")
-    dirs = ut.filter((F.col("clause") == "order") & tok.isin("asc", "desc")).groupBy(*keys, "block").agg(
-        F.max_by(tok, F.col("pos")).alias("order_dir"))
-    # set-operation children (the block that follows a set word at the same sdepth)
-    kids = ut.filter((tok == "select") & F.col("prev_tok").isin(*tk.SET_WORDS)).select(
-        *keys, F.col("pos").alias("child"), F.col("prev_tok").alias("kind"))
-    f = f.join(dirs, keys + ["block"], "left")
-    return f, kids
+    w = Window.partitionBy(*keys)
+    f = f.withColumn("valid", F.coalesce(_merged_valid(lambda a: a.over(w)), F.lit(False))).filter("is_block")
+    # set-operation presence of a block = a child block right after it at its sdepth
+    nxt = F.lead("set_path").over(Window.partitionBy(*keys, "sdepth").orderBy("block"))
+    f = f.withColumn("next_path", nxt)
+    kind = F.when(F.length("next_path") > F.length("set_path"), F.substring("next_path", F.length("next_path"), F.lit(1)))
+    f = f.withColumn("next_kind", kind)
+    for k in tk.SET_WORDS:
+        f = f.withColumn(f"has_{k}", F.when(F.col("next_kind") == k[0], 1).otherwise(0))
+    return f.drop("r", "min_depth", "bal", "bad_limit", "last_at", "first_at", "no_clause", "has_table", "is_block", "next_path", "next_kind")
 
 
 def keyword_set(prefix: str = "") -> Column:
@@ -232,82 +269,55 @@ def hardness_expr() -> Column:
             .otherwise("extra"))
 
 
+#: query rows of a partition: their tokens (about 40 a row and some 300 bytes each) are sorted in memory
+ROWS_PER_PART = 25_000
+
+
 def analyse(qs: DataFrame, key: str, cat_columns: DataFrame, sides=("gold", "pred"), fks: DataFrame | None = None):
-    """Token table, units and per-block features of every side (one shared partitioning).
+    """(unit table, stacked query rows) of every side: ``units``, ``blocks`` and ``validity`` read them.
 
-    With ``fks`` (see ``fk_map``) columns are compared by their foreign-key class (E2).
+    With ``fks`` (see ``fk_map``) columns are compared by their foreign-key class (E2). Nothing is written: a caller
+    that reads one result of it once runs in one pass.
     """
-    ut, stacked = query_tokens(qs, key, cat_columns, sides)
+    ut, stacked = query_tokens(qs, key, cat_columns, sides, ROWS_PER_PART)
     if fks is not None:
         ut = canonical_columns(ut, key, fks)
-    # one lineage cut after the token table: units, features and validity all read it
-    ut = cut_lineage(ut)
-    u = cut_lineage(units(ut, key))
-    f, kids = block_features(u, ut, key)
-    keys = [key, "side"]
-    kid_counts = kids.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"kids_{k}") for k in tk.SET_WORDS])
-    # set-operation presence of a block = a child block right after it at sdepth 0
-    f = f.withColumn("path_len", F.length("set_path"))
-    wpath = Window.partitionBy(*keys, "sdepth").orderBy("block")
-    nxt = F.lead("set_path").over(wpath)
-    nxt_kind = F.substring(nxt, F.length(nxt), 1)
-    f = f.withColumn("next_kind", F.when(F.length(nxt) > F.col("path_len"), nxt_kind))
-    for k in tk.SET_WORDS:
-        f = f.withColumn(f"has_{k}", F.when(F.col("next_kind") == k[0], 1).otherwise(0))
-    f = f.withColumn("n_sub_cond", F.col("n_sub_cond"))
-    valid = validity(ut, stacked, key)
-    return ut, u, cut_lineage(f), cut_lineage(valid), kid_counts
+    return ut, stacked
 
 
 # ------------------------------------------------------------------ pairs
 
-def _overlap(u: DataFrame, key: str, clause_filter: Column, sig: Column, cat: str) -> DataFrame:
-    """(key, path, category, label_total, pred_total, cnt) for a multiset overlap."""
-    x = u.filter(clause_filter).select(key, "side", F.col("set_path").alias("path"), sig.alias("s"))
-    per = x.groupBy(key, "path", "s").agg(
-        F.sum(F.when(F.col("side") == "gold", 1).otherwise(0)).alias("g"),
-        F.sum(F.when(F.col("side") == "pred", 1).otherwise(0)).alias("p"))
-    return per.groupBy(key, "path").agg(
-        F.sum("g").alias("label_total"), F.sum("p").alias("pred_total"),
-        F.sum(F.least("g", "p")).alias("cnt")).withColumn("category", F.lit(cat))
+def _multiset(gold: str, pred: str) -> tuple[Column, Column, Column]:
+    """Sizes of two lists and of their multiset overlap."""
+    equal = lambda c, v: F.size(F.filter(c, lambda e: e == v))
+    both = F.aggregate(F.array_distinct(gold), F.lit(0), lambda n, v: n + F.least(equal(gold, v), equal(pred, v)))
+    return F.size(gold), F.size(pred), both
 
 
-def component_scores(u: DataFrame, f: DataFrame, valid: DataFrame, key: str) -> DataFrame:
-    """Per (key, category) label_total, pred_total, cnt, acc/rec/f1, plus exact per key.
+def component_scores(f: DataFrame, key: str) -> DataFrame:
+    """One row per key with the validity of both sides, the top gold block's hardness levels, ``exact_full`` and
+    ``cats``: per category label_total, pred_total and cnt of the top path.
 
     Only sdepth-0 blocks are aligned (by their set-operation path); nested
     subqueries take part through their fingerprints. An unparsable prediction
-    contributes nothing (the empty query); unparsable gold rows are dropped.
+    contributes nothing (the empty query).
     """
-    keys = [key, "side"]
-    top = u.filter(F.col("sdepth") == 0)
-    # an invalid prediction is the empty query: drop its units / features
-    top = top.join(valid, keys).filter(F.col("valid") | (F.col("side") == "gold"))
-    ft = f.filter(F.col("sdepth") == 0).join(valid, keys).filter(F.col("valid") | (F.col("side") == "gold"))
-    cl = F.col("clause")
-    parts = [
-        _overlap(top, key, cl == "select", F.col("sig"), "select"),
-        _overlap(top, key, cl == "select", F.col("sig_body"), "select(no AGG)"),
-        _overlap(top, key, cl == "where", F.col("sig"), "where"),
-        _overlap(top, key, cl == "where", F.col("sig_left"), "where(no OP)"),
-        _overlap(top, key, cl == "group", F.substring_index("sig", ".", -1), "group(no Having)"),
-    ]
     g = F.col("side") == "gold"
-    fb = ft.select(key, "side", F.col("set_path").alias("path"), "*")
-    pair = fb.groupBy(key, "path").agg(
+    # an invalid prediction is the empty query
+    takes = (F.col("sdepth") == 0) & (F.col("valid") | g)
+    path = F.when(takes, F.col("set_path"))
+    lists = ("sel", "sel_body", "whr", "whr_left", "grp")
+    pair = f.withColumn("path", path).groupBy(key, "mult", "path").agg(
         *[F.max(F.when(g == (s == "gold"), F.col(c))).alias(f"{s}_{c}")
           for s in ("gold", "pred")
           for c in ("n_group", "group_list", "having_list", "n_order", "order_list", "order_dir", "n_limit",
                     "conjs", "has_intersect", "has_union", "has_except", "table_units", "n_where", "n_having",
                     "n_or", "n_not", "n_in", "n_like")],
-        F.max(F.when(g, F.lit(1)).otherwise(0)).alias("gold_present"))
+        *[F.flatten(F.collect_list(F.when(g == (s == "gold"), F.col(c)))).alias(f"{s}_{c}") for s in ("gold", "pred") for c in lists],
+        *[F.max(F.when(g == (s == "gold"), F.col("valid"))).alias(f"{s}_valid") for s in ("gold", "pred")],
+        F.collect_list(F.when(g & (F.col("path") == ""), hardness_expr())).alias("hards"))
     pair = pair.withColumn("gold_kw", keyword_set("gold_")).withColumn("pred_kw", keyword_set("pred_"))
 
-    def cat(name, lt, pt, cnt):
-        return pair.select(key, "path", F.lit(name).alias("category"), lt.cast("long").alias("label_total"),
-                           pt.cast("long").alias("pred_total"), cnt.cast("long").alias("cnt"))
-
     gp = lambda c: F.coalesce(F.col(c), F.lit(0))
     has_g, has_p = gp("gold_n_group") > 0, gp("pred_n_group") > 0
     grp_eq = has_g & has_p & (F.col("gold_group_list") == F.col("pred_group_list")) & \
@@ -318,34 +328,30 @@ def component_scores(u: DataFrame, f: DataFrame, valid: DataFrame, key: str) ->
         ((gp("gold_n_limit") > 0) == (gp("pred_n_limit") > 0))
     gc, pc = F.coalesce("gold_conjs", F.array()), F.coalesce("pred_conjs", F.array())
     ao_eq = gc == pc
-    kw_cnt = F.size(F.array_intersect("gold_kw", "pred_kw"))
-    parts += [
-        cat("group", has_g.cast("int"), has_p.cast("int"), grp_eq.cast("int")),
-        cat("order", ord_g.cast("int"), ord_p.cast("int"), ord_eq.cast("int")),
+
+    def cat(name, lt, pt, cnt, times=F.lit(1)):
+        n = lambda c: F.coalesce(c.cast("long") * times, F.lit(0).cast("long"))
+        return F.struct(F.lit(name).alias("category"), n(lt).alias("label_total"), n(pt).alias("pred_total"), n(cnt).alias("cnt"))
+
+    cats = F.array(
+        *[cat(name, *_multiset(f"gold_{c}", f"pred_{c}"), F.col("mult")) for name, c in zip(CATEGORIES[:5], lists)],
+        cat("group", has_g, has_p, grp_eq),
+        cat("order", ord_g, ord_p, ord_eq),
         cat("and/or", F.when(ao_eq, 1).otherwise(F.size(pc)), F.when(ao_eq, 1).otherwise(F.size(gc)),
             F.when(ao_eq, 1).otherwise(0)),
-        cat("keywords", F.size("gold_kw"), F.size("pred_kw"), kw_cnt),
-    ]
-    base = parts[0]
-    for p in parts[1:]:
-        base = base.unionByName(p)
-    # every (key, path, category) exists even when a side has no such units
-    cats = F.explode(F.array(*[F.lit(c) for c in CATEGORIES if c != "IUEN"])).alias("category")
-    grid = pair.select(key, "path", cats)
-    base = grid.join(base, [key, "path", "category"], "left").fillna(0, ["label_total", "pred_total", "cnt"])
-    base = _with_f(base)
+        cat("keywords", F.size("gold_kw"), F.size("pred_kw"), F.size(F.array_intersect("gold_kw", "pred_kw"))))
     # exact match per path without IUEN
-    ok = base.groupBy(key, "path").agg(F.min(F.when(F.col("f1") == 1, 1).otherwise(0)).alias("ok9"))
-    ok = ok.join(pair.select(key, "path", "gold_table_units", "pred_table_units",
-                             *[F.col(f"{s}_has_{k}") for s in ("gold", "pred") for k in tk.SET_WORDS]),
-                 [key, "path"])
+    ok9 = F.forall("cats", lambda e: (e["pred_total"] == e["label_total"]) & (e["cnt"] == e["pred_total"]))
     tables_eq = (F.size(F.coalesce("gold_table_units", F.array())) == 0) | \
         F.coalesce(F.col("gold_table_units") == F.col("pred_table_units"), F.lit(False))
-    ok = ok.withColumn("ok_base", (F.col("ok9") == 1) & tables_eq)
-    iuen = _iuen(ok, key)
-    base = base.unionByName(iuen.select(key, F.lit("").alias("path"), F.lit("IUEN").alias("category"),
-                                        "label_total", "pred_total", "cnt").transform(_with_f))
-    return base, iuen
+    flags = [F.coalesce(F.col(f"{s}_has_{k}"), F.lit(0)).cast("int").alias(f"{s}_{k}") for s in ("gold", "pred") for k in tk.SET_WORDS]
+    pair = pair.withColumn("cats", cats)
+    entry = F.struct((-F.length("path")).alias("rank"), "path", (ok9 & tables_eq).alias("ok"), *flags, "cats")
+    m = pair.groupBy(key, "mult").agg(
+        F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), entry))).alias("m"),
+        F.flatten(F.collect_list("hards")).alias("hards"),
+        *[F.coalesce(F.max(f"{s}_valid"), F.lit(False)).alias(f"{s}_valid") for s in ("gold", "pred")])
+    return _iuen(m, key)
 
 
 def _with_f(df: DataFrame) -> DataFrame:
@@ -354,19 +360,15 @@ def _with_f(df: DataFrame) -> DataFrame:
     return df.withColumn("acc", v).withColumn("rec", v).withColumn("f1", v)
 
 
-def _iuen(ok: DataFrame, key: str) -> DataFrame:
-    """IUEN of the top block and exact match of the whole query, per key.
+def _iuen(m: DataFrame, key: str) -> DataFrame:
+    """IUEN of the top block (added to ``cats``) and exact match of the whole query, per key.
 
-    The set-operation blocks of one query are gathered as entries (path, ok,
-    presence flags) and folded from the deepest to the top: an operand matches
+    The set-operation blocks of one query, entries (path, ok, presence flags),
+    are folded from the deepest to the top: an operand matches
     when its own components and operands match. A child's path is longer than
     its parent's, so its result is known before the parent needs it, whatever
     the depth.
     """
-    flags = [F.coalesce(F.col(f"{s}_has_{k}"), F.lit(0)).cast("int").alias(f"{s}_{k}") for s in ("gold", "pred") for k in tk.SET_WORDS]
-    entry = F.struct((-F.length("path")).alias("rank"), "path", F.coalesce("ok_base", F.lit(False)).alias("ok"), *flags)
-    m = ok.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("m"))
-
     def total(e, side: str):
         return sum((e[f"{side}_{k}"] for k in tk.SET_WORDS), F.lit(0))
 
@@ -382,32 +384,37 @@ def _iuen(ok: DataFrame, key: str) -> DataFrame:
     known = F.aggregate("m", F.expr("cast(map() as map<string,boolean>)"), step)
     m = m.withColumn("known", known).withColumn("top", F.try_element_at(F.filter("m", lambda e: e["path"] == ""), F.lit(1)))
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return m.select(key, none(total(F.col("top"), "gold")).alias("label_total"), none(total(F.col("top"), "pred")).alias("pred_total"),
-                    none(matched(F.col("known"), F.col("top"))).alias("cnt"),
-                    F.coalesce(F.try_element_at("known", F.lit("")), F.lit(False)).alias("exact_full"))
+    iuen = F.struct(F.lit("IUEN").alias("category"), none(total(F.col("top"), "gold")).alias("label_total"),
+                    none(total(F.col("top"), "pred")).alias("pred_total"), none(matched(F.col("known"), F.col("top"))).alias("cnt"))
+    cats = F.when(F.size("m") > 0, F.concat(F.coalesce("top.cats", F.array().cast("array<struct<category:string,label_total:long,pred_total:long,cnt:long>>")), F.array(iuen)))
+    return m.select(key, "mult", "gold_valid", "pred_valid", "hards", F.coalesce(F.try_element_at("known", F.lit("")), F.lit(False)).alias("exact_full"), cats.alias("cats"))
 
 
 # ---------------------------------------------------------------- reports
 
+def score_rows(qs: DataFrame, key: str, cat_columns: DataFrame, fks: DataFrame | None = None) -> DataFrame:
+    """One row per key with a parsable gold query: hardness levels, validity, exact match and all category counts."""
+    ut, _ = analyse(qs, key, cat_columns, fks=fks)
+    return component_scores(blocks(ut, key), key).filter(F.col("gold_valid") & F.col(key).isNotNull())
+
+
+def split_scores(rows: DataFrame, key: str):
+    """(per_key, per_category) frames of ``score_rows``."""
+    once = rows
+    # a key that several rows hold stands once for each pair of its rows, and its units once for each row
+    rows = rows.withColumn("of", F.explode_outer("hards"))
+    per_key = rows.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mult") * F.col("mult")))).select(
+        key, F.col("of").alias("hardness"), "gold_valid", "pred_valid", F.when(F.col("exact_full"), 1).otherwise(0).alias("exact"))
+    per_cat = _with_f(once.select(key, F.lit("").alias("path"), F.inline("cats")))
+    return per_key, per_cat
+
+
 def score_pairs(qs: DataFrame, key: str, cat_columns: DataFrame, fks: DataFrame | None = None):
     """Per key: hardness, validity, exact match and the ten category scores (path '' only).
 
     Returns (per_key, per_category) frames. Unparsable gold rows are dropped.
     """
-    ut, u, f, valid, _ = analyse(qs, key, cat_columns, fks=fks)
-    comp, iuen = component_scores(u, f, valid, key)
-    gold_top = f.filter((F.col("side") == "gold") & (F.col("sdepth") == 0) & (F.col("set_path") == ""))
-    # hardness needs set-op presence and nested counts of the top block
-    hard = gold_top.select(key, hardness_expr().alias("hardness"))
-    gv = valid.filter(F.col("side") == "gold").select(key, F.col("valid").alias("gold_valid"))
-    pv = valid.filter(F.col("side") == "pred").select(key, F.col("valid").alias("pred_valid"))
-    top = comp.filter(F.col("path") == "")
-    ex = iuen.select(key, "exact_full")
-    per_key = gv.filter("gold_valid").join(pv, key, "left").join(hard, key, "left").join(ex, key, "left") \
-        .select(key, "hardness", "gold_valid", F.coalesce("pred_valid", F.lit(False)).alias("pred_valid"),
-                F.when(F.coalesce("exact_full", F.lit(False)), 1).otherwise(0).alias("exact"))
-    per_cat = top.join(per_key.select(key), key, "left_semi")
-    return per_key, per_cat
+    return split_scores(score_rows(qs, key, cat_columns, fks), key)
 
 
 def score_report(qs: DataFrame, cat_columns: DataFrame, weight_col: str | None = None,
@@ -419,7 +426,8 @@ def score_report(qs: DataFrame, cat_columns: DataFrame, weight_col: str | None =
     for that many identical (gold, pred) pairs (the report is computed on
     distinct pairs, see ``score_report_dedup``).
     """
-    per_key, per_cat = score_pairs(qs, key, cat_columns, fks)
+    # both frames are read: one row per key is kept
+    per_key, per_cat = split_scores(cut_lineage(score_rows(qs, key, cat_columns, fks)), key)
     w = F.col(weight_col) if weight_col else F.lit(1)
     wk = qs.select(key, w.alias("w"))
     pk = per_key.join(wk, key)

@@ -147,7 +147,7 @@ def resolve(tt: DataFrame, keys: Sequence[str], cat_columns: DataFrame) -> DataF
     qualified = tok.contains(".") & ~is_literal(tok)
     lookup_key = F.when(qualified, F.substring_index(tok, ".", -1)).otherwise(tok)
     names = name_lookup(cat_columns)
-    x = tt.withColumn("lookup_key", lookup_key).join(names, F.col("lookup_key") == F.col("lookup"), "left")
+    x = tt.withColumn("lookup_key", lookup_key).join(F.broadcast(names), F.col("lookup_key") == F.col("lookup"), "left")
     # table tokens in FROM (not the alias after AS)
     x = x.withColumn("cand_table", F.coalesce((F.col("kind") == "table") & (F.col("clause") == "from")
                                               & (F.coalesce(F.col("prev_tok"), F.lit("")) != "as") & ~qualified,

@@ -101,21 +101,21 @@ def _analysis(spark, d):
 
 @register("t12_units")
 def t12(spark, d):
-    _, u, _, _, _ = _analysis(spark, d)
-    return u.select(*KEYS, "block", "clause", "unit", "sig", "sig_left", "op", "conj")
+    ut, _ = _analysis(spark, d)
+    return sc.units(ut, "query_id").select(*KEYS, "block", "clause", "unit", "sig", "sig_left", "op", "conj")
 
 
 @register("e03_hardness")
 def e03(spark, d):
-    _, _, f, _, _ = _analysis(spark, d)
-    top = f.filter((F.col("side") == "gold") & (F.col("sdepth") == 0) & (F.col("set_path") == ""))
+    ut, _ = _analysis(spark, d)
+    top = sc.blocks(ut, "query_id").filter((F.col("side") == "gold") & (F.col("sdepth") == 0) & (F.col("set_path") == ""))
     return top.select("query_id", sc.hardness_expr().alias("hardness"))
 
 
 @register("e04_keywords")
 def e04(spark, d):
-    _, _, f, _, _ = _analysis(spark, d)
-    top = f.filter((F.col("sdepth") == 0) & (F.col("set_path") == ""))
+    ut, _ = _analysis(spark, d)
+    top = sc.blocks(ut, "query_id").filter((F.col("sdepth") == 0) & (F.col("set_path") == ""))
     return top.select(*KEYS, F.array_join(sc.keyword_set(), " ").alias("keywords"))
 
 
@@ -160,8 +160,8 @@ def e17(spark, d):
 
 @register("e18_empty_on_error")
 def e18(spark, d):
-    _, _, _, valid, _ = _analysis(spark, d)
-    return valid.groupBy("query_id").agg(
+    ut, stacked = _analysis(spark, d)
+    return sc.validity(ut, stacked, "query_id").groupBy("query_id").agg(
         F.max(F.when(F.col("side") == "gold", F.col("valid"))).alias("gold_valid"),
         F.max(F.when(F.col("side") == "pred", F.col("valid"))).alias("pred_valid"))
 

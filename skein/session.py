@@ -81,12 +81,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def by_key(df: DataFrame, *cols: str) -> DataFrame:
+def by_key(df: DataFrame, *cols: str, rows_per_part: int | None = None) -> DataFrame:
     """Hash-partition by ``cols`` into the session's shuffle-partition count.
 
+    With ``rows_per_part`` the rows are counted first and more partitions are
+    taken where that many rows a partition ask for it.
+
     An explicit count keeps AQE from coalescing the exchange into a few tasks
     (the per-key window work after it is CPU-bound); on a cluster the count is
     whatever ``spark.sql.shuffle.partitions`` says.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    if rows_per_part:
+        n = max(n, -(-df.count() // rows_per_part))
     return df.repartition(n, *cols)

@@ -59,3 +59,24 @@ def test_pairs_with_nulls_stay_apart(spark):
     df = spark.createDataFrame([(1, "a", None), (2, None, "a"), (3, "a", None)], "query_id long, gold string, pred string")
     got = {(r.gold, r.pred): (r.mult, r.query_id) for r in sc.dedup_pairs(df).collect()}
     assert got == {("a", None): (2, 1), (None, "a"): (1, 2)}
+
+
+def test_scores_stream_in_one_pass(spark, monkeypatch):
+    """Tokens, units and blocks are neither written nor shuffled: the query rows move once (before: four checkpoints)."""
+    def written(_):
+        raise AssertionError("scores wrote a table")
+    monkeypatch.setattr(sc, "cut_lineage", written)
+    cat = star_catalog(spark, SF_SMALL)
+    qs = spark.createDataFrame([(i, g, g) for i, g in enumerate(GOLD)], "query_id long, gold string, pred string")
+    for df in sc.score_pairs(qs, "query_id", cat.columns, sc.fk_map(cat)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert sum("Exchange hashpartitioning(query_id" in line for line in plan.splitlines()) == 1
+        assert df.count() >= len(GOLD)
+
+
+def test_repeated_keys_count_once_a_row(spark):
+    qs = spark.createDataFrame([(1, GOLD[0], GOLD[0])] * 2 + [(2, GOLD[0], "select 'x")], "query_id long, gold string, pred string")
+    ut, stacked = sc.analyse(qs, "query_id", star_catalog(spark, SF_SMALL).columns)
+    assert {(r.query_id, r.mult) for r in ut.select("query_id", "mult").collect()} == {(1, 2), (2, 1)}
+    valid = {(r.query_id, r.side): r.v for r in sc.validity(ut, stacked, "query_id").groupBy("query_id", "side").agg({"valid": "max"}).withColumnRenamed("max(valid)", "v").collect()}
+    assert valid[2, "gold"] and not valid[2, "pred"]
