@@ -24,10 +24,11 @@ def rerank_max(beams: DataFrame, key: str, order: Column | None = None) -> DataF
     Ties go to the smaller beam number. With ``order`` (D27: the exact match against gold) that comes before the score. One
     aggregate per key, combined before the shuffle; keys without a valid beam are left out.
     """
-    x = beams.where("valid").withColumn("score", mean_score("toks", "scores")).where("score is not null")
+    x = beams.where("valid").withColumn("score", mean_score("toks", "scores"))
     first = F.lit(0) if order is None else order
-    best = x.groupBy(key).agg(F.max(F.struct(first.alias("first"), "score", (-F.col("beam")).alias("back"))).alias("b"))
-    return best.select(key, (-F.col("b.back")).alias("beam"), F.col("b.score").alias("score"))
+    # a filter on the score would be pushed below it and compute every score twice: beams without one are null here
+    best = x.groupBy(key).agg(F.max(F.when(F.col("score").isNotNull(), F.struct(first.alias("first"), "score", (-F.col("beam")).alias("back")))).alias("b"))
+    return best.where("b is not null").select(key, (-F.col("b.back")).alias("beam"), F.col("b.score").alias("score"))
 
 
 def rerank_oracle(beams: DataFrame, key: str, gold: str) -> DataFrame:
