@@ -59,10 +59,29 @@ def picklist(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _words(text_col: str) -> Column:
+    return F.filter(F.split(F.lower(F.col(text_col)), SEP_SPLIT), lambda w: w != "")
+
+
+def span_counts(df: DataFrame, id_col: str, text_col: str, max_n: int) -> DataFrame:
+    """(id, n_spans, n_distinct) of the spans of ``spans``: a document's words meet once, its spans never leave their row."""
+    x = df.select(id_col, _words(text_col).alias("w")).groupBy(id_col).agg(F.collect_list("w").alias("ws"))
+
+    def of_length(w, n):
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.array_join(F.slice(w, s, n), " "))
+    lengths = F.sequence(F.lit(1), F.lit(max_n))
+    # spans of another number of words differ, for words hold no blank
+    per = F.transform(lengths, lambda n: F.flatten(F.transform("ws", lambda w: of_length(w, n))))
+    each = F.transform(per, lambda a: F.struct(F.size(a).cast("long").alias("n"), F.size(F.array_distinct(a)).cast("long").alias("d")))
+    add = lambda f: F.aggregate("each", F.lit(0).cast("long"), lambda t, e: t + e[f])
+    x = x.withColumn("each", each).select(id_col, add("n").alias("n_spans"), add("d").alias("n_distinct"))
+    return x.where("n_spans > 0")
+
+
 def spans(df: DataFrame, id_col: str, text_col: str, max_n: int) -> DataFrame:
     """K2: (id, start, n, span) word n-grams (n <= max_n) of the lower-cased text, split at separators."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), SEP_SPLIT), lambda w: w != "")
-    x = df.select(id_col, words.alias("w"))
+    x = df.select(id_col, _words(text_col).alias("w"))
     x = x.select(id_col, "w", F.posexplode("w").alias("start", "_"))
     x = x.select(id_col, "w", "start", F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
     x = x.filter(F.col("start") + F.col("n") <= F.size("w"))

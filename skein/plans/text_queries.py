@@ -191,8 +191,7 @@ def k01(spark, d):
 
 @register("k02_spans", _LINK_SQL + "SELECT doc_id, count(*) AS n_spans, count(DISTINCT span) AS n_distinct FROM sp GROUP BY doc_id")
 def k02(spark, d):
-    sp, _ = _spans(spark, d)
-    return sp.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.count_distinct("span").alias("n_distinct"))
+    return lk.span_counts(Tables(spark, d).documents, "doc_id", "text", lk.max_value_words(_picklist(spark, d)))
 
 
 @register("k03_link_exact", _LINK_SQL + "SELECT * FROM ex")
