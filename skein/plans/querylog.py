@@ -8,6 +8,8 @@ templates) and are broadcast into the per-event projection.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +74,10 @@ def _pred(gold, p):
     return (F.when(p <= 5, gold).when(p == 6, r6).when(p == 7, r7).when(p == 8, r8).otherwise(r9))
 
 
-def query_log(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """QL(query_id, shape, gold, pred) from the events table (one row per event)."""
+def query_log(spark: SparkSession, events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """QL(query_id, shape, gold, pred) from the events table (one row per event), then the columns ``keep`` of the event."""
     tpl = spark.createDataFrame(bound_templates(), "shape int, binding int, text string")
-    e = events.select(F.col("event_id").alias("query_id"))
+    e = events.select(F.col("event_id").alias("query_id"), *keep)
     k = F.lit(100) * bucket("k", "query_id", 50)
     j = k + F.lit(1000) * (F.lit(1) + bucket("j", "query_id", 9))
     h = F.lit(1) + bucket("h", "query_id", 9)
@@ -83,14 +85,14 @@ def query_log(spark: SparkSession, events: DataFrame) -> DataFrame:
     e = e.select("query_id", bucket("t", "query_id", 12).cast("int").alias("shape"),
                  bucket("b", "query_id", 5).cast("int").alias("binding"),
                  k.alias("k"), j.alias("j"), h.alias("h"), lim.alias("l"),
-                 bucket("p", "query_id", 10).alias("p"))
+                 bucket("p", "query_id", 10).alias("p"), *keep)
     # 60-row constant table: broadcast, so the per-event rows never shuffle here.
     x = e.join(F.broadcast(tpl), ["shape", "binding"])
     gold = F.col("text")
     for name in ("k", "j", "h", "l"):
         gold = F.replace(gold, F.lit("{" + name + "}"), F.col(name).cast("string"))
-    x = x.select("query_id", "shape", gold.alias("gold"), "p")
-    return x.select("query_id", "shape", "gold", _pred(F.col("gold"), F.col("p")).alias("pred"))
+    x = x.select("query_id", "shape", gold.alias("gold"), "p", *keep)
+    return x.select("query_id", "shape", "gold", _pred(F.col("gold"), F.col("p")).alias("pred"), *keep)
 
 
 def query_log_sql() -> str:

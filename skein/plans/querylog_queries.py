@@ -94,35 +94,54 @@ def t11(spark, d):
                      F.col("sdepth").cast("long"), F.col("block").cast("long"), "clause")
 
 
-def _analysis(spark, d):
+def _per_text(spark, d, analyse):
+    """The rows that ``analyse`` makes of the log's different (gold, pred) texts, given to every query that has the texts.
+
+    ``analyse`` takes (query_id, gold, pred) and returns rows with ``query_id``. Every text is analysed, in partitions of
+    bounded size (see ``score.analyse``); the log itself only meets the results. An id of several events goes in as
+    often as it stands, so that its tokens meet each other, and its rows come back once.
+    """
+    ids = Tables(spark, d).events.groupBy("event_id").agg(F.count("*").alias("n_rows"))
+    log = query_log(spark, ids, keep=["n_rows"])
+    text = ["gold", "pred", "n_rows"]
+    texts = log.groupBy(*text).agg(F.min("query_id").alias("text_id"))
+    rows = texts.select(F.col("text_id").alias("query_id"), "gold", "pred", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")).alias("copy")).drop("copy")
+    found = analyse(rows)
+    x = log.join(texts, text).select("query_id", "text_id").join(found.withColumnRenamed("query_id", "text_id"), "text_id")
+    return x.select(*found.columns)
+
+
+def _analysis(spark, d, read):
+    """``read(unit table, stacked query rows)`` of the log."""
     cat = star_catalog(spark, d)
-    return sc.analyse(_ql(spark, d), "query_id", cat.columns)
+    return _per_text(spark, d, lambda ql: read(*sc.analyse(ql, "query_id", cat.columns)))
 
 
 @register("t12_units")
 def t12(spark, d):
-    ut, _ = _analysis(spark, d)
-    return sc.units(ut, "query_id").select(*KEYS, "block", "clause", "unit", "sig", "sig_left", "op", "conj")
+    return _analysis(spark, d, lambda ut, _: sc.units(ut, "query_id").select(*KEYS, "block", "clause", "unit", "sig", "sig_left", "op", "conj"))
 
 
 @register("e03_hardness")
 def e03(spark, d):
-    ut, _ = _analysis(spark, d)
-    top = sc.blocks(ut, "query_id").filter((F.col("side") == "gold") & (F.col("sdepth") == 0) & (F.col("set_path") == ""))
-    return top.select("query_id", sc.hardness_expr().alias("hardness"))
+    def read(ut, _):
+        top = sc.blocks(ut, "query_id").filter((F.col("side") == "gold") & (F.col("sdepth") == 0) & (F.col("set_path") == ""))
+        return top.select("query_id", sc.hardness_expr().alias("hardness"))
+    return _analysis(spark, d, read)
 
 
 @register("e04_keywords")
 def e04(spark, d):
-    ut, _ = _analysis(spark, d)
-    top = sc.blocks(ut, "query_id").filter((F.col("sdepth") == 0) & (F.col("set_path") == ""))
-    return top.select(*KEYS, F.array_join(sc.keyword_set(), " ").alias("keywords"))
+    def read(ut, _):
+        top = sc.blocks(ut, "query_id").filter((F.col("sdepth") == 0) & (F.col("set_path") == ""))
+        return top.select(*KEYS, F.array_join(sc.keyword_set(), " ").alias("keywords"))
+    return _analysis(spark, d, read)
 
 
 def _components(spark, d):
     cat = star_catalog(spark, d)
-    per_key, per_cat = sc.score_pairs(_ql(spark, d), "query_id", cat.columns, sc.fk_map(cat))
-    return per_key, per_cat
+    rows = _per_text(spark, d, lambda ql: sc.score_rows(ql, "query_id", cat.columns, sc.fk_map(cat)))
+    return sc.split_scores(rows, "query_id")
 
 
 def _category(name):
@@ -160,10 +179,11 @@ def e17(spark, d):
 
 @register("e18_empty_on_error")
 def e18(spark, d):
-    ut, stacked = _analysis(spark, d)
-    return sc.validity(ut, stacked, "query_id").groupBy("query_id").agg(
-        F.max(F.when(F.col("side") == "gold", F.col("valid"))).alias("gold_valid"),
-        F.max(F.when(F.col("side") == "pred", F.col("valid"))).alias("pred_valid"))
+    def read(ut, stacked):
+        return sc.validity(ut, stacked, "query_id").groupBy("query_id").agg(
+            F.max(F.when(F.col("side") == "gold", F.col("valid"))).alias("gold_valid"),
+            F.max(F.when(F.col("side") == "pred", F.col("valid"))).alias("pred_valid"))
+    return _analysis(spark, d, read)
 
 
 @register("e24_string_em", with_ql(
@@ -222,10 +242,13 @@ LEFT JOIN ft ON ft.query_id = h.query_id AND ft.side = h.side AND ft.block = b.b
 def e02(spark, d):
     """Every resolved column of the log with its representative, where its table stands in the top FROM."""
     cat = star_catalog(spark, d)
-    ut, _ = sc.query_tokens(_ql(spark, d), "query_id", cat.columns)
-    # norm drops separators and FROM words, so the column itself is put there before
-    x = sc.canonical_columns(ut.filter(F.col("col_id").isNotNull() | (F.col("token") == "select")).withColumn("norm", F.col("col_id")), "query_id", sc.fk_map(cat))
-    return x.filter(F.col("col_id").contains(".") & ~F.col("col_id").endswith("*")).select(*KEYS, F.col("pos").cast("int"), F.col("col_id").alias("col"), F.col("norm").alias("canonical"))
+
+    def read(ql):
+        ut, _ = sc.query_tokens(ql, "query_id", cat.columns)
+        # norm drops separators and FROM words, so the column itself is put there before
+        x = sc.canonical_columns(ut.filter(F.col("col_id").isNotNull() | (F.col("token") == "select")).withColumn("norm", F.col("col_id")), "query_id", sc.fk_map(cat))
+        return x.filter(F.col("col_id").contains(".") & ~F.col("col_id").endswith("*")).select(*KEYS, F.col("pos").cast("int"), F.col("col_id").alias("col"), F.col("norm").alias("canonical"))
+    return _per_text(spark, d, read)
 
 
 @register("e23_partial_metric")

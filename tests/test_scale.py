@@ -32,3 +32,25 @@ def test_span_counts_equal_counted_spans(spark):
     got = lk.span_counts(docs, "doc_id", "text", 3)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_log_texts_are_analysed_once(spark, tmp_path, monkeypatch):
+    from skein.operators import score as sc
+    from skein.plans import querylog_queries as qq
+    from skein.plans.querylog import query_log
+    from skein.sources.catalog import star_catalog
+    from tests.conftest import SF_SMALL
+
+    events = spark.createDataFrame([(i % 400,) for i in range(405)] + [(None,)], "event_id long")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    seen, analyse = [], sc.analyse
+    cat = star_catalog(spark, SF_SMALL)
+    monkeypatch.setattr(qq, "star_catalog", lambda *_: cat)
+    monkeypatch.setattr(sc, "analyse", lambda qs, *a, **k: (seen.append(qs.count()), analyse(qs, *a, **k))[1])
+    got = qq.e16(spark, str(tmp_path))
+    log = query_log(spark, spark.read.parquet(f"{tmp_path}/events.parquet"))
+    per, _ = sc.split_scores(sc.component_scores(sc.blocks(analyse(log, "query_id", cat.columns, fks=sc.fk_map(cat))[0], "query_id"), "query_id").filter("gold_valid"), "query_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, per.select("query_id", "hardness", "exact").collect()))
+    # before: every event's texts
+    each = log.groupBy("query_id", "gold", "pred").agg(F.count("*").alias("n")).select("gold", "pred", "n").distinct()
+    assert seen == [each.agg(F.sum("n")).first()[0]] and seen[0] < log.count()
