@@ -11,12 +11,12 @@ from skein.functions.hashing import bucket
 # ------------------------------------------------------------------ T13
 
 #: For each slot its tokens: of the spans with the same neighbours (from every start that fits to the nearest end that
-#: fits) the shortest. Both arrays are bound once as z, so that no plan rewrite computes them again for every element.
-_SPANS = """element_at(transform(array(named_struct('no', {no}, 'yes', {yes})), z ->
-  transform(filter(transform(z.no, (t, i) -> if(lower(t) in ('value', 'limit_value'), i, -1)), i -> i >= 0), i ->
-    transform(array(array_min(filter(transform(sequence(0, size(z.yes) - 1), j -> if(not ((j = 0 and i = 0) or (j > 0 and i > 0 and lower(get(z.yes, j - 1)) = lower(get(z.no, i - 1)))), null,
+#: fits) the shortest. The arrays and their lower-case forms are bound once as z, so that no element computes them again.
+_SPANS = """element_at(transform(array(named_struct('no', transform({no}, t -> lower(t)), 'low', transform({yes}, t -> lower(t)), 'yes', {yes})), z ->
+  transform(filter(transform(z.no, (t, i) -> if(t in ('value', 'limit_value'), i, -1)), i -> i >= 0), i ->
+    transform(array(array_min(filter(transform(sequence(0, size(z.yes) - 1), j -> if(not ((j = 0 and i = 0) or (j > 0 and i > 0 and get(z.low, j - 1) = get(z.no, i - 1))), null,
       struct(array_min(filter(sequence(j, size(z.yes) - 1), k -> (k + 1 = size(z.yes) and i + 1 = size(z.no))
-        or (k + 1 < size(z.yes) and i + 1 < size(z.no) and lower(get(z.yes, k + 1)) = lower(get(z.no, i + 1))))) - j as len, j as at))),
+        or (k + 1 < size(z.yes) and i + 1 < size(z.no) and get(z.low, k + 1) = get(z.no, i + 1)))) - j as len, j as at))),
       s -> s is not null and s.len is not null))), s -> if(s is null, null, slice(z.yes, s.at + 1, s.len + 1)))[0])), 1)"""
 
 
@@ -24,10 +24,12 @@ def align_values(df: DataFrame, no: str, yes: str, out: str = "vals") -> DataFra
     """``out``, an array of token spans of ``yes``, one for each ``value`` or ``limit_value`` of ``no`` (both token arrays).
 
     A slot takes the shortest span between the same neighbours (letters' case aside), the leftmost of equals; a span has at
-    least one token. Rows with a slot that nothing fits, or with a null or empty side, are rejected. Row-local.
+    least one token. Rows with a slot that nothing fits, or with a null or empty side, are rejected. Row-local; the spans are
+    a generator's input, since a filter on them would be pushed down and compute them, and all they read, again.
     """
     spans = F.expr("if(size(`{no}`) > 0 and size(`{yes}`) > 0, ".replace("{no}", no).replace("{yes}", yes) + _SPANS.format(no=f"`{no}`", yes=f"`{yes}`") + ", null)")
-    return df.withColumn(out, F.when(~F.exists(spans, lambda s: s.isNull()), spans)).where(F.col(out).isNotNull())
+    fits = F.filter(F.array(spans), lambda a: a.isNotNull() & ~F.exists(a, lambda s: s.isNull()))
+    return df.select("*", F.explode(fits).alias(out))
 
 
 # ------------------------------------------------------------------ D30, D31

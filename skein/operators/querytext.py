@@ -34,6 +34,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once: inside lambdas a plain reference is computed again for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def is_float(tok) -> Column:
     return _c(tok).rlike(FLOAT_PATTERN)
 
@@ -106,7 +111,7 @@ def _alias_entries(toks) -> Column:
         i.alias("pos"), F.element_at(toks, i + 1).alias("alias"),
         F.when(i > 1, F.element_at(toks, i - 1)).otherwise(F.element_at(toks, -1)).alias("table_name")))
     ent = F.filter(ent, lambda e: e["alias"].isNotNull())
-    return F.filter(ent, lambda e: ~F.exists(ent, lambda o: (o["alias"] == e["alias"]) & (o["pos"] > e["pos"])))
+    return bound(ent, lambda all_: F.filter(all_, lambda e: ~F.exists(all_, lambda o: (o["alias"] == e["alias"]) & (o["pos"] > e["pos"]))))
 
 
 def alias_map(df: DataFrame, keys: list[str], toks: str, table_names: DataFrame) -> DataFrame:
@@ -127,20 +132,19 @@ def alias_map(df: DataFrame, keys: list[str], toks: str, table_names: DataFrame)
 def resolve_aliases(toks) -> Column:
     """T5: drop ``as alias``, rewrite ``alias.col`` -> ``table.col`` (token-exact), then respace."""
     toks = _c(toks)
-    ent = _alias_entries(toks)
     n = F.size(toks)
     keep = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                     lambda i: (i <= n) & (F.element_at(toks, i) != "as")
                     & ((i == 1) | (F.element_at(toks, F.greatest(i - 1, F.lit(1))) != "as")))
 
-    def rewrite(i):
+    def rewrite(ent, i):
         t = F.element_at(toks, i)
         pre = F.substring_index(t, ".", 1)
         hit = F.filter(ent, lambda e: e["alias"] == pre)
         return F.when(t.contains(".") & (F.size(hit) > 0),
                       F.concat(F.element_at(hit, 1)["table_name"], F.lit("."),
                                F.substring(t, F.length(pre) + 2, F.length(t)))).otherwise(t)
-    return respace(F.array_join(F.transform(keep, rewrite), " "))
+    return respace(F.array_join(bound(_alias_entries(toks), lambda ent: F.transform(keep, lambda i: rewrite(ent, i))), " "))
 
 
 # --------------------------------------------------------------------- T6
@@ -157,8 +161,12 @@ def split_names(toks) -> Column:
 def split_dotted(toks) -> Column:
     """struct(toks, invalid): ``a.b`` -> ``a . b``; ``*`` goes to the least used alias."""
     toks = _c(toks)
-    spl = split_names(toks)
     invalid = F.exists(toks, lambda t: (t != ".") & t.contains("."))
+    return F.struct(bound(split_names(toks), _qualified_star).alias("toks"), invalid.alias("invalid"))
+
+
+def _qualified_star(spl: Column) -> Column:
+    """The split tokens with the ``*`` of the select list under the least used alias, where the list lacks one."""
     n = F.size(spl)
     from_at = F.array_position(spl, F.lit("from"))
     sel = F.slice(spl, 1, F.greatest(from_at - 1, F.lit(0)))
@@ -173,9 +181,9 @@ def split_dotted(toks) -> Column:
     least = F.element_at(F.array_sort(stats), 1)["alias"]
     star_at = F.array_position(spl, F.lit("*"))
     fire = (from_at > 0) & F.array_contains(sel, F.lit("*")) & (F.size(first) > n_sel)
-    out = F.when(fire, F.transform(spl, lambda t, i: F.when(i + 1 == star_at, F.concat(least, F.lit(".*")))
-                                   .otherwise(t))).otherwise(spl)
-    return F.struct(out.alias("toks"), invalid.alias("invalid"))
+    starred = bound(F.struct(F.concat(least, F.lit(".*")).alias("to"), star_at.alias("at")), lambda z: F.transform(
+        spl, lambda t, i: F.when(i + 1 == z["at"], z["to"]).otherwise(t)))
+    return F.when(fire, starred).otherwise(spl)
 
 
 # --------------------------------------------------------------------- T8
