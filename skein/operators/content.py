@@ -57,7 +57,7 @@ def content_index(lits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def sample_values(draws: DataFrame, index: DataFrame, sizes: DataFrame, key: str, salt: str = "g11") -> DataFrame:
     """The rows of ``draws`` (key, col) with ``literal``; a column without content loses its rows."""
-    x = draws.join(sizes, "col").withColumn("k", bucket(salt, key, F.col("total")))
+    x = draws.join(F.broadcast(sizes), "col").withColumn("k", bucket(salt, key, F.col("total")))
     x = x.withColumn("cell", F.floor(F.col("k") / F.col("width")))
     hit = x.join(index, ["col", "cell"]).where((F.col("k") >= F.col("lo")) & (F.col("k") < F.col("hi")))
     return hit.select(*draws.columns, "literal")
@@ -85,14 +85,15 @@ def fill_template(mapped: DataFrame, typed: DataFrame, index: DataFrame, sizes:
     column. ``limit_value`` is 1. A row is rejected when one of its values has no column or the column no content.
     """
     types = typed.groupBy("db_id").agg(F.map_from_entries(F.collect_set(F.struct(F.lower(F.concat_ws(".", "table_name", "column_name")).alias("c"), F.col("slot_type").alias("t")))).alias("types"))
-    x = mapped.join(types, "db_id").withColumn("toks", F.split("mapped", " ")).withColumn("slots", F.expr(_SLOTS))
-    slot = x.select("seed", F.explode("slots").alias("s")).select("seed", "s.*").withColumn("key", F.concat_ws(":", "seed", "pos"))
+    x = mapped.join(F.broadcast(types), "db_id").withColumn("toks", F.split("mapped", " "))
+    # exploded as an expression: a filter inferred on a column of slots would compute them, and the tokens, again
+    slot = x.select("seed", F.explode(F.expr(_SLOTS)).alias("s")).select("seed", "s.*").withColumn("key", F.concat_ws(":", "seed", "pos"))
     counted = slot.where("op = 'count'").select("seed", "pos", (F.lit(1) + bucket(salt + "c", "key", 9)).cast("string").alias("value"))
     first = typed.where("first_column is not null").select(F.lower(F.concat(F.col("table_name"), F.lit(".*"))).alias("col"), F.lower(F.concat_ws(".", "table_name", "first_column")).alias("of")).distinct()
-    drawn = slot.where("coalesce(op, '') <> 'count' and col is not null").join(first, "col", "left").withColumn("col", F.coalesce("of", "col")).drop("of")
+    drawn = slot.where("coalesce(op, '') <> 'count' and col is not null").join(F.broadcast(first), "col", "left").withColumn("col", F.coalesce("of", "col")).drop("of")
     drawn = sample_values(drawn, index, sizes, "key", salt).select("seed", "pos", quoted(F.col("literal"), F.col("ctype"), F.col("op")).alias("value"))
     values = counted.unionByName(drawn).groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("vals"))
-    x = x.join(values, "seed", "left").withColumn("vals", F.coalesce("vals", F.expr("cast(map() as map<int,string>)"))).where("size(slots) = size(vals)")
+    x = x.withColumn("slots", F.expr(_SLOTS)).join(values, "seed", "left").withColumn("vals", F.coalesce("vals", F.expr("cast(map() as map<int,string>)"))).where("size(slots) = size(vals)")
     text = F.expr("array_join(transform(toks, (t, i) -> case when t = 'value' then vals[i] when t = 'limit_value' then '1' else t end), ' ')")
     return x.select("seed", "db_id", "mapped", text.alias("filled"), F.expr("transform(slots, s -> vals[s.pos])").alias("literals"))
 
@@ -154,12 +155,13 @@ def detemplatize(df: DataFrame, typed: DataFrame, salt: str = "g14") -> DataFram
     column governs are rejected.
     """
     types = typed.groupBy("db_id").agg(F.map_from_entries(F.collect_set(F.struct(F.lower(F.concat_ws(".", "table_name", "column_name")).alias("c"), F.col("slot_type").alias("t")))).alias("types"))
-    x = df.join(types, "db_id").withColumn("toks", F.split("mapped", " "))
+    x = df.join(F.broadcast(types), "db_id").withColumn("toks", F.split("mapped", " "))
     x = x.withColumn("ctype", F.expr("transform(toks, t -> if(map_contains_key(types, t), if(types[t] in ('number', 'time', '*') and lower(t) like '%phone%', 'phone', types[t]), null))"))
     x = x.withColumn("last", F.expr("aggregate(ctype, cast(array() as array<string>), (a, c) -> concat(a, array(coalesce(c, if(size(a) = 0, null, element_at(a, -1))))))"))
     x = x.withColumn("next", F.expr("reverse(aggregate(reverse(ctype), cast(array() as array<string>), (a, c) -> concat(a, array(coalesce(c, if(size(a) = 0, null, element_at(a, -1)))))))"))
     draw = f"pmod(cast(conv(substring(md5(concat('{salt}:', seed, ':', i)), 1, 8), 16, 10) as bigint), 1000)"
     agg = {**AGG_CHOICES, "phone": AGG_CHOICES["number"]}
-    x = x.withColumn("out", F.expr(f"""transform(toks, (t, i) -> case when t = 'op' then {_by_type(OP_CHOICES, "last[i]", draw)}
-        when t = 'order' and coalesce(get(toks, i + 1), '') <> 'by' then {_choice_sql(ORDER_CHOICES, draw)} when t = 'agg' then {_by_type(agg, "next[i]", draw)} else t end)"""))
-    return x.where(~F.exists("out", lambda t: t.isNull())).select("seed", "db_id", F.array_join("out", " ").alias("mapped"))
+    # the choices are a generator's input: a filter on them would be pushed down and compute last and next again for every token
+    x = x.select("seed", "db_id", F.explode(F.filter(F.array(F.expr(f"""transform(toks, (t, i) -> case when t = 'op' then {_by_type(OP_CHOICES, "last[i]", draw)}
+        when t = 'order' and coalesce(get(toks, i + 1), '') <> 'by' then {_choice_sql(ORDER_CHOICES, draw)} when t = 'agg' then {_by_type(agg, "next[i]", draw)} else t end)""")), lambda o: ~F.exists(o, lambda t: t.isNull()))).alias("out"))
+    return x.select("seed", "db_id", F.array_join("out", " ").alias("mapped"))

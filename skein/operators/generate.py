@@ -141,14 +141,27 @@ def sample_template_first(seeds: DataFrame, stats: DataFrame, supp: DataFrame, s
 
 
 def assign_columns(draws: DataFrame, typed: DataFrame, salt: str = "g10") -> DataFrame:
-    """Random one-to-one placeholder -> column within type: rank columns by md5(seed || column)."""
-    cols = typed.select("db_id", F.lower(F.concat_ws(".", "table_name", "column_name")).alias("col"),
-                        F.col("slot_type").alias("ctype"), "table_name", "column_name")
-    x = draws.select("seed", "db_id").join(cols, "db_id")
-    r = F.row_number().over(Window.partitionBy("seed", "ctype").orderBy(
-        F.md5(F.concat(F.lit(salt + ":"), F.col("seed").cast("string"), F.lit("|"), F.col("col"))), F.col("col")))
-    x = x.withColumn("slot", F.concat("ctype", F.lit("_col_"), (r - 1).cast("string")))
-    return x.select("seed", "slot", "col", "table_name", "column_name", "ctype")
+    """Random one-to-one placeholder -> column within type: rank columns by md5(seed || column).
+
+    Row-local: a database's columns are metadata, one row of arrays by type; a seed sorts them in its own row. A seed that is
+    drawn several times has each column that often; its draws are of one database.
+    """
+    x = draws.groupBy("seed", "db_id").agg(F.count("*").alias("times")).join(F.broadcast(_columns_by_type(typed)), "db_id")
+    return x.select("seed", F.inline(_assigned("types", salt)))
+
+
+def _columns_by_type(typed: DataFrame) -> DataFrame:
+    """(db_id, types): per database its columns by slot type, one row of metadata."""
+    col = F.struct(F.lower(F.concat_ws(".", "table_name", "column_name")).alias("col"), "table_name", "column_name")
+    per_type = typed.groupBy("db_id", F.col("slot_type").alias("ctype")).agg(F.sort_array(F.collect_list(col)).alias("cols"))
+    return per_type.groupBy("db_id").agg(F.sort_array(F.collect_list(F.struct("ctype", "cols"))).alias("types"))
+
+
+def _assigned(types: str, salt: str):
+    """Array of (slot, col, table_name, column_name, ctype): the columns of each of ``types`` in the seed's order, each ``times`` times."""
+    return F.expr(f"""flatten(transform({types}, t -> transform(
+        sort_array(flatten(transform(t.cols, c -> array_repeat(struct(md5(concat('{salt}:', seed, '|', c.col)) as h, c.col, c.table_name, c.column_name), int(times))))),
+        (e, i) -> struct(concat(t.ctype, '_col_', i) as slot, e.col, e.table_name, e.column_name, t.ctype))))""")
 
 
 def count_literal(seed_col: str = "seed", salt: str = "g12"):
@@ -156,11 +169,18 @@ def count_literal(seed_col: str = "seed", salt: str = "g12"):
     return (F.lit(1) + bucket(salt, seed_col, 9)).cast("string")
 
 
-def map_columns(draws: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(seed, db_id, mapped): the placeholders of a drawn template replaced by the columns assigned to them."""
-    cols = mapping.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("slot", "col"))).alias("cols"))
-    toks = F.transform(F.split("template", " "), lambda t: F.coalesce(F.try_element_at(F.col("cols"), t), t))
-    return draws.join(cols, "seed").select("seed", "db_id", F.array_join(toks, " ").alias("mapped"))
+def map_columns(draws: DataFrame, typed: DataFrame, salt: str = "g10") -> DataFrame:
+    """(seed, db_id, mapped): the placeholders of a drawn template replaced by the columns that ``assign_columns`` gives them.
+
+    In the draw's own row, for the types that its template holds; a draw of a database without columns is lost.
+    """
+    x = draws.withColumn("times", F.count("*").over(Window.partitionBy("seed", "db_id"))).join(F.broadcast(_columns_by_type(typed)), "db_id")
+    x = x.withColumn("toks", F.split("template", " "))
+    x = x.withColumn("held", F.expr("filter(types, t -> exists(toks, w -> startswith(w, concat(t.ctype, '_col_'))))"))
+    cols = F.map_from_entries(F.transform(_assigned("held", salt), lambda e: F.struct(e["slot"], e["col"])))
+    mapped = F.transform(F.array(F.struct("toks", cols.alias("cols"))), lambda z: F.array_join(
+        F.transform(z["toks"], lambda t: F.coalesce(F.try_element_at(z["cols"], t), t)), " "))
+    return x.select("seed", "db_id", F.element_at(mapped, 1).alias("mapped"))
 
 
 def coarse_tokens(df: DataFrame) -> DataFrame:

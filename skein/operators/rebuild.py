@@ -83,7 +83,7 @@ def rebuild_from(qs: DataFrame, key: str, text: str, paths: DataFrame, out: str
     prev = F.coalesce("prev_tok", F.lit(""))
     derived = F.col("sub_open") & (F.coalesce("clause", F.lit("")) == "select") & ~prev.isin("select", "distinct", ",", "(", "+", "-", "/", *tk.AGG_WORDS)
     ts = tt.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "block", F.coalesce("clause", F.lit("")).alias("clause"), derived.alias("derived")))).alias("ts"))
-    x = qs.select(key, "db_id").join(paths, "db_id", "left").withColumn("tables", F.coalesce("tables", F.array().cast("array<string>"))).withColumn("paths", F.coalesce("paths", F.expr(f"cast(map() as map<string,array<{_STEP}>>)"))).join(ts, key, "left")
+    x = qs.select(key, "db_id").join(F.broadcast(paths), "db_id", "left").withColumn("tables", F.coalesce("tables", F.array().cast("array<string>"))).withColumn("paths", F.coalesce("paths", F.expr(f"cast(map() as map<string,array<{_STEP}>>)"))).join(ts, key, "left")
     for name, body in (("blocks", _BLOCKS), ("trees", _TREE), ("offs", _OFFSETS), ("f", _FROM), (out, _TEXT)):
         x = x.withColumn(name, F.expr(body))
     return x.select(key, out)

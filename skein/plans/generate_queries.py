@@ -288,7 +288,7 @@ def _typed(spark, d):
 
 def _mapped(spark, d, draws=None):
     draws = cut_lineage(_draws(spark, d)) if draws is None else draws
-    return gen.map_columns(draws, gen.assign_columns(draws, co.typed_columns(star_catalogs(spark, d))))
+    return gen.map_columns(draws, co.typed_columns(star_catalogs(spark, d)))
 
 
 _G13_SQL = f"""{_LITERALS_SQL},

@@ -54,3 +54,40 @@ def test_log_texts_are_analysed_once(spark, tmp_path, monkeypatch):
     # before: every event's texts
     each = log.groupBy("query_id", "gold", "pred").agg(F.count("*").alias("n")).select("gold", "pred", "n").distinct()
     assert seen == [each.agg(F.sum("n")).first()[0]] and seen[0] < log.count()
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_token_rewrites_compute_their_arrays_once(spark):
+    from skein.operators import align as al
+    from skein.operators import querytext as qt
+
+    toks = spark.createDataFrame([(1, "select t1.a from x as t1 limit 2", "select t1.a from x as t1 limit value")], "i long, a string, b string")
+    toks = toks.select("i", F.split("a", " ").alias("yes"), F.split("b", " ").alias("no"))
+    spans = al.align_values(toks, "no", "yes").where(F.size("vals") > 0)
+    assert [r.vals for r in spans.select("vals").collect()] == [[["2"]]]
+    assert _optimized(spans).count("limit_value") == 1  # before: once more in each filter
+    split = toks.select(qt.split_dotted("yes")["toks"].alias("t"))
+    assert _optimized(split).count("split(replace(") == 1
+    assert split.first().t == ["select", "t1", ".", "a", "from", "x", "as", "t1", "limit", "2"]
+
+
+def test_columns_are_assigned_in_the_row(spark):
+    from skein.operators import content as ct
+    from skein.operators import generate as gen
+
+    typed = spark.createDataFrame([("d", "t", c, k) for c, k in [("a", "text"), ("b", "text"), ("n", "number")]], "db_id string, table_name string, column_name string, slot_type string")
+    draws = spark.createDataFrame([(i, "select text_col_0 where text_col_1 = value and number_col_0 > value", "d") for i in [1, 2, 3, 3]], "seed long, template string, db_id string")
+    slots = gen.assign_columns(draws, typed)
+    assert "Window" not in _optimized(slots)  # before: a row for each seed and column met in a window
+    of = {}
+    for r in slots.collect():
+        of.setdefault(r.seed, {})[r.slot] = r.col
+    assert all(sorted(of[s].values()) == ["t.a", "t.b", "t.n"] for s in (1, 2)) and len(of[3]) == 6
+    mapped = gen.map_columns(draws, typed)
+    want = sorted((s, " ".join(of[s].get(t, t) for t in r.template.split(" "))) for r in draws.collect() for s in [r.seed])
+    assert sorted((r.seed, r.mapped) for r in mapped.collect()) == want
+    chosen = ct.detemplatize(gen.coarse_tokens(mapped), typed)
+    assert chosen.count() == 4 and _optimized(chosen).count("reverse(aggregate(") == 1  # before: again in a filter
