@@ -94,16 +94,14 @@ def _engine(contents, docs, places):
     for seq, doc in zip(sequences, docs.tolist(), strict=True):
         shard.add(seq, doc)
     shard.close()
-    found = []
-    for seq in sequences:
-        runs: list[tuple[int, int, int, int]] = []
+    runs: list[tuple[int, int, int, int, int]] = []
+    for n, seq in enumerate(sequences):
         for i, doc in enumerate(shard.first_labels(seq, WINDOW)):
-            if runs and runs[-1][2] == doc:
-                runs[-1] = (runs[-1][0], i, doc, 0)
+            if i and runs[-1][3] == doc:
+                runs[-1] = (n, runs[-1][1], i, doc, 0)
             else:
-                runs.append((i, i, doc, 0))
-        found.append(runs)
-    return found
+                runs.append((n, i, i, doc, 0))
+    return tuple(np.array(runs, np.int64).reshape(-1, 5).T)
 
 
 CONFIG = Repeats(unit="word", window=WINDOW, gram=4, within=False, block=60_000, engine=_engine)

@@ -32,9 +32,13 @@ from pyspark.sql import functions as F
 from skein.llm import textnum as T
 from skein.llm.common import small_batches
 
-#: An engine gets distinct contents of whole keys with the first place of each, and yields for content i the runs
-#: (first window, last window, doc_id, place of the window that opens the run) of first places.
-Engine = Callable[[list[bytes], np.ndarray, np.ndarray], list[list[tuple[int, int, int, int]]]]
+#: An engine gets distinct contents of whole keys with the first place of each, and returns the runs of first places
+#: as arrays (content, first window, last window, doc_id, place of the window that opens the run), content ascending.
+Engine = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
+
+
+#: Range splitters go to every task; more tasks than this share a range.
+SPLITS = 256
 
 
 @dataclass(frozen=True)
@@ -43,7 +47,7 @@ class Repeats:
 
     unit: 'word' or 'byte'; window: symbols of a window; gram: symbols of a minimiser gram;
     within: whether an earlier place of the same document counts; block: symbols given to the engine at once;
-    ranged: deal keys out by sampled range splitters instead of by hash.
+    ranged: deal keys out by range splitters, quantiles of the wanted keys, instead of by hash.
     Keys with more than ``limit`` segments are not given to the engine.
     """
 
@@ -83,8 +87,8 @@ def _content_ids(cfg: Repeats, d, a, b, spans):
 
 
 def _places(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row for each segment of each document: key, content id, document, first window,
-    and twice the windows after it, plus one where a window may stand twice in it."""
+    """One row for each segment of each document: key, content id, document, and as one number the first window (low
+    32 bits) and twice the windows after it, plus one where a window may stand twice in it (high bits)."""
     def run(batches):
         for batch in batches:
             data, offs = T.unpack(batch.column("z"))
@@ -97,17 +101,22 @@ def _places(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 a, b, key, row, loop = a[ok], b[ok], key[ok], row[ok], loop[ok]
                 if len(a):
                     cid = _content_ids(cfg, d, a, b, spans)[2]
-                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(T.signed(cid)), pa.array(rid[i:j][row]), pa.array(doc[i:j][row]), pa.array((a - own[row]).astype(np.int32)), pa.array((2 * (b - a) + loop).astype(np.int32))], ["key", "cid", "rid", "doc_id", "place", "span"])
+                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(T.signed(cid)), pa.array(rid[i:j][row]), pa.array(doc[i:j][row]), pa.array((2 * (b - a) + loop) << 32 | (a - own[row]))], ["key", "cid", "rid", "doc_id", "run"])
     return run
 
 
 def _contents(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Segments with the given keys: one row for each content of a chunk, with its first place.
+    """Segments with the given keys: one row for each content of a chunk, with its first place and how often it stands there.
 
-    salt: 0, but under hot keys a number of the content.
+    salt: 0, but under hot keys a number of the content. part: place among the ``splits`` (high bits, under hot keys any
+    that follows from the salt) and a hash to deal out the rows of one range.
     """
     def run(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            if cfg.ranged:
+                parts = np.asarray(batch.column("splits")[0].values)
             data, offs = T.unpack(batch.column("z"))
             doc = np.asarray(batch.column("doc_id"))
             (koff, kval), (hoff, hval) = ((np.asarray(c.offsets), np.asarray(c.values).view(T.U)) for c in (batch.column("keys"), batch.column("hot_keys")))
@@ -128,12 +137,20 @@ def _contents(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 new = np.ones(len(k), bool)
                 new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
                 pick = order[new]
+                times = np.diff(np.append(np.flatnonzero(new), len(k)))
                 salt = np.where(np.isin(key[pick], hval[hoff[i]:hoff[j]]), cid[pick] | T.U(1), T.U(0))
                 raw = d.tobytes()
                 cut = [raw[x:y] for x, y in zip(lo[pick].tolist(), hi[pick].tolist(), strict=True)]
                 if spans is not None:
                     cut = [b" ".join(x.split()) for x in cut]
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(key[pick])), pa.array(T.signed(salt)), pa.array(T.signed(cid[pick])), pa.array(ids[pick]), pa.array(place[pick]), pa.array(cut, pa.binary())], ["key", "salt", "cid", "doc_id", "place", "content"])
+                columns = [pa.array(T.signed(key[pick])), pa.array(T.signed(salt)), pa.array(T.signed(cid[pick])), pa.array(ids[pick]), pa.array(place[pick]), pa.array(times), pa.array(cut, pa.binary())]
+                names = ["key", "salt", "cid", "doc_id", "place", "times", "content"]
+                if cfg.ranged:
+                    # past the splitters' own number, a range's keys are dealt on by hash; hot keys go by content
+                    number = np.where(salt == 0, np.searchsorted(parts, T.signed(key[pick])), (salt >> T.U(32)) % T.U(len(parts) + 1)).astype(np.int64)
+                    columns.append(pa.array(number << 32 | (np.where(salt == 0, key[pick], salt) >> T.U(8) & T.U(0x7FFFFFFF)).astype(np.int64)))
+                    names.append("part")
+                yield pa.RecordBatch.from_arrays(columns, names)
     return run
 
 
@@ -141,31 +158,50 @@ _RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("doc", pa.int
 
 
 def _first_places(cfg: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by (key, cid, doc_id, place): merge equal contents, give blocks of whole keys to the engine."""
-    def run(batches):
-        keys, cids, docs, places, texts, load = [], [], [], [], [], 0
+    """Rows sorted by (key, cid, doc_id, place): merge equal contents, give blocks of whole keys to the engine.
 
-        def flush():
-            found = cfg.engine(texts, np.array(docs, np.int64), np.array(places, np.int64))
-            own = [[dict(zip("ab", r[:2], strict=True), doc=r[2], at=r[3]) for r in x] for x in found]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cids, pa.int64()), pa.array(own, _RUNS)], ["key", "cid", "runs"])
+    A run that a content opens itself says nothing where that content stands nowhere else, and is left out.
+    """
+    def sizes(rows):
+        text = rows.column("content")
+        return np.asarray(pc.binary_length(text) if cfg.unit == "byte" else pc.count_substring(text, " "), np.int64) + (cfg.unit == "word")
+
+    def answer(rows):
+        key, cid = np.asarray(rows.column("key")), np.asarray(rows.column("cid"))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])
+        f = np.flatnonzero(new)
+        times = np.add.reduceat(np.asarray(rows.column("times")), f)
+        docs, places = np.asarray(rows.column("doc_id"))[f], np.asarray(rows.column("place"))[f]
+        own, a, b, doc, at = cfg.engine(rows.column("content").take(pa.array(f)).to_pylist(), docs, places)
+        use = (times[own] > 1) | (doc < docs[own]) | (at < places[own] + a if cfg.within else False)
+        own, a, b, doc, at = own[use], a[use], b[use], doc[use], at[use]
+        if not len(own):
+            return
+        runs = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(doc), pa.array(at)], fields=list(_RUNS.value_type))
+        head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(own)).astype(np.int32)), runs)
+        yield pa.RecordBatch.from_arrays([pa.array(key[f][own[head]]), pa.array(cid[f][own[head]]), lists], ["key", "cid", "runs"])
 
+    def run(batches):
+        held, load = [], 0
         for batch in batches:
             batch = batch.filter(pc.equal(batch.column("salt"), 0))
-            for k, c, d, p, t in zip(*(batch.column(x).to_pylist() for x in ("key", "cid", "doc_id", "place", "content")), strict=True):
-                if keys and k == keys[-1] and c == cids[-1]:
-                    continue
-                if load > cfg.block and k != keys[-1]:
-                    yield flush()
-                    keys, cids, docs, places, texts, load = [], [], [], [], [], 0
-                keys.append(k)
-                cids.append(c)
-                docs.append(d)
-                places.append(p)
-                texts.append(t)
-                load += len(t) if cfg.unit == "byte" else t.count(b" ") + 1
-        if keys:
-            yield flush()
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            load += sizes(batch).sum()
+            if load <= cfg.block:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key, upto, done = np.asarray(rows.column("key")), np.append(0, np.cumsum(sizes(rows))), 0
+            for i in (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist():
+                if upto[i] - upto[done] > cfg.block:
+                    yield from answer(rows.slice(done, i - done))
+                    done = i
+            held, load = [rows.slice(done)], upto[-1] - upto[done]
+        if held:
+            yield from answer(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
     return run
 
 
@@ -225,23 +261,32 @@ def removed_ranges(rows: DataFrame, bodies: DataFrame, cfg: Repeats) -> DataFram
     # that joins would add stand below the exchanges already, and every use of ``seen`` needs all its columns (see
     # the filter), so that none is pruned from one exchange and not another.
     live = bodies.join(copies.select("rid", "copy"), "rid", "left").where("copy is null")
-    seen = live.select("rid", "doc_id", "z").mapInArrow(_places(cfg), "key long, cid long, rid long, doc_id long, place int, span int").where("key is not null").repartition("key")
+    seen = live.select("rid", "doc_id", "z").mapInArrow(_places(cfg), "key long, cid long, rid long, doc_id long, run long").where("key is not null").repartition("key")
+    seen = seen.select("key", "cid", "rid", "doc_id", "run", F.col("run").bitwiseAND(0xFFFFFFFF).alias("place"), F.shiftright("run", 32).alias("span"))
     w = Window.partitionBy("key")
     again = (F.col("n") > 1) | (F.col("span") % 2 == 1) if cfg.within else F.col("hi_doc") > F.col("lo_doc")
     several = (F.col("lo") != F.col("hi")) | (F.col("span") % 2 == 1 if cfg.within else F.lit(False))
     seen = seen.select("*", F.min("cid").over(w).alias("lo"), F.max("cid").over(w).alias("hi"), F.count("*").over(w).alias("n"), F.min("doc_id").over(w).alias("lo_doc"), F.max("doc_id").over(w).alias("hi_doc"), F.min(F.struct("doc_id", "place")).over(w).alias("f"))
-    seen = seen.where(again & F.col("rid").isNotNull() & (F.col("place") >= 0) & (F.col("span") >= 0) & F.col("lo_doc").isNotNull() & F.col("cid").isNotNull())
+    seen = seen.where(again & F.col("rid").isNotNull() & (F.col("run") >= 0) & F.col("lo_doc").isNotNull() & F.col("cid").isNotNull())
 
     # One content under a key: its first place answers for all its windows.
     before = (F.col("f.doc_id") < F.col("doc_id")) | ((F.col("f.doc_id") == F.col("doc_id")) & (F.col("f.place") < F.col("place")) if cfg.within else F.lit(False))
-    whole = lambda a, b: F.array(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")))
-    plain = seen.where(~several & before).select("rid", "doc_id", whole(F.col("place"), F.col("place") + F.floor(F.col("span") / 2)).alias("own"))
+    plain = seen.where(~several & before).select("rid", "doc_id", F.col("place").alias("a"), (F.col("place") + F.shiftright("span", 1)).alias("b"))
 
     # Several contents: they meet in one place and an engine compares their windows, or each window meets its equals.
     mixed = seen.where(several).select("key", "cid", "rid", "doc_id", F.col("place").cast("long").alias("place"), (F.col("n") > cfg.limit).alias("hot"))
     wanted = mixed.groupBy("rid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
-    contents = bodies.join(wanted, "rid").select("rid", "doc_id", "z", "keys", "hot_keys").mapInArrow(_contents(cfg), "key long, salt long, cid long, doc_id long, place long, content binary")
-    dealt = (contents.repartitionByRange("key", "salt") if cfg.ranged else contents.repartition("key", "salt")).sortWithinPartitions("key", "salt", "cid", "doc_id", "place")
+    named, kind = ["rid", "doc_id", "z", "keys", "hot_keys"], "key long, salt long, cid long, doc_id long, place long, times long, content binary"
+    at = bodies.join(wanted, "rid")
+    if cfg.ranged:
+        # Quantiles of the wanted keys: a range shuffle would draw its sample by cutting the contents out one time more.
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        ranges, each = min(n, SPLITS), -(-n // SPLITS)
+        keys = wanted.select(F.explode(F.concat("keys", "hot_keys")).alias("key"))
+        splits = keys.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], 10_000).alias("splits"))
+        at, named, kind = at.crossJoin(F.broadcast(splits)), [*named, "splits"], kind + ", part long"
+    contents = at.select(*named).mapInArrow(_contents(cfg), kind)
+    dealt = (contents.repartitionById((ranges + 1) * each, (F.shiftright("part", 32) * each + F.col("part").bitwiseAND(0x7FFFFFFF) % each).cast("int")) if cfg.ranged else contents.repartition("key", "salt")).sortWithinPartitions("key", "salt", "cid", "doc_id", "place")
     runs = dealt.mapInArrow(_first_places(cfg), "key long, cid long, runs array<struct<a:int,b:int,doc:long,at:long>>")
     windows = dealt.mapInArrow(_windows(cfg), "key long, cid long, hash long, off int, doc_id long, at long")
     firsts = windows.groupBy("key", "hash").agg(F.min(F.struct("doc_id", "at")).alias("f"))
@@ -249,8 +294,9 @@ def removed_ranges(rows: DataFrame, bodies: DataFrame, cfg: Repeats) -> DataFram
     both = F.xxhash64("key", "hash").alias("both")
     runs = runs.unionByName(windows.select("*", both).join(firsts.select("*", both), ["both", "key", "hash"]).groupBy("key", "cid").agg(F.collect_list(F.struct(F.col("off").alias("a"), F.col("off").alias("b"), F.col("f.doc_id").alias("doc"), F.col("f.at").alias("at"))).alias("runs")))
     earlier = lambda r: (r.doc < F.col("doc_id")) | ((r.doc == F.col("doc_id")) & (r["at"] < F.col("place") + r["a"]) if cfg.within else F.lit(False))
-    hits = mixed.join(runs, ["key", "cid"]).select("rid", "doc_id", F.transform(F.filter("runs", earlier), lambda r: F.struct((F.col("place") + r["a"]).alias("a"), (F.col("place") + r["b"]).alias("b"))).alias("own")).where(F.size("own") > 0)
-    ranges = plain.unionByName(hits).groupBy("rid", "doc_id").agg(F.flatten(F.collect_list("own")).alias("ranges"))
+    hits = mixed.join(runs, ["key", "cid"]).select("rid", "doc_id", "place", F.explode(F.filter("runs", earlier)).alias("r")).select("rid", "doc_id", (F.col("place") + F.col("r.a")).alias("a"), (F.col("place") + F.col("r.b")).alias("b"))
+    # flat rows are shuffled, and gathered behind the shuffle: a list of one or two ranges takes more room than they do
+    ranges = plain.unionByName(hits).repartition("rid").groupBy("rid", "doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     return ranges.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("ranges", F.lit(None).cast("array<struct<a:long,b:long>>"))).select("rid", "doc_id", "copy", "ranges")
 
 

@@ -1,8 +1,9 @@
 """Byte-level substring dedup by sorting suffixes.
 
 Suffixes that begin a repeated 100-byte window are dealt out by their leading token (the minimiser gram, see
-``repeats``) through sampled range splitters, so equal leading tokens never straddle a border and the comparison
-across borders of buckets is between different tokens. Inside a bucket the window suffixes are sorted by multikey
+``repeats``) through range splitters from a quantile sketch, so equal leading tokens never straddle a border and the
+comparison across borders of buckets is between different tokens. The gram has 32 bytes: shorter ones meet by chance
+in unlike places, the more often the more text there is. Inside a bucket the window suffixes are sorted by multikey
 quicksort with 8-byte characters: each round orders only the suffixes still tied on all characters before, and
 neighbours still tied after the last character are equal windows.
 """
@@ -35,7 +36,11 @@ def multikey_classes(eight: np.ndarray, at: np.ndarray, window: int) -> np.ndarr
         if not len(tied):
             break
         c, g = eight[at[tied] + k], cls[tied]
-        order = np.lexsort((c, g))
+        order = np.argsort(c)
+        if k:  # characters by rank, so that class and character are one number
+            rank = np.empty(len(c), np.int64)
+            rank[order] = np.cumsum(np.append(False, c[order][1:] != c[order][:-1]))
+            order = np.argsort(g * len(c) + rank)
         c, g = c[order], g[order]
         new = np.ones(len(c), bool)
         new[1:] = (c[1:] != c[:-1]) | (g[1:] != g[:-1])
@@ -59,24 +64,21 @@ def _engine(contents, docs, places):
     off = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
     cls = multikey_classes(eight, begin[own] + off, WINDOW)
     doc, at = docs[own], places[own] + off
-    order = np.lexsort((at, doc, cls))
+    first = np.arange(len(own))
+    often = np.flatnonzero(np.bincount(cls)[cls] > 1)
+    order = often[np.lexsort((at[often], doc[often], cls[often]))]
     new = np.ones(len(order), bool)
     new[1:] = cls[order][1:] != cls[order][:-1]
-    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    first = np.empty(len(order), np.int64)
-    first[order] = head
+    first[order] = order[new][np.cumsum(new) - 1]
     fdoc, fat = doc[first], at[first]
     cut = np.ones(len(own), bool)
     cut[1:] = (own[1:] != own[:-1]) | (fdoc[1:] != fdoc[:-1]) | (fat[1:] != fat[:-1] + 1)
     f = np.flatnonzero(cut)
     last = np.append(f[1:], len(own)) - 1
-    found: list[list] = [[] for _ in contents]
-    for i, a, b, d, p in zip(own[f].tolist(), off[f].tolist(), off[last].tolist(), fdoc[f].tolist(), fat[f].tolist(), strict=True):
-        found[i].append((a, b, d, p))
-    return found
+    return own[f], off[f], off[last], fdoc[f], fat[f]
 
 
-CONFIG = Repeats(unit="byte", window=WINDOW, gram=16, within=True, block=1_000_000, engine=_engine, ranged=True)
+CONFIG = Repeats(unit="byte", window=WINDOW, gram=32, within=True, block=1_000_000, engine=_engine, ranged=True)
 
 
 def _strip(batches):

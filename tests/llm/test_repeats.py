@@ -74,6 +74,22 @@ def test_all_keys_hot(spark, monkeypatch, seed):
         assert run(spark, docs) == want(docs)
 
 
+def test_short_phrases_bring_no_contents(spark, monkeypatch):
+    """Before: every place of a phrase of 16 bytes was cut out, more of them the more text there is."""
+    rnd = random.Random(5)
+    noise = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150))
+    docs = [(d, f"{noise()} in the same phrase {noise()}") for d in range(200)]
+    monkeypatch.setattr(suffixes, "CONFIG", replace(suffixes.CONFIG, engine=guarded(suffixes.CONFIG.engine, 0)))
+    assert all(r[1] == 0 for r in bytes_(spark, docs).values())
+
+
+def test_engine_runs():
+    import numpy as np
+    a, b = b"x" * 20 + bytes(range(120)), bytes(range(120)) + b"y" * 30
+    found = suffixes._engine([a, b], np.array([4, 2]), np.array([0, 7]))
+    assert [list(map(int, r)) for r in zip(*found)] == [[0, 0, 19, 4, 0], [0, 20, 40, 2, 7], [1, 0, 50, 2, 7]]
+
+
 def test_odd_tables(spark):
     docs = [(None, "a " * 40), (None, None), (7, "b " * 40), (7, "b " * 40), (8, "b " * 40)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("rid", "key", "copy", "ranges")})
