@@ -10,7 +10,7 @@ from skein.operators import tokens as tk
 from skein.plans.catalog_queries import CAT_SQL
 from skein.plans.querylog import conversation_queries, query_log, query_log_sql, with_ql
 from skein.plans.registry import register
-from skein.session import by_key, Tables
+from skein.session import by_key, stored, Tables
 from skein.sources.catalog import star_catalog
 
 KEYS = ["query_id", "side"]
@@ -98,13 +98,14 @@ def _per_text(spark, d, analyse):
     """The rows that ``analyse`` makes of the log's different (gold, pred) texts, given to every query that has the texts.
 
     ``analyse`` takes (query_id, gold, pred) and returns rows with ``query_id``. Every text is analysed, in partitions of
-    bounded size (see ``score.analyse``); the log itself only meets the results. An id of several events goes in as
+    bounded size (see ``score.analyse``); the log itself only meets the results. The texts are stored once: the log is
+    not made again for each use of them, and where they are few they are broadcast and the log's texts stay unshuffled. An id of several events goes in as
     often as it stands, so that its tokens meet each other, and its rows come back once.
     """
     ids = Tables(spark, d).events.groupBy("event_id").agg(F.count("*").alias("n_rows"))
     log = query_log(spark, ids, keep=["n_rows"])
     text = ["gold", "pred", "n_rows"]
-    texts = log.groupBy(*text).agg(F.min("query_id").alias("text_id"))
+    texts = stored(log.groupBy(*text).agg(F.min("query_id").alias("text_id")))
     rows = texts.select(F.col("text_id").alias("query_id"), "gold", "pred", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")).alias("copy")).drop("copy")
     found = analyse(rows)
     x = log.join(texts, text).select("query_id", "text_id").join(found.withColumnRenamed("query_id", "text_id"), "text_id")

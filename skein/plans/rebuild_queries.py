@@ -11,7 +11,7 @@ from skein.operators import score as sc
 from skein.plans.catalog_queries import CAT_SQL
 from skein.plans.querylog import query_log
 from skein.plans.registry import register
-from skein.session import Tables, by_key, cut_lineage
+from skein.session import Tables, by_key, cut_lineage, stored
 from skein.sources.catalog import star_catalog
 
 KEYS = ["query_id", "side"]
@@ -110,7 +110,7 @@ def roundtrip(spark, d):
     """(query_id, gold, no_from, rebuilt) of the query log; each different gold text goes through once."""
     cat = star_catalog(spark, d)
     log = query_log(spark, Tables(spark, d).events)
-    texts = log.groupBy("gold").agg(F.min("query_id").alias("query_id"))
+    texts = stored(log.groupBy("gold").agg(F.min("query_id").alias("query_id")))
     ut, _ = sc.query_tokens(texts, "query_id", cat.columns, sides=("gold",))
     nf = gen.no_from_tokens(ut, KEYS).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ntok"))).alias("ts"))
     nf = cut_lineage(nf.select("query_id", F.lit("star").alias("db_id"), F.array_join(F.transform("ts", lambda s: s["ntok"]), " ").alias("no_from")))
@@ -123,5 +123,6 @@ def d37(spark, d):
     """A log query is valid when its rebuilt form scores an exact match (E16) against it. The SQL states the audit's outcome: every query of the log survives."""
     once, log = roundtrip(spark, d)
     per, _ = sc.score_pairs(once.select("query_id", "gold", F.col("rebuilt").alias("pred")), "query_id", star_catalog(spark, d).columns)
-    flags = once.select("query_id", "gold").join(per.select("query_id", "exact"), "query_id", "left").select("gold", F.coalesce("exact", F.lit(0)).alias("exact"))
+    # stored, so that few texts are broadcast and the log is not shuffled
+    flags = stored(once.select("query_id", "gold").join(per.select("query_id", "exact"), "query_id", "left").select("gold", F.coalesce("exact", F.lit(0)).alias("exact")))
     return log.join(flags, "gold").select("query_id", "exact", (F.col("exact") == 1).alias("valid"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +82,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Lineage cut as Parquet in the shared checkpoint folder: compressed, and of known size, so that the planner
+    broadcasts a small result."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{checkpoint_dir(spark)}/skein-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def by_key(df: DataFrame, *cols: str, rows_per_part: int | None = None) -> DataFrame:
     """Hash-partition by ``cols`` into the session's shuffle-partition count.
 

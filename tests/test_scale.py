@@ -91,3 +91,27 @@ def test_columns_are_assigned_in_the_row(spark):
     assert sorted((r.seed, r.mapped) for r in mapped.collect()) == want
     chosen = ct.detemplatize(gen.coarse_tokens(mapped), typed)
     assert chosen.count() == 4 and _optimized(chosen).count("reverse(aggregate(") == 1  # before: again in a filter
+
+
+def test_the_log_is_made_once_for_its_results(spark, tmp_path):
+    from skein.plans import querylog_queries as qq
+    from skein.plans.querylog import query_log
+
+    spark.createDataFrame([(i,) for i in range(300)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = qq._per_text(spark, str(tmp_path), lambda rows: rows.select("query_id", "gold"))
+    log = query_log(spark, spark.read.parquet(f"{tmp_path}/events.parquet"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, log.select("query_id", "gold").collect()))
+    assert _optimized(got).count("Relation [event_id#") == 1  # before: once more for each use of its texts
+    assert "BroadcastHashJoin [gold#" in got._jdf.queryExecution().executedPlan().toString()  # before: the log's texts were shuffled
+
+
+def test_spans_without_a_value_are_dropped_where_they_are_made(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"said furniture{'x' * (i % 3)} and w{i} frniture, FURNITURE") for i in range(60)] + [(7, "urgent"), (None, "1-urgent 1-urgen 1-urgentt")], "doc_id long, text string")
+    pl = spark.createDataFrame([("t", "a", "Furniture"), ("t", "a", "1-URGENT"), ("u", "b", "furniture store"), ("u", "b", "1-urgent")], "table_name string, column_name string, value string")
+    sp = lk.spans(docs, "doc_id", "text", 2)
+    seen, among = [], lk._maybe_among
+    monkeypatch.setattr(lk, "_maybe_among", lambda df, *a: df)
+    want = [sorted(map(tuple, f(sp, pl, "doc_id").collect()), key=str) for f in (lk.link_exact, lk.link_fuzzy)]
+    monkeypatch.setattr(lk, "_maybe_among", lambda df, *a: (lambda x: (seen.append((df.count(), x.count())), x)[1])(among(df, *a)))
+    assert [sorted(map(tuple, f(sp, pl, "doc_id").collect()), key=str) for f in (lk.link_exact, lk.link_fuzzy)] == want
+    assert all(len(w) > 50 for w in want) and all(b * 2 < a for a, b in seen)
