@@ -4,7 +4,8 @@
 * K2 spans: word n-grams aligned at separator characters
 * K3 exact links: equi-join of spans with lower-cased values
 * K4 fuzzy links: candidates share a one-deletion key (so only pairs within
-  indel distance 2 ever meet -- no pairwise comparison inside a block), then
+  indel distance 2 ever meet -- no pairwise comparison inside a block; keys of
+  no value are dropped by a bitmap before they are shuffled), then
   the indel ratio 1 - d/(len_a + len_b) and the first-letter rule decide
 * K5 filters, K6 best k values per (question, column)
 
@@ -81,11 +82,14 @@ def span_counts(df: DataFrame, id_col: str, text_col: str, max_n: int) -> DataFr
 
 def spans(df: DataFrame, id_col: str, text_col: str, max_n: int) -> DataFrame:
     """K2: (id, start, n, span) word n-grams (n <= max_n) of the lower-cased text, split at separators."""
-    x = df.select(id_col, _words(text_col).alias("w"))
-    x = x.select(id_col, "w", F.posexplode("w").alias("start", "_"))
-    x = x.select(id_col, "w", "start", F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
-    x = x.filter(F.col("start") + F.col("n") <= F.size("w"))
-    return x.select(id_col, "start", "n", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("span"))
+    # cut inside the row: exploded words would each carry the whole text's words along
+    def of(w):
+        at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_n), F.size(w) - i)),
+                                   lambda n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("span")))
+        return F.when(F.size(w) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), at)))
+    # the words are a lambda's variable, so that they are computed once
+    x = df.select(id_col, F.explode(F.flatten(F.transform(F.array(_words(text_col)), lambda w: F.coalesce(of(w), F.expr("cast(array() as array<struct<start:int,n:int,span:string>>)"))))).alias("s"))
+    return x.select(id_col, "s.*")
 
 
 def _clean_values(pl: DataFrame) -> DataFrame:
@@ -107,10 +111,27 @@ def max_value_words(pl: DataFrame) -> int:
     return int(n or 1)
 
 
+#: Bits of the filter below, at most 8 MB of broadcast rows.
+FILTER_BITS = 1 << 26
+
+
+def _maybe_among(df: DataFrame, col: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``col`` may be among ``keys``: none that is gets lost, few others stay.
+
+    The keys' hashes are bits of broadcast bitmaps, 4 KB each, so rows are dropped where they are made and not shuffled.
+    """
+    h = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = keys.select(h(key).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    x = df.withColumn("_h", h(col)).withColumn("_bucket", F.bitmap_bucket_number("_h")).join(F.broadcast(bits), "_bucket")
+    at = F.bitmap_bit_position("_h").cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return x.where(F.call_function("shiftright", byte, at.bitwiseAND(7)).bitwiseAND(1) == 1).drop("_h", "_bucket", "_bits")
+
+
 def link_exact(sp: DataFrame, pl: DataFrame, id_col: str) -> DataFrame:
     """K3 + K5: values equal to a span (score 1); numbers, ``id`` and stop words dropped."""
     vals = _clean_values(pl).select("table_name", "column_name", "value", "v")
-    x = sp.filter(~F.col("span").isin(*STOPWORDS)).join(vals, F.col("span") == F.col("v"))
+    x = _maybe_among(sp.filter(~F.col("span").isin(*STOPWORDS)), "span", vals, "v").join(vals, F.col("span") == F.col("v"))
     return x.select(id_col, "table_name", "column_name", "value", "span", F.lit(1.0).alias("score"),
                     F.length("span").alias("match_len"))
 
@@ -130,9 +151,13 @@ def link_fuzzy(sp: DataFrame, pl: DataFrame, id_col: str, theta: float = 0.85) -
     lo_hi = vals.agg(F.min(F.length("v")), F.max(F.length("v"))).first()
     lo, hi = (lo_hi[0] or 0) - 1, (lo_hi[1] or 0) + 1
     s = sp.filter((F.length("span") >= lo) & (F.length("span") <= hi) & ~F.col("span").isin(*STOPWORDS))
-    s = s.select(id_col, "start", "n", "span", F.explode(_deletions(F.col("span"))).alias("k")).distinct()
-    v = vals.select("table_name", "column_name", "value", "v", F.explode(_deletions(F.col("v"))).alias("k")).distinct()
-    c = s.join(v, "k").drop("k").distinct()
+    # the first letter must agree (see below) and the lengths differ by one at most: few spans come so far
+    letter = lambda c: F.substring(F.ltrim(c), 1, 1)
+    shapes = vals.select(letter(F.col("v")).alias("a"), F.explode(F.array(*[F.length("v") + d for d in (-1, 0, 1)])).alias("l")).distinct()
+    s = s.join(F.broadcast(shapes), (letter(F.col("span")) == F.col("a")) & (F.length("span") == F.col("l")), "left_semi")
+    s = s.select(id_col, "start", "n", "span", F.explode(_deletions(F.col("span"))).alias("k"))
+    v = vals.select("table_name", "column_name", "value", "v", F.explode(_deletions(F.col("v"))).alias("k"))
+    c = _maybe_among(s, "k", v, "k").distinct().join(v, "k").drop("k").distinct()
     ls, lv = F.length("span"), F.length("v")
     indel = F.when(F.col("span") == F.col("v"), 0).when(F.abs(ls - lv) == 1, 1).otherwise(2)
     c = c.withColumn("score", F.lit(1.0) - indel / (ls + lv))
