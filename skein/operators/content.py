@@ -6,6 +6,8 @@ column's N: a draw of k in [0, N) picks the literal whose interval holds k, so d
 
 * Numbering without one task: literals are dealt to 256 chunks by hash; the chunk totals (256 rows a column) give each
   chunk's offset, a window inside a chunk the rest.
+* Counting without text: whole numbers, and fractions by their whole part, are counted as longs and written out once
+  for each different one.
 * Drawing by an equi-join: a column's numbers are cut into cells of N / (different literals), so a cell holds about one
   literal, and a literal that fills a third of the column spans a third of its cells. Neither a hot literal nor a
   long column meets in one task.
@@ -19,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skein.functions.hashing import bucket
+from skein.session import stored
 
 NUMERIC_AGGS = ("max", "min", "avg", "sum")
 
@@ -30,15 +33,37 @@ def literal_text(col: Column, dt: T.DataType) -> Column:
     return F.split_part(col.cast("string"), F.lit("."), F.lit(1))
 
 
+def _literal_key(col: Column, dt: T.DataType) -> tuple[Column, Column]:
+    """(whole, text) that stand for a value's literal: the long of which the literal is the text, or else the literal."""
+    if isinstance(dt, T.IntegralType):
+        return col.cast("long"), F.lit(None).cast("string")
+    text = literal_text(col, dt)
+    if not isinstance(dt, (T.FloatType, T.DoubleType)):
+        return F.lit(None).cast("long"), text
+    x = col.cast("double")
+    # the whole part is cut off where rounding to six places can't carry into it; -0 and large numbers keep their text
+    plain = ((x >= 0) | (x <= -1)) & (F.abs(x) < 1e8) & (F.abs(x) - F.floor(F.abs(x)) < 0.999999)
+    number = text.try_cast("long")
+    same = F.coalesce(number.cast("string") == text, F.lit(False))
+    return F.when(plain, x.cast("long")).when(same, number), F.when(plain, F.lit(None)).when(same, F.lit(None)).otherwise(text)
+
+
 def literals(tables: dict[str, DataFrame]) -> DataFrame:
-    """(col, literal, n) of every column of every table; counted per table, so repeats combine before the shuffle."""
-    out = None
+    """(col, literal, n) of every column of every table; counted where a column is read, so repeats combine before the shuffle.
+
+    Each column is read on its own: a row's cells as one array of texts cost many times as much.
+    """
+    names, cells = [], None
     for name, df in tables.items():
-        one = df.select(F.explode(F.array(*[F.struct(F.lit(f"{name}.{f.name}".lower()).alias("col"), literal_text(F.col(f.name), f.dataType).alias("literal"))
-                                            for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)])).alias("x"))
-        part = one.select("x.*").where("literal is not null and literal <> ''").groupBy("col", "literal").agg(F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        for f in df.schema.fields:
+            if isinstance(f.dataType, T.AtomicType):
+                whole, text = _literal_key(F.col(f.name), f.dataType)
+                one = df.select(F.lit(len(names)).alias("i"), whole.alias("whole"), text.alias("text"))
+                cells = one if cells is None else cells.unionAll(one)
+                names.append(f"{name}.{f.name}".lower())
+    # null and empty literals count for nothing; a filter on them would be pushed down and compute the texts again
+    counts = cells.groupBy("i", "whole", "text").agg(F.count(F.when(F.col("whole").isNotNull() | (F.col("text") != ""), 1)).alias("n")).where("n > 0")
+    return counts.select(F.get(F.array(*[F.lit(n) for n in names]), F.col("i")).alias("col"), F.coalesce(F.col("whole").cast("string"), "text").alias("literal"), "n")
 
 
 def content_index(lits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,10 +71,11 @@ def content_index(lits: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = lits.withColumn("chunk", F.substring(F.md5("literal"), 1, 2))
     chunks = x.groupBy("col", "chunk").agg(F.sum("n").alias("t"), F.count("*").alias("k"))
     w = Window.partitionBy("col").orderBy("chunk")
-    chunks = chunks.withColumn("base", F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # 256 rows a column, read three times
+    chunks = stored(chunks.withColumn("base", F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     sizes = chunks.groupBy("col").agg(F.sum("t").alias("total"), F.greatest(F.lit(1), F.floor(F.sum("t") / F.sum("k"))).cast("long").alias("width"))
     inside = Window.partitionBy("col", "chunk").orderBy("literal").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("upto", F.sum("n").over(inside)).join(chunks.select("col", "chunk", "base"), ["col", "chunk"]).join(sizes, "col")
+    x = x.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(chunks.join(sizes, "col").select("col", "chunk", "base", "width")), ["col", "chunk"])
     x = x.select("col", "literal", (F.col("base") + F.col("upto") - F.col("n")).alias("lo"), (F.col("base") + F.col("upto")).alias("hi"), "width")
     cells = F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width")))
     return x.select("col", "literal", "lo", "hi", F.explode(cells).alias("cell")), sizes

@@ -15,7 +15,7 @@ from skein.plans.dialog_queries import turns
 from skein.plans.querylog import conversation_queries, conversation_queries_sql, query_log, query_log_sql
 from skein.plans.querylog_queries import _SQL_TOKS, _SQL_TT
 from skein.plans.registry import register
-from skein.session import Tables, by_key, cut_lineage
+from skein.session import Tables, by_key, cut_lineage, stored
 from skein.sources.catalog import STAR_TABLE_ORDER, star_catalog, star_catalogs
 
 KEYS = ["query_id", "side"]
@@ -246,10 +246,9 @@ def g09(spark, d):
 
 
 def _content(spark, d):
-    """Index over the content of every column of the star tables."""
+    """Index over the content of every column of the star tables; a caller that reads the index more than once stores it."""
     t = Tables(spark, d)
-    index, sizes = ct.content_index(cut_lineage(ct.literals({n: getattr(t, n) for n in STAR_TABLE_ORDER})))
-    return cut_lineage(index), cut_lineage(sizes)
+    return ct.content_index(stored(ct.literals({n: getattr(t, n) for n in STAR_TABLE_ORDER})))
 
 
 _LITERALS_SQL = "lits AS (SELECT col, literal, count(*) AS n FROM (\n" + " UNION ALL\n".join(
@@ -371,7 +370,8 @@ def g16(spark, d):
     n = max(1, Tables(spark, d).events.count() // 10)
     stats = cut_lineage(gen.template_stats(gold_templates(spark, d)))
     supp = cut_lineage(gen.supported(stats, _support(spark, d)))
-    content = _content(spark, d)
+    index, sizes = _content(spark, d)
+    content = stored(index), sizes
 
     def make(lo, hi):
         draws = cut_lineage(gen.sample_template_first(spark.range(lo, hi).select(F.col("id").alias("seed")), stats, supp))

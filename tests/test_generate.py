@@ -44,6 +44,21 @@ def test_intervals_partition_each_column(store):
     assert index.groupBy("col", "cell").count().agg(F.max("count")).first()[0] <= 40  # no cell gathers a column
 
 
+def test_literals_are_counted_without_their_text(spark):
+    odd = [0.9999994, 0.9999996, 0.99999951, 1.0, 4.9999999, -0.0, -0.0000004, -0.0000006, -0.25, -0.9999999, -1.0, -1.9999999, 2.5, 2.999999, 99999999.5, 1e8, 123456789.25, 5e17, -5e17, 2.0 ** 53, 1e20, None]
+    rows = [(x, None if x is None else x / 3, i - 3, f"{i}.{i}" if i % 2 else "", i % 3 == 0) for i, x in enumerate(odd * 2)]
+    t = spark.createDataFrame(rows, "a double, b float, c int, d string, e boolean").withColumn("f", F.expr("timestamp_micros(c * 500000L)")).withColumn("g", F.expr("cast(c / 8 as decimal(9,3))"))
+    want = Counter()
+    for f in t.schema.fields:
+        for x in t.select(ct.literal_text(F.col(f.name), f.dataType).alias("x")).where("x <> ''").collect():
+            want["t." + f.name, x.x] += 1
+    lits = ct.literals({"t": t})
+    got = lits.collect()
+    assert {(r.col, r.literal): r.n for r in got} == want and len(got) == len(want)
+    plan = lits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "whole#" in plan  # before: each cell of a row was exploded as text
+
+
 def test_draws_follow_frequencies(spark, store):
     _, index, sizes = store
     draws = spark.range(4000).select(F.col("id").alias("seed"), F.lit("t.name").alias("col"))
