@@ -112,15 +112,19 @@ def fill_template(mapped: DataFrame, typed: DataFrame, index: DataFrame, sizes:
     """
     types = typed.groupBy("db_id").agg(F.map_from_entries(F.collect_set(F.struct(F.lower(F.concat_ws(".", "table_name", "column_name")).alias("c"), F.col("slot_type").alias("t")))).alias("types"))
     x = mapped.join(F.broadcast(types), "db_id").withColumn("toks", F.split("mapped", " "))
-    # exploded as an expression: a filter inferred on a column of slots would compute them, and the tokens, again
-    slot = x.select("seed", F.explode(F.expr(_SLOTS)).alias("s")).select("seed", "s.*").withColumn("key", F.concat_ws(":", "seed", "pos"))
-    counted = slot.where("op = 'count'").select("seed", "pos", (F.lit(1) + bucket(salt + "c", "key", 9)).cast("string").alias("value"))
+    # read twice: stored, so that neither the draws nor their columns are made again; a row has a number of its own, for seeds may repeat
+    x = stored(x.select(F.monotonically_increasing_id().alias("row"), "seed", "db_id", "mapped", F.expr(_SLOTS).alias("slots")))
+    key = lambda pos: F.concat(F.col("seed").cast("string"), F.lit(":"), pos.cast("string"))
+    slot = x.select("row", "seed", F.explode("slots").alias("s")).select("row", "s.*", key(F.col("s.pos")).alias("key"))
     first = typed.where("first_column is not null").select(F.lower(F.concat(F.col("table_name"), F.lit(".*"))).alias("col"), F.lower(F.concat_ws(".", "table_name", "first_column")).alias("of")).distinct()
     drawn = slot.where("coalesce(op, '') <> 'count' and col is not null").join(F.broadcast(first), "col", "left").withColumn("col", F.coalesce("of", "col")).drop("of")
-    drawn = sample_values(drawn, index, sizes, "key", salt).select("seed", "pos", quoted(F.col("literal"), F.col("ctype"), F.col("op")).alias("value"))
-    values = counted.unionByName(drawn).groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("vals"))
-    x = x.withColumn("slots", F.expr(_SLOTS)).join(values, "seed", "left").withColumn("vals", F.coalesce("vals", F.expr("cast(map() as map<int,string>)"))).where("size(slots) = size(vals)")
-    text = F.expr("array_join(transform(toks, (t, i) -> case when t = 'value' then vals[i] when t = 'limit_value' then '1' else t end), ' ')")
+    drawn = sample_values(drawn, index, sizes, "key", salt).select("row", "pos", quoted(F.col("literal"), F.col("ctype"), F.col("op")).alias("value"))
+    drawn = drawn.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("drawn"))
+    value = lambda s: F.when(s["op"] == "count", (F.lit(1) + bucket(salt + "c", key(s["pos"]), 9)).cast("string")).otherwise(F.try_element_at("drawn", s["pos"]))
+    vals = F.map_from_entries(F.transform("slots", lambda s: F.struct(s["pos"], value(s))))
+    # the values are a generator's input, like the choices of G14: a filter on them would compute them again
+    x = x.join(drawn, "row", "left").select("seed", "db_id", "mapped", "slots", F.explode(F.filter(F.array(vals), lambda m: ~F.exists(F.map_values(m), lambda v: v.isNull()))).alias("vals"))
+    text = F.expr("array_join(transform(split(mapped, ' '), (t, i) -> case when t = 'value' then vals[i] when t = 'limit_value' then '1' else t end), ' ')")
     return x.select("seed", "db_id", "mapped", text.alias("filled"), F.expr("transform(slots, s -> vals[s.pos])").alias("literals"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from skein.functions.hashing import bucket
 from skein.operators import tokens as tk
-from skein.session import cut_lineage
+from skein.session import cut_lineage, stored
 
 N_BUCKETS = 1024
 
@@ -131,7 +131,7 @@ def sample_template_first(seeds: DataFrame, stats: DataFrame, supp: DataFrame, s
     """Template drawn by p, then a supporting database uniformly (sorted list, md5 index)."""
     s = seeds.select("seed", _hash32(salt, "seed").alias("h"))
     s = s.withColumn("bkt", F.shiftright("h", 22).cast("int"))  # 2^32 / N_BUCKETS
-    cum = cumulative(stats)
+    cum = stored(cumulative(stats))  # of known size: seeds are not shuffled to meet a few templates
     pos = F.col("h") * F.col("total")
     x = s.join(cum, "bkt").filter((pos >= F.col("lo_n") * F.lit(1 << 32)) & (pos < F.col("hi_n") * F.lit(1 << 32)))
     dbs = supp.groupBy("template").agg(F.array_sort(F.collect_list("db_id")).alias("dbs"))

@@ -21,17 +21,33 @@ from skein.sources.catalog import STAR_TABLE_ORDER, star_catalog, star_catalogs
 KEYS = ["query_id", "side"]
 
 
+def _text_templates(spark, d, texts):
+    """``texts`` (query_id, gold, ...), each different gold query once, with their ``template``."""
+    cat = star_catalog(spark, d)
+    ut, _ = sc.query_tokens(texts, "query_id", cat.columns, sides=("gold",))
+    nf = gen.no_from_tokens(ut, KEYS)
+    return texts.join(gen.templatize(nf, KEYS, co.typed_columns(cat)).select("query_id", "template"), "query_id")
+
+
 def gold_templates(spark, d):
     """(query_id, template) of every gold query of the log."""
     t = Tables(spark, d)
     ql = query_log(spark, t.events).select("query_id", "gold")
-    cat = star_catalog(spark, d)
     # a log repeats its texts: each different one is analysed once
     texts = ql.groupBy("gold").agg(F.min("query_id").alias("query_id"))
-    ut, _ = sc.query_tokens(texts, "query_id", cat.columns, sides=("gold",))
-    nf = gen.no_from_tokens(ut, KEYS)
-    tpl = gen.templatize(nf, KEYS, co.typed_columns(cat)).select("query_id", "template")
-    return cut_lineage(ql.join(texts.join(tpl, "query_id").select("gold", "template"), "gold").select("query_id", "template"))
+    tpl = _text_templates(spark, d, texts)
+    return cut_lineage(ql.join(tpl.select("gold", "template"), "gold").select("query_id", "template"))
+
+
+def gold_template_stats(spark, d):
+    """G3 over every gold query of the log: its different texts weigh as often as they occur, so no row of the log is stored.
+
+    The log is made in as many tasks as a shuffle has, however few files the events lie in.
+    """
+    ids = Tables(spark, d).events.select("event_id")
+    ids = ids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    texts = stored(query_log(spark, ids).groupBy("gold").agg(F.min("query_id").alias("query_id"), F.count("*").alias("n")))
+    return gen.template_stats(_text_templates(spark, d, texts), "n")
 
 
 _TPL_SQL = f"""{query_log_sql()},
@@ -157,11 +173,9 @@ draws AS (
 
 
 def _draws(spark, d):
-    tpl = gold_templates(spark, d)
-    stats = gen.template_stats(tpl)
-    supp = gen.supported(stats, _support(spark, d))
-    seeds = Tables(spark, d).events.select(F.col("event_id").alias("seed"))
-    return gen.sample_template_first(seeds, stats, supp)
+    stats = stored(gold_template_stats(spark, d))
+    supp = stored(gen.supported(stats, _support(spark, d)))
+    return gen.sample_template_first(by_key(_seeds(spark, d), "seed"), stats, supp)
 
 
 @register("g07_sample_template_first", gw("SELECT seed, template, db_id, CAST(n_supported AS INTEGER) AS n_supported FROM draws",
@@ -286,8 +300,9 @@ def _typed(spark, d):
 
 
 def _mapped(spark, d, draws=None):
-    draws = cut_lineage(_draws(spark, d)) if draws is None else draws
-    return gen.map_columns(draws, co.typed_columns(star_catalogs(spark, d)))
+    draws = _draws(spark, d) if draws is None else draws
+    # assigning columns costs far more than the bytes of a draw tell the planner, which would give it to few tasks
+    return gen.map_columns(by_key(draws, "seed"), co.typed_columns(star_catalogs(spark, d)))
 
 
 _G13_SQL = f"""{_LITERALS_SQL},
@@ -351,17 +366,20 @@ def g14(spark, d):
 def goals(spark, d, draws, content=None):
     """(seed, db_id, sql): filled templates with FROM clauses and the drawn literals in place."""
     index, sizes = content or _content(spark, d)
-    filled = cut_lineage(ct.fill_template(_mapped(spark, d, draws), _typed(spark, d), index, sizes))
+    filled = ct.fill_template(_mapped(spark, d, draws), _typed(spark, d), index, sizes)
     cat = star_catalogs(spark, d)
     # slots go through the rebuild under a mark of their own: literals may hold blanks, and a column may be called value
-    kept = filled.withColumn("no_from", F.expr(f"array_join(transform(split(mapped, ' '), t -> case when t = 'value' then '{ct.SLOT}' when t = 'limit_value' then '1' else t end), ' ')"))
-    sql = rb.rebuild_from(by_key(kept, "seed"), "seed", "no_from", rb.fk_paths(cat))
-    return ct.place_literals(filled.select("seed", "db_id", "literals").join(sql, "seed")).select("seed", "db_id", "sql")
+    no_from = F.expr(f"array_join(transform(split(mapped, ' '), t -> case when t = 'value' then '{ct.SLOT}' when t = 'limit_value' then '1' else t end), ' ')")
+    filled = stored(filled.select("seed", "db_id", no_from.alias("no_from"), "literals"))
+    # draws repeat their texts, apart from the literals: each different one is rebuilt once
+    texts = stored(filled.select("db_id", "no_from").distinct().withColumn("text_id", F.monotonically_increasing_id()))
+    sql = stored(texts.join(rb.rebuild_from(by_key(texts, "text_id"), "text_id", "no_from", rb.fk_paths(cat)), "text_id").select("db_id", "no_from", "sql"))
+    return ct.place_literals(filled.join(sql, ["db_id", "no_from"])).select("seed", "db_id", "sql")
 
 
 @register("g17_goals")
 def g17(spark, d):
-    return goals(spark, d, cut_lineage(_draws(spark, d))).select(F.col("seed").alias("goal_id"), "db_id", "sql")
+    return goals(spark, d, _draws(spark, d)).select(F.col("seed").alias("goal_id"), "db_id", "sql")
 
 
 @register("g16_top_up")

@@ -115,3 +115,45 @@ def test_spans_without_a_value_are_dropped_where_they_are_made(spark, monkeypatc
     monkeypatch.setattr(lk, "_maybe_among", lambda df, *a: (lambda x: (seen.append((df.count(), x.count())), x)[1])(among(df, *a)))
     assert [sorted(map(tuple, f(sp, pl, "doc_id").collect()), key=str) for f in (lk.link_exact, lk.link_fuzzy)] == want
     assert all(len(w) > 50 for w in want) and all(b * 2 < a for a, b in seen)
+
+
+def test_templates_are_filled_from_columns_assigned_once(spark):
+    from skein.operators import content as ct
+    from skein.operators import generate as gen
+
+    cols = [("name", "text"), ("kind", "text"), ("size", "number")]
+    typed = spark.createDataFrame([("d", "t", c, k, None) for c, k in cols] + [("d", "t", "*", "*", "name")], "db_id string, table_name string, column_name string, slot_type string, first_column string")
+    index = ct.content_index(ct.literals({"t": spark.createDataFrame([(f"n{i}", f"k{i % 3}", i) for i in range(40)], "name string, kind string, size int")}))
+    text = "select text_col_0 where text_col_0 = value and number_col_0 > value having count ( *_col_0 ) > value"
+    draws = spark.createDataFrame([(i, text, "d") for i in [*range(30), 3]], "seed long, template string, db_id string")
+    mapped = gen.map_columns(draws, typed)
+    filled = ct.fill_template(mapped, typed, *index)
+    assert "sort_array" not in _optimized(filled)  # before: each reader of the columns assigned them again
+    got = filled.collect()
+    assert len(got) == 31 and len({(r.seed, r.filled) for r in got}) == 30  # before: a repeated seed was an error
+    alone = {r.seed: r.literals for r in ct.fill_template(mapped.dropDuplicates(["seed"]), typed, *index).collect()}
+    assert {r.seed: r.literals for r in got} == alone and all(len(x) == 3 and x[2] in list("123456789") for x in alone.values())
+
+
+def test_goals_of_one_text_are_rebuilt_once(spark, monkeypatch):
+    from skein.plans import generate_queries as gq
+    from tests.conftest import SF_SMALL
+
+    draws = spark.createDataFrame([(i, "select text_col_0 where number_col_0 > value", "geo") for i in [*range(80), 7]], "seed long, template string, db_id string")
+    seen, rebuild = [], gq.rb.rebuild_from
+    monkeypatch.setattr(gq.rb, "rebuild_from", lambda qs, *a, **b: (seen.append(qs.count()), rebuild(qs, *a, **b))[1])
+    got = gq.goals(spark, SF_SMALL, draws).collect()
+    assert len(got) == 81 and len({(r.seed, r.sql) for r in got}) == 80
+    assert seen[0] == 2  # two names, one number; before: as many as there are draws
+
+
+def test_template_counts_need_no_row_of_the_log(spark, tmp_path):
+    from skein.operators import generate as gen
+    from skein.plans import generate_queries as gq
+
+    spark.createDataFrame([(i,) for i in [*range(200), 5, 5, None]], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = gq.gold_template_stats(spark, str(tmp_path))
+    want = gen.template_stats(gq.gold_templates(spark, str(tmp_path)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.agg({"n": "sum"}).first()[0] == 202
