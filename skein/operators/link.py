@@ -4,8 +4,9 @@
 * K2 spans: word n-grams aligned at separator characters
 * K3 exact links: equi-join of spans with lower-cased values
 * K4 fuzzy links: candidates share a one-deletion key (so only pairs within
-  indel distance 2 ever meet -- no pairwise comparison inside a block; keys of
-  no value are dropped by a bitmap before they are shuffled), then
+  indel distance 2 ever meet -- no pairwise comparison inside a block; spans
+  near no value are not cut, and keys of no value, or of no span, are dropped
+  by bitmaps before they are shuffled), then
   the indel ratio 1 - d/(len_a + len_b) and the first-letter rule decide
 * K5 filters, K6 best k values per (question, column)
 
@@ -15,10 +16,14 @@ check, otherwise the joins shuffle on the span text (AQE splits hot spans).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.session import by_key, stored
 
 SEPARATORS = "'\"()`,.?! "
 SEP_SPLIT = r"""['"()`,.?! ]+"""
@@ -80,8 +85,14 @@ def span_counts(df: DataFrame, id_col: str, text_col: str, max_n: int) -> DataFr
     return x.where("n_spans > 0")
 
 
-def spans(df: DataFrame, id_col: str, text_col: str, max_n: int) -> DataFrame:
-    """K2: (id, start, n, span) word n-grams (n <= max_n) of the lower-cased text, split at separators."""
+def spans(df: DataFrame, id_col: str, text_col: str, max_n: int, near: DataFrame | None = None) -> DataFrame:
+    """K2: (id, start, n, span) word n-grams (n <= max_n) of the lower-cased text, split at separators.
+
+    With ``near``, a picklist, spans that no value of it can be linked to (exactly or fuzzily) are left out: by their first letter
+    and length before they are cut, then by their one-deletion keys. No span with a link is lost, few others stay.
+    """
+    if near is not None:
+        return _spans_near(df, id_col, text_col, max_n, by_key(_clean_values(near).select("v"), "v").distinct())
     # cut inside the row: exploded words would each carry the whole text's words along
     def of(w):
         at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_n), F.size(w) - i)),
@@ -92,6 +103,65 @@ def spans(df: DataFrame, id_col: str, text_col: str, max_n: int) -> DataFrame:
     return x.select(id_col, "s.*")
 
 
+#: Bits that tell spans from values, in regions by (first letter, length): at most 1,024 broadcast rows of 2 KB.
+REGIONS, REGION_BITS = 1 << 10, 1 << 14
+
+
+def _regions(hashes: DataFrame) -> DataFrame:
+    """(region, bits): the bits ``h`` in [0, REGIONS * REGION_BITS) as arrays of longs, one a region; regions without any are left out."""
+    every = hashes.sparkSession.range(REGIONS * REGION_BITS // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    hit = hashes.select(F.shiftright("h", 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bits"))
+    words = every.unionByName(hit).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    per = words.groupBy(F.floor(F.col("word") / (REGION_BITS // 64)).alias("region")).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("ws"))
+    return per.select("region", F.transform("ws", lambda w: w["bits"]).alias("bits")).where(F.exists("bits", lambda b: b != 0))
+
+
+def _bit(h: Column) -> Column:
+    at = F.get("bits", F.shiftright(h, 6).cast("int"))
+    return F.call_function("shiftright", at, h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+
+def _without(c: Column, i: Column) -> Column:
+    """``c`` without its i-th character; whole for 0."""
+    return F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))
+
+
+def _ends(c: Column) -> list[Column]:
+    """First three and last character of ``c`` and of ``c`` without any one character (and some that belong to none)."""
+    heads = [F.substring(c, 1, 3), F.concat(F.substring(c, 1, 2), F.substring(c, 4, 1)), F.concat(F.substring(c, 1, 1), F.substring(c, 3, 2)), F.substring(c, 2, 3)]
+    return [F.concat(h, F.substring(c, at, 1)) for h in heads for at in (-1, -2)]
+
+
+def _spans_near(df: DataFrame, id_col: str, text_col: str, max_n: int, vals: DataFrame) -> DataFrame:
+    letter = lambda c: F.substring(F.ltrim(c), 1, 1)
+    region = lambda c, n: F.pmod(F.xxhash64(letter(c), n), F.lit(REGIONS))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(REGION_BITS))
+    keys = lambda c: F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: place(_without(c, i)))
+    # a link has the value's first letter and, with one character deleted in either, a length that differs by one at most
+    ls = [F.length("v") + d for d in (-1, 0, 1)]
+    around = vals.select("v", F.explode(F.array(*ls)).alias("l"))
+    letters = around.groupBy("l").agg(F.array_join(F.array_sort(F.collect_set(letter(F.col("v")))), "").alias("a")).agg(F.map_from_entries(F.collect_list(F.struct("l", "a"))).alias("m"))
+    letters = letters.where(F.size("m") > 0).select(F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))).alias("_letters"))
+    hashes = vals.select(F.array(*[region(F.col("v"), n) for n in ls]).alias("rs"), F.explode(F.concat(keys(F.col("v")), F.array(*[place(e) for e in _ends(F.col("v"))]))).alias("p"))
+    hashes = hashes.select(F.explode("rs").alias("r"), "p")
+    regions = _regions(hashes.select((F.col("r") * REGION_BITS + F.col("p")).alias("h")))
+    # the words are a generator's output, so that they are computed once and looked up by place
+    x = df.select(id_col, F.explode(F.array(_words(text_col))).alias("_w")).where(F.size("_w") > 0).join(F.broadcast(letters))
+
+    def of_length(n):
+        def long(i):
+            if n > 8:
+                return F.aggregate(F.slice("_w", i + 1, F.lit(n)), F.lit(n - 1), lambda t, w: t + F.length(w))
+            return sum((F.length(F.get("_w", i + j)) for j in range(1, n)), F.length(F.get("_w", i)) + (n - 1))
+        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>"))
+        some = F.filter(starts, lambda i: F.contains(F.get("_letters", long(i)), F.substring(F.get("_w", i), 1, 1)))
+        return F.transform(some, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("_w", i + 1, F.lit(n)), " ").alias("span")))
+    x = x.select(id_col, F.explode(F.concat(*[of_length(n) for n in range(1, max_n + 1)])).alias("s")).select(id_col, "s.*")
+    x = x.withColumn("region", region(F.col("span"), F.length("span"))).join(F.broadcast(regions), "region")
+    ends = [_bit(place(e)) for e in _ends(F.col("span"))]
+    return x.where(reduce(or_, ends)).where(F.exists(keys(F.col("span")), _bit)).select(id_col, "start", "n", "span")
+
+
 def _clean_values(pl: DataFrame) -> DataFrame:
     v = F.trim(F.lower("value"))
     return pl.withColumn("v", v).filter((F.length("v") > 1) & ~_is_number(F.col("v")) & ~F.col("v").isin(*COMMON_DB_TERMS)
@@ -116,10 +186,12 @@ FILTER_BITS = 1 << 26
 
 
 def _maybe_among(df: DataFrame, col: str, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``col`` may be among ``keys``: none that is gets lost, few others stay.
+    """Rows of ``df`` whose ``col`` may be among ``keys``: none that is gets lost, few others stay."""
+    return _by_bitmaps(df, col, keys, key)
 
-    The keys' hashes are bits of broadcast bitmaps, 4 KB each, so rows are dropped where they are made and not shuffled.
-    """
+
+def _by_bitmaps(df: DataFrame, col: str, keys: DataFrame, key: str) -> DataFrame:
+    """The keys' hashes are bits of broadcast bitmaps, 4 KB each, so rows are dropped where they are made and not shuffled."""
     h = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     bits = keys.select(h(key).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
     x = df.withColumn("_h", h(col)).withColumn("_bucket", F.bitmap_bucket_number("_h")).join(F.broadcast(bits), "_bucket")
@@ -157,7 +229,9 @@ def link_fuzzy(sp: DataFrame, pl: DataFrame, id_col: str, theta: float = 0.85) -
     s = s.join(F.broadcast(shapes), (letter(F.col("span")) == F.col("a")) & (F.length("span") == F.col("l")), "left_semi")
     s = s.select(id_col, "start", "n", "span", F.explode(_deletions(F.col("span"))).alias("k"))
     v = vals.select("table_name", "column_name", "value", "v", F.explode(_deletions(F.col("v"))).alias("k"))
-    c = _maybe_among(s, "k", v, "k").distinct().join(v, "k").drop("k").distinct()
+    s = stored(_maybe_among(s, "k", v, "k").distinct())
+    # as well the other way: few of the values' keys meet a span's, and the rest are not shuffled
+    c = s.join(_by_bitmaps(v, "k", s, "k"), "k").drop("k").distinct()
     ls, lv = F.length("span"), F.length("v")
     indel = F.when(F.col("span") == F.col("v"), 0).when(F.abs(ls - lv) == 1, 1).otherwise(2)
     c = c.withColumn("score", F.lit(1.0) - indel / (ls + lv))

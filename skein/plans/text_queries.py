@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from skein.operators import bleu
 from skein.plans.registry import register
-from skein.session import Tables
+from skein.session import Tables, by_key, stored
 
 
 def bleu_inputs(spark, d):
@@ -180,8 +180,9 @@ fz AS (SELECT doc_id, table_name, column_name, value, span, score, length(span)
 
 
 def _spans(spark, d):
-    pl = _picklist(spark, d)
-    return lk.spans(Tables(spark, d).documents, "doc_id", "text", lk.max_value_words(pl)), pl
+    """Spans near a value, and the values: both are read several times and stored, the values in as many files as a shuffle has parts."""
+    pl = stored(by_key(_picklist(spark, d), "value"))
+    return stored(lk.spans(Tables(spark, d).documents, "doc_id", "text", lk.max_value_words(pl), near=pl)), pl
 
 
 @register("k01_picklist", _PICK_SQL)

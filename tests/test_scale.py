@@ -1,5 +1,7 @@
 """Joins, reranking, lint rules and span counts that keep their work spread and in one pass."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from skein.operators import link as lk
@@ -157,3 +159,28 @@ def test_template_counts_need_no_row_of_the_log(spark, tmp_path):
     got = gq.gold_template_stats(spark, str(tmp_path))
     want = gen.template_stats(gq.gold_templates(spark, str(tmp_path)))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.agg({"n": "sum"}).first()[0] == 202
+
+
+def test_spans_near_values_lose_no_link(spark):
+    import random
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcde1ü𝒳") for _ in range(rnd.randint(1, 7)))
+    vals = [" ".join(word() for _ in range(rnd.randint(1, 3))) for _ in range(150)] + ["ab", "abc", " \tx y", "A  B", "", None, "7", "many"] + ["w " * 9 + "end"]
+
+    def edited(v):
+        for _ in range(rnd.randint(0, 2)):
+            at = rnd.randint(0, len(v))
+            v = v[:at] + rnd.choice(["", "a", "é"]) + v[at + rnd.randint(0, 1):]
+        return v
+    known = [v for v in vals if v]
+    texts = [rnd.choice([", ", " "]).join(edited(rnd.choice(known)) if rnd.random() < 0.3 else word() for _ in range(25)) for _ in range(120)]
+    docs = spark.createDataFrame([*enumerate(texts), (7, "ab"), (None, "abc ab"), (500, None), (501, " . ")], "doc_id long, text string")
+    pl = spark.createDataFrame([("t", "ab"[i % 2], v) for i, v in enumerate(vals)], "table_name string, column_name string, value string")
+    every, near = lk.spans(docs, "doc_id", "text", 10), lk.spans(docs, "doc_id", "text", 10, near=pl)
+    got, rows = Counter(map(tuple, near.collect())), Counter(map(tuple, every.collect()))
+    assert not got - rows and sum(got.values()) * 4 < sum(rows.values())  # before: every span was cut and met the keys
+    for f in (lk.link_exact, lk.link_fuzzy):
+        want, have = (Counter(map(tuple, f(x, pl, "doc_id").collect())) for x in (every, near))
+        assert want == have and sum(want.values()) > 100
+    assert lk.spans(docs, "doc_id", "text", 3, near=pl.where("false")).count() == 0
